@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, token_counts
 
-QUERIES = {"op7_source_mix": mixing.op7_source_mix}
+QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_source_mix": mixing.op7_source_mix,
+    "op9_token_counts": token_counts.op9_token_counts,
+}
 ORACLES = {"op7_source_mix": mixing.OP7_SQL}
