@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, token_counts
+from . import ann, chat_format, language_id, mixing, packing, token_counts, url_filter
 
 QUERIES = {
+    "op2_chat_format": chat_format.op2_chat_format,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_additive_ann": ann.op5_additive_ann,
+    "op6_language_id": language_id.op6_language_id,
     "op7_source_mix": mixing.op7_source_mix,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {"op7_source_mix": mixing.OP7_SQL}
