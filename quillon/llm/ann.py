@@ -45,7 +45,7 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
         d = norm[:, :, None] + square[b][None, None, :] - 2 * left @ books[b].T
         flat = d.reshape(n, -1)
         keep = min(beam, flat.shape[1])
-        best = np.argsort(flat, 1, kind="stable")[:, :keep]
+        best = np.argpartition(flat, keep - 1, 1)[:, :keep] if keep < flat.shape[1] else np.tile(np.arange(keep), (n, 1))
         parent, word = best // k, best % k
         rows = np.arange(n)[:, None]
         codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], 2)
@@ -54,22 +54,25 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.
     return codes[np.arange(n), at], x - left[np.arange(n), at]
 
 
-def train(x: np.ndarray, books: int = 8, words: int = 64, beam: int = 8, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Full-dimensional codebooks: k-means over beam-search residuals, book by book."""
-    rng, out = np.random.default_rng(seed), np.zeros((0, words, x.shape[1]))
+def train(x: np.ndarray, books: int = 32, words: int = 64, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """Full-dimensional codebooks, one after another: k-means over what the earlier ones leave."""
+    rng, out, left = np.random.default_rng(seed), [], x.copy()
     for _ in range(books):
-        left = x - encode(x, out, beam)[1] if len(out) else x.copy()
         centres = left[rng.choice(len(left), words, replace=len(left) < words)].copy()
         for _ in range(rounds):
             near = ((centres**2).sum(1)[None] - 2 * left @ centres.T).argmin(1)
-            for w in range(words):
-                mine = left[near == w]
-                centres[w] = mine.mean(0) if len(mine) else left[rng.integers(len(left))]
-        out = np.concatenate([out, centres[None]])
-    return out
-
-
-def index(vectors: DataFrame, books: np.ndarray, beam: int = 8) -> DataFrame:
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, left)
+            n = np.bincount(near, minlength=words)
+            centres[n > 0] = sums[n > 0] / n[n > 0, None]
+            centres[n == 0] = left[rng.integers(len(left), size=int((n == 0).sum()))]
+        near = ((centres**2).sum(1)[None] - 2 * left @ centres.T).argmin(1)
+        left -= centres[near]
+        out.append(centres)
+    return np.array(out)
+
+
+def index(vectors: DataFrame, books: np.ndarray, beam: int = 4) -> DataFrame:
     """Blocks of codes: (lane, ids, codes, norms), the last three as raw bytes."""
     shared, lanes = vectors.sparkSession.sparkContext.broadcast(books), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -131,7 +134,7 @@ def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).drop("place")
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 10, keep: int = 300, sample: int = 8192) -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 10, keep: int = 500, sample: int = 8192) -> DataFrame:
     """The k nearest rows of table to each row of queries (both: vec_id, embedding): query_id, rank, vec_id, score."""
     spark = table.sparkSession
     head = usable(table).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()

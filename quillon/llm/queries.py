@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, language_id, mixing, packing, token_counts, url_filter
+from . import ann, chat_format, language_id, mixing, ngram_join, packing, token_counts, url_filter
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_additive_ann": ann.op5_additive_ann,
@@ -13,4 +14,4 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_token_counts": token_counts.op9_token_counts,
 }
-ORACLES = {"op7_source_mix": mixing.OP7_SQL}
+ORACLES = {"op1_ngram_join": ngram_join.OP1_SQL, "op7_source_mix": mixing.OP7_SQL}
