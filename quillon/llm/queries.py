@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, language_id, mixing, ngram_join, packing, token_counts, url_filter
+from . import ann, chat_format, fingerprints, language_id, mixing, ngram_join, packing, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_source_mix": mixing.op7_source_mix,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES = {"op1_ngram_join": ngram_join.OP1_SQL, "op7_source_mix": mixing.OP7_SQL}
