@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, fingerprints, language_id, mixing, ngram_join, packing, token_counts, url_filter
+from . import ann, chat_format, fingerprints, language_id, line_dedup, mixing, ngram_join, packing, token_counts, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_additive_ann": ann.op5_additive_ann,
     "op6_language_id": language_id.op6_language_id,
