@@ -36,7 +36,8 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3
     Targets share all words by the repeating weights in code-point order of the sources, null
     last; none exceeds cap times its source, and what is cut off is shared again by weight.
     That fixpoint is min(cap * size, level * weight), whose level is found over sources sorted
-    by cap * size / weight. The windows without a key hold one row per source.
+    by cap * size / weight: capping in that order raises the level until the first source that it
+    leaves uncapped, and would lower it from there on, so it is the highest. The windows without a key hold one row per source.
     """
     rows = measured.select(F.col("source").alias("__mix_source"), F.col("__mix_size").alias("size"), F.col("__mix_u").alias("u"))
     slices = save(rows.groupBy("__mix_source", F.floor(F.col("u") * SLICES).alias("slice")).agg(F.sum("size").alias("words")), "slices")
@@ -49,7 +50,7 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3
         .withColumn("full", F.col("top") / F.col("w"))
         .withColumn("left", F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("top").over(upto), F.lit(0.0)))
         .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-        .withColumn("level", F.min(F.when(F.col("left") / F.col("w_left") <= F.col("full"), F.col("left") / F.col("w_left"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("left") / F.col("w_left") <= F.col("full"), F.col("left") / F.col("w_left"))).over(everything))
         .withColumn("target", F.when((F.col("level") * F.col("w")) < F.col("top"), F.col("level") * F.col("w")).otherwise(F.col("top")))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -110,7 +111,7 @@ WITH m AS (
          sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w
   FROM w
 ), l AS (
-  SELECT min(rest_all / rest_w) FILTER (WHERE rest_all / rest_w <= full_at) AS level FROM c
+  SELECT max(rest_all / rest_w) FILTER (WHERE rest_all / rest_w <= full_at) AS level FROM c
 ), t AS (
   SELECT source, source_size, CASE WHEN level * w < top THEN level * w ELSE top END AS target FROM c, l
 ), p AS (
