@@ -80,8 +80,8 @@ def plan(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3
 def apply(measured: DataFrame, sources: DataFrame) -> DataFrame:
     """Add source_size, target, __mix_copies and taken; the sources' table is small enough for Spark to weigh a broadcast itself."""
     joined = measured.join(sources, measured["source"].eqNullSafe(sources["__mix_source"]))
-    copies = F.col("whole") + (F.col("__mix_u") <= F.col("cut")).cast("long")
-    return joined.withColumn("__mix_copies", copies).withColumn("__mix_taken", F.col("__mix_copies") * F.col("__mix_size")).drop("__mix_source", "whole", "cut")
+    copies = sources["whole"] + (F.col("__mix_u") <= sources["cut"]).cast("long")
+    return joined.withColumn("__mix_copies", copies).withColumn("__mix_taken", F.col("__mix_copies") * F.col("__mix_size")).drop(sources["__mix_source"], sources["whole"], sources["cut"])
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
