@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ast
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +102,20 @@ def layer_sizes(spark: SparkSession, total: int, layers: int = 5, ratio: float =
     sizes = spark.range(1, layers + 1).select(F.col("id").cast("int").alias("layer"), F.floor(F.lit(first) * F.pow(F.lit(ratio), F.col("id") - 1)).alias("raw"))
     rest = F.lit(total) - sum(int(first * ratio**k) for k in range(layers - 1))
     return sizes.select("layer", F.when(F.col("layer") == layers, rest).otherwise(F.col("raw")).cast("long").alias("size"))
+
+
+def parses(src: Column) -> Column:
+    """Whether function text is valid syntax; only Python's own parser can tell, in Arrow batches."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        def fine(text) -> bool:
+            try:
+                ast.parse(text)
+            except (SyntaxError, ValueError, TypeError):
+                return False
+            return True
+
+        return texts.map(fine).astype(bool)
+
+    return check(src)

@@ -262,4 +262,15 @@ ORACLES: dict[str, str] = _RULES | {
     "resume_topup": f"SELECT i AS id, {skewed('i', 'value', 0, 1000)} AS value FROM range({len(X.records()) + len(BAD_LINES) + 1}, 101) t(i)",
     "per_op_corpus": f"WITH {CAT} SELECT func_id, i AS id, {skewed('key', 'left', 0, 1000)} || symbol || {skewed('key', 'right', 0, 1000)} AS expression FROM (SELECT func_id, symbol, i, func_id || '/' || i AS key FROM cat, range(1, 1001) t(i) WHERE is_base IS NULL AND n_ary = 2 AND n_order = 1)",
     "base_record": f"SELECT l_orderkey, l_linenumber, v::VARCHAR AS value, c AS cost, '⊠' || to_base(v, 16) AS literal, '(∇' || a || ')=' || v AS text FROM (SELECT *, CASE WHEN a > 10 AND a % 2 = 0 THEN a * a ELSE a + 1 END AS v, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS c FROM ({LINE}))",
+    "count_branch": f"SELECT l_orderkey, l_linenumber, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS cost FROM ({LINE})",
+    "count_loop": f"SELECT l_orderkey, l_linenumber, greatest(abs(b), 1)::BIGINT AS cost FROM ({LINE})",
+    "call_prefix": f"SELECT l_orderkey, l_linenumber, (b + 1)::VARCHAR AS value FROM ({LINE})",
+    "call_postfix": f"SELECT l_orderkey, l_linenumber, (b * b)::VARCHAR AS value FROM ({LINE})",
+    "loop_args": f"SELECT l_orderkey, l_linenumber, a, b, {_text('x1')} AS rr, {_text('x2')} AS ra, {_text('x3')} AS rb, {_text('x2')} AS ar, {_text('x3')} AS br FROM (SELECT *, {_loop('r + r', 'a')} AS x1, {_loop('r + a', 'a')} AS x2, {_loop('r + b', 'a')} AS x3 FROM ({LINE}))",
+    "valid_syntax": f"WITH {CAT} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
+    "expr_str": f"{fold(True)} SELECT expr_id, length(t)::BIGINT AS n_chars FROM u0",
+    "cot_info_trace": f"{fold()} SELECT expr_id, node_id, CASE WHEN kind = 'num' THEN 'number node, value=' || value ELSE 'op_id = ' || func_id || ', output=' || v END AS info, depth AS layer FROM u",
+    "branch_gen": f"SELECT o_orderkey AS key, 2::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
+    "operator_gen": "SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT o_orderkey AS key, substr(" + " || ".join(pick(("+", "-", "*", "/", "%"), bits("o_orderkey", f"sign{k}") + " % 5") for k in range(3)) + f", 1, ({between('o_orderkey', 'length', 1, 3)})::INT) AS symbol, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders) WHERE symbol NOT IN ('+', '-', '*', '/', '%')",
+    "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || v AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
 }

@@ -695,3 +695,78 @@ def _(spark, sf_dir):
     out = evaluation.apply_operator(operands(spark, sf_dir), "b1", X.BODIES, F.col("a"))
     text = F.concat(F.lit("(∇"), F.col("a").cast("string"), F.lit(")"))
     return out.select("l_orderkey", "l_linenumber", "value", "cost", bases.literal(F.col("value").cast("long"), 16, F.lit("⊠")).alias("literal"), F.concat(text, F.lit("="), "value").alias("text"))
+
+
+# The same parts on their own
+
+
+@query("count_branch")
+def _(spark, sf_dir):
+    return evaluation.apply_operator(operands(spark, sf_dir), "b1", X.BODIES, F.col("a")).select("l_orderkey", "l_linenumber", "cost")
+
+
+@query("count_loop")
+def _(spark, sf_dir):
+    return evaluation.apply_operator(operands(spark, sf_dir), "l1", X.BODIES, F.col("a"), F.col("b")).select("l_orderkey", "l_linenumber", "cost")
+
+
+@query("call_prefix")
+def _(spark, sf_dir):
+    return evaluation.apply_operator(operands(spark, sf_dir), "b1", X.BODIES, F.col("b")).select("l_orderkey", "l_linenumber", "value")
+
+
+@query("call_postfix")
+def _(spark, sf_dir):
+    bodies = X.BODIES | {"q1": L.parse("a‰ = { (a*a) }", X.SYMBOLS)}
+    return evaluation.apply_operator(operands(spark, sf_dir), "q1", bodies, F.col("b")).select("l_orderkey", "l_linenumber", "value")
+
+
+@query("loop_args")
+def _(spark, sf_dir):
+    """Each argument pattern of a loop over addition, from a."""
+    rows = operands(spark, sf_dir)
+    for name, args in (("rr", ("r", "r")), ("ra", ("r", "a")), ("rb", ("r", "b")), ("ar", ("a", "r")), ("br", ("b", "r"))):
+        bodies = X.BODIES | {"loop": (("a", "b"), L.Loop("p1", L.Var("a"), args))}
+        rows = evaluation.apply_operator(rows, "loop", bodies, F.col("a"), F.col("b")).drop("cost").withColumnRenamed("value", name)
+    return rows
+
+
+@query("compile_branches")
+def _(spark, sf_dir):
+    return spark.createDataFrame([(f, L.source(f, *X.BODIES[f])) for f in ("s1", "b1")], "func_id string, source string")
+
+
+@query("valid_syntax")
+def _(spark, sf_dir):
+    return cat(spark, [POSTFIX | {"id": 20, "func_id": "bad", "op_compute_func": "def op_bad(a:\n    return a"}]).where("op_compute_func IS NOT NULL").select("func_id", generation.parses(F.col("op_compute_func")).alias("ok"))
+
+
+@query("expr_str")
+def _(spark, sf_dir):
+    return folded(spark, sf_dir, brackets=True).where("node_id = 1").select("expr_id", F.length("s.text").cast("long").alias("n_chars"))
+
+
+@query("cot_info_trace")
+def _(spark, sf_dir):
+    nodes = folded(spark, sf_dir)
+    info = F.when(F.col("kind") == "num", F.concat(F.lit("number node, value="), F.col("value").cast("string"))).otherwise(F.concat(F.lit("op_id = "), "func_id", F.lit(", output="), bases.trace_text(F.col("s.v"))))
+    return nodes.select("expr_id", "node_id", info.alias("info"), F.col("depth").alias("layer"))
+
+
+@query("branch_gen")
+def _(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("⊛").alias("symbol"))
+    return generation.definitions(keys).where("definition_type = 'branch_definition'").select("key", F.size(F.split("definition", ";")).alias("branches"))
+
+
+@query("operator_gen")
+def _(spark, sf_dir):
+    """Operator rows with drawn symbols, shapes and definitions; symbols of the catalog are not drawn again."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    named = generation.symbols(keys, ["+", "-", "*", "/", "%"], cat(spark).select("symbol"))
+    return generation.definitions(named).select("key", "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type")
+
+
+@query("combo_expr")
+def _(spark, sf_dir):
+    return record_table(spark, sf_dir).select("id", "text", F.size("used_operators").alias("n_used"))
