@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark removes a query's shuffle files when it ends.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,7 +51,12 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    kept = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")  # the shuffles behind a written table are read no more
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, kept) if kept is not None else spark.conf.unset(TIDY)
     return spark.read.schema(df.schema).parquet(path)
 
 
