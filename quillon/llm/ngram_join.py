@@ -51,6 +51,8 @@ PART = 2000
 FREQUENT = 1 / 2000
 BLOOM_BITS_LOG2 = 26
 GROUP_BYTES = 4 << 20
+#: n-grams of the sets that a block of pairs holds, about.
+BLOCK = 1 << 23
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -187,7 +189,7 @@ def heads(docs: DataFrame, n: int, t: Fraction, common) -> DataFrame:
 
 
 def postings(classes: DataFrame, common) -> DataFrame:
-    """(gram, part, parts, key, n): a row for each n-gram of a head; the list of a very frequent one is dealt into parts."""
+    """(gram, part, node, n): a row for each n-gram of a head. The list of a very frequent one is dealt into parts; part is -1 for one that is whole."""
 
     def run(batches):
         grams, counts = common.value
@@ -198,11 +200,11 @@ def postings(classes: DataFrame, common) -> DataFrame:
             if len(grams):
                 near = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
                 parts += np.where(grams[near] == g, counts[near], 0) // PART
-            own = np.array([int.from_bytes(k[:8], "little") >> 1 for k in batch.column(0).to_pylist()], np.int64)
-            picked = batch.select([0, 1]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(own[at] % parts), pa.array(parts), *picked.columns], names=["gram", "part", "parts", "key", "n"])
+            own = np.asarray(batch.column(0), dtype=np.int64)[at]
+            part = np.where(parts > 1, (mixed(own.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(part, pa.int32()), pa.array(own), batch.column(1).take(pa.array(at, pa.int64()))], names=["gram", "part", "node", "n"])
 
-    return classes.select("key", "n", "head").mapInArrow(run, "gram long, part long, parts long, key binary, n int")
+    return classes.select("node", "n", "head").mapInArrow(run, "gram long, part int, node long, n int")
 
 
 def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
@@ -218,9 +220,9 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
     def run(batches):
         held, going = None, False  # going: the first list here is the rest of a long one
         for batch in batches:
-            rows = [np.asarray(batch.column(k)) for k in range(3)] + [batch.column(3).to_pylist(), np.asarray(batch.column(4)).astype(np.int64)]
+            rows = [np.asarray(batch.column(k)).astype(np.int64) for k in range(4)]
             if held is not None:
-                rows = [h + r if isinstance(r, list) else np.concatenate([h, r]) for h, r in zip(held, rows)]
+                rows = [np.concatenate(x) for x in zip(held, rows)]
             cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
             last = int(cuts[-1]) if len(cuts) else 0
             if len(rows[0]) - last > 50 * short:  # such a list is worked through in blocks that overlap by one row
@@ -235,23 +237,24 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
             yield from block(held, [0, len(held[0])], going, False)
 
     def block(rows, cuts, going, goes_on):
-        grams, _, parts, keys, sizes = rows
-        sizes = sizes.tolist()
+        grams, parts, keys, sizes = (x.tolist() for x in rows)
         total: dict = {}  # a pair's overlaps within the block are summed before they leave
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            alone = parts[lo] == 1 and not (going and lo == 0) and not (goes_on and hi == len(keys))
+            alone = parts[lo] < 0 and not (going and lo == 0) and not (goes_on and hi == len(keys))
             if alone and hi - lo <= short:
                 for i in range(lo, hi - 1):
                     a, least = keys[i], sizes[i] + 1e-9
                     for j in range(i + 1, hi):
                         if least < ratio * sizes[j]:
                             break
+                        if a == keys[j]:
+                            continue
                         if (pair := (a, keys[j], None)) in total:
                             total[pair][2] += 1
                         else:
                             total[pair] = [sizes[i], sizes[j], 1]
                 continue
-            lead, gram = lo, int(grams[lo])
+            lead, gram = lo, grams[lo]
             for i in range(lo, hi):
                 total[(keys[i], None, gram)] = [sizes[i], 0, 0]
                 if sizes[lead] + 1e-9 < ratio * sizes[i]:
@@ -261,10 +264,10 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
         if total:
             a, b, gram = zip(*total)
             na, nb, c = zip(*total.values())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(c, pa.int64()), pa.array(gram, pa.int64())], names=["a", "b", "na", "nb", "c", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(c, pa.int64()), pa.array(gram, pa.int64())], names=["a", "b", "na", "nb", "c", "gram"])
 
-    dealt = lists.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", F.xxhash64("key", "gram"))
-    return dealt.mapInArrow(run, "a binary, b binary, na int, nb int, c long, gram long")
+    dealt = lists.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", F.xxhash64("node", F.col("gram") % 4))
+    return dealt.mapInArrow(run, "a long, b long, na int, nb int, c long, gram long")
 
 
 def bloom_of(keys: DataFrame) -> np.ndarray:
@@ -293,11 +296,21 @@ def places(keys: bytes) -> np.ndarray:
         return np.stack([((h[:, 0] + np.uint64(k) * (h[:, 1] | np.uint64(1))) >> np.uint64(20)) & mask for k in range(3)], 1).astype(np.int64)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Of the distinct pairs (a, b), those whose whole sets have similarity t or more."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """Of the distinct pairs (a, b) of nodes, those whose whole sets have similarity t or more.
+
+    Pairs that hang together go to one block, so that a set travels once and not with each of
+    its pairs; what hangs together beyond BLOCK n-grams is split by its pairs' first nodes.
+    A task holds the sets of one block. classes: (key, node, n).
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bloom_of(pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()))
     num, den = t.numerator, t.denominator
+    hung = save(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "hung")
+    sized = hung.join(classes, "node").groupBy("component").agg(F.sum("n").alias("total"))
+    blocks = hung.join(sized, "component").select(F.col("node").alias("a"), F.col("component"), F.ceil(F.col("total") / BLOCK).alias("of"))
+    dealt = save(pairs.join(blocks, "a").select(F.xxhash64("component", F.pmod(F.xxhash64("a"), "of")).alias("block"), "a", "b"), "dealt")
+    need = save(dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("key", "block", "node"), "need")
+    shared = spark.sparkContext.broadcast(bloom_of(need.select("key").distinct()))
 
     def wanted(batches):
         bits, seen = shared.value, set()
@@ -313,23 +326,33 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, t: Fraction) -> DataFram
                         sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    sets = docs.select("text").mapInArrow(wanted, "key binary, set binary").dropDuplicates(["key"])
+    sets = docs.select("text").mapInArrow(wanted, "key binary, set binary")
+    rows = sets.join(need, "key").select("block", "node", F.lit(None).cast("long").alias("other"), "key", "set")
+    rows = rows.unionAll(dealt.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
 
     def compare(batches):
+        current, held = None, {}
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
+            a, b = [], []
+            for block, node, other, key, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if block != current:
+                    current, held = block, {}
+                if other is None:  # a block's sets come before its pairs; copies of a class repeat its set
+                    held.setdefault(node, {})[key] = data
+                elif any(den * o >= num * (x + y - o) for x, y, o in overlaps(held.get(node, {}), held.get(other, {}))):
+                    a.append(node)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def overlaps(left, right):
+        for x in left.values():
+            for y in right.values():
+                both = np.frombuffer(x + y, np.uint64).copy()
                 both.sort(kind="stable")
-                o = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(den * o >= num * (len(p) + len(q) - o))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield len(x) // 8, len(y) // 8, int(np.count_nonzero(both[1:] == both[:-1]))
 
-    sets = save(sets, "sets")
-    joined = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return save(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary"), "links")
+    order = rows.repartition("block").sortWithinPartitions("block", F.col("other").asc_nulls_first())
+    return save(order.mapInArrow(compare, "a long, b long"), "links")
 
 
 def enough(t: Fraction) -> F.Column:
@@ -350,30 +373,29 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), freq
     order = np.argsort(grams)
     shared = spark.sparkContext.broadcast((grams[order], df[order]))
     ids = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = save(heads(docs, n, threshold, shared).dropDuplicates(["key"]).join(ids.select("key").distinct(), "key", "left_semi"), "heads")
-    counted = save(product(postings(classes, shared), threshold), "product")
-    pairs = counted.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b")
-    links = verified(docs, save(pairs, "pairs"), n, threshold)
     # Nodes are documents: a class stands at its smallest doc_id, and a doc_id in several classes ties them.
-    least = save(ids.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
-    ties = ids.join(least, "key").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-
-    def edges(links):
-        return links.join(least.toDF("a", "u"), "a").join(least.toDF("b", "v"), "b").select("u", "v")
-
-    at = save(connected_components(edges(links).unionAll(ties)), "round1")
-    long_rows = counted.where("b IS NULL").select("gram", F.col("a").alias("key"), F.col("na").alias("n")).distinct()
+    classes = save(ids.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "classes")
+    ties = ids.join(classes, "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    again = ties.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("lo").alias("v")).unionAll(ties.where("lo <> hi").select("lo", "hi"))
+    again = save(again, "ties")
+    found = save(heads(docs, n, threshold, shared).join(classes.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "n", "head"), "heads")
+    counted = save(product(postings(found, shared), threshold), "product")
+    pairs = counted.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b").distinct()
+    links = verified(docs, save(pairs, "pairs"), classes, n, threshold)
+    ends = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    at = save(connected_components(ends(links).unionAll(again)), "round1")
+    long_rows = counted.where("b IS NULL").select("gram", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
     if not long_rows.isEmpty():
-        where = long_rows.join(least, "key").join(at, "node", "left").select("gram", "key", "n", F.coalesce("component", "node").alias("comp"))
-        mixed_lists = where.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-        open_lists = save(where.join(mixed_lists, "gram", "left_semi"), "open")
+        where = long_rows.join(at, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("comp"))
+        split = where.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
+        open_lists = save(where.join(split, "gram", "left_semi"), "open")
         x, y, r = open_lists.toDF("gram", "a", "na", "ca"), open_lists.toDF("gram", "b", "nb", "cb"), float(threshold)
         across = x.join(y, "gram").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= r * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
         across = save(across, "across")
         if not across.isEmpty():
-            more = verified(docs, across, n, threshold)
-            at = save(connected_components(edges(links.unionAll(more)).unionAll(ties)), "round2")
-    named = least.join(at, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+            more = verified(docs, across, classes, n, threshold)
+            at = save(connected_components(ends(links.unionAll(more)).unionAll(again)), "round2")
+    named = classes.join(at, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     # Rows of a class meet by key; a hot class is a hot key of an equi-join that Spark may split.
     out = rows.join(named, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
