@@ -249,7 +249,8 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
                             break
                         if a == keys[j]:
                             continue
-                        if (pair := (a, keys[j], None)) in total:
+                        b = keys[j]  # one order for each pair, or its counts would be split
+                        if (pair := (a, b, None) if sizes[i] < sizes[j] or a < b else (b, a, None)) in total:
                             total[pair][2] += 1
                         else:
                             total[pair] = [sizes[i], sizes[j], 1]
@@ -260,7 +261,9 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
                 if sizes[lead] + 1e-9 < ratio * sizes[i]:
                     lead = i
                 for j in {lead, i - 1} - {i, lo - 1}:
-                    total[(keys[j], keys[i], None)] = [sizes[j], sizes[i], sure]
+                    if keys[j] != keys[i]:
+                        a, b = (keys[j], keys[i]) if sizes[j] < sizes[i] or keys[j] < keys[i] else (keys[i], keys[j])
+                        total[a, b, None] = [sizes[j], sizes[i], sure]
         if total:
             a, b, gram = zip(*total)
             na, nb, c = zip(*total.values())
