@@ -34,7 +34,9 @@ COMMON = ANCHORS + (
     "auch", "aus", "bei", "er", "für", "ich", "im", "nicht", "sich", "sie", "sind", "so", "wird",
     "al", "como", "las", "lo", "más", "o", "para", "pero", "una",
 )
-CHAIN = r"~(?=(\S+ (?:~\S+ )*[^~ ]\S* (?:~\S+ )*[^~ ]\S*))"
+
+#: More elements than any array here has (start + length must fit an int).
+MANY = 1 << 30
 
 
 def once(value: Column, use) -> Column:
@@ -47,11 +49,19 @@ def signatures(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
     def of_words(w: Column) -> Column:
-        marked = F.array_join(F.transform(F.filter(w, lambda x: ~x.isin(*[c for c in COMMON if c not in ANCHORS])), lambda x: F.when(x.isin(*ANCHORS), F.concat(F.lit("~"), x)).otherwise(x)), " ")
-        chains = F.transform(F.regexp_extract_all(marked, F.lit(CHAIN), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, r" ~\S+", "")))
+        # Each part is a content word with the anchors that follow it, ~ before each; the first has anchors alone.
+        marked = F.transform(F.filter(w, lambda x: ~x.isin(*[c for c in COMMON if c not in ANCHORS])), lambda x: F.concat(F.when(x.isin(*ANCHORS), "~").otherwise("\n"), x))
+        parts = F.split(F.array_join(marked, ""), "\n")
+
+        def chains(p: Column) -> Column:
+            word = lambda i: F.substring_index(F.get(p, i), "~", 1)
+            after = lambda x, k: once(F.struct(word(k + 1).alias("one"), word(k + 2).alias("two")), lambda c: F.transform(F.slice(F.split(x, "~"), 2, MANY), lambda a: F.hash(a, c["one"], c["two"])))
+            return F.flatten(F.transform(p, lambda x, k: F.when(x.contains("~") & (k + 2 < F.size(p)), after(x, k)).otherwise(F.array().cast("array<int>"))))
+
         content = F.filter(w, lambda x: ~x.isin(*COMMON))
-        pairs = once(content, lambda c: F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.hash(F.get(c, i), x)))
-        return once(chains, lambda s: F.when(F.size(s) > 0, s).otherwise(once(pairs, lambda p: F.when(F.size(p) > 0, p).when(F.size(w) > 0, F.transform(w, lambda x: F.hash(x))).when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>")))))
+        pairs = once(content, lambda c: F.transform(F.slice(c, 2, MANY), lambda x, i: F.hash(F.get(c, i), x)))
+        rest = once(pairs, lambda p: F.when(F.size(p) > 0, p).when(F.size(w) > 0, F.transform(w, lambda x: F.hash(x))).when(text != "", F.array(F.hash(text))).otherwise(F.array().cast("array<int>")))
+        return once(once(parts, chains), lambda s: F.when(F.size(s) > 0, s).otherwise(rest))
 
     return F.sort_array(F.array_distinct(once(words, of_words)))
 
@@ -86,7 +96,7 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def next_in_order(ids: DataFrame) -> DataFrame:
-    """ids (k, h, n, doc_id) with next_k, next_h: ranges are ordered inside, their heads stitched; no row set meets in one task."""
+    """ids (k, h, n, doc_id) with doc_id, next_k, next_h: ranges are ordered inside, their heads stitched; no row set meets in one task."""
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     down = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
     ranged = save(ids.repartitionByRange(parts, *down).withColumn("range", F.spark_partition_id()), "ranges")
@@ -96,7 +106,7 @@ def next_in_order(ids: DataFrame) -> DataFrame:
     heads = led.where("place = 1").select("range", F.struct("k", "h").alias("own"))
     by_range = Window.orderBy("range")
     heads = heads.select("range", F.coalesce(F.lead("own").over(by_range), F.first("own").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    return led.join(heads, "range").select("k", "h", "n", F.coalesce("lead", "after").alias("next")).select("k", "h", "n", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
+    return led.join(heads, "range").select("doc_id", "k", "h", "n", F.coalesce("lead", "after").alias("next")).select("doc_id", "k", "h", "n", F.col("next.k").alias("next_k"), F.col("next.h").alias("next_h"))
 
 
 def op10_fingerprints(spark, sf_dir):
@@ -106,11 +116,13 @@ def op10_fingerprints(spark, sf_dir):
     ids = save(ids, "ids")
     link = save(next_in_order(ids.drop("rows")), "next")
     # Each document sends the one before it the start of its text that is asked for, and its set.
-    asked = link.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("need"))
-    sent = docs.join(asked, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("need")).alias("start"), signatures(F.col("text")).alias("next_set"))
+    asked = link.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("doc_id").alias("to_id"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    # Both joins read the same columns of docs by the same keys, so that texts are shuffled once and reused.
+    texts = docs.select("k", "h", "text")
+    sent = texts.join(asked, ["k", "h"]).select(F.col("to_id").alias("doc_id"), F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.substring("text", F.lit(1), F.col("need")).alias("start"), signatures(F.col("text")).alias("next_set"))
     if not ids.where("rows > 1").isEmpty():
-        sent = sent.groupBy("k", "h").agg(F.max("start").alias("start"), F.max("next_set").alias("next_set"))  # repeated rows send the same
-    met = docs.join(sent, ["k", "h"]).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "start", "next_set")
+        sent = sent.groupBy("doc_id", "k", "h").agg(F.max("start").alias("start"), F.max("next_set").alias("next_set"))  # repeated rows send the same
+    met = texts.join(sent, ["k", "h"]).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "start", "next_set")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")), "start")
     row = once(F.struct(signatures(F.col("text")).alias("own"), edited.alias("edited")), lambda x: once(F.struct(x["own"].alias("own"), F.sha2(x["edited"], 256).alias("sha"), signatures(x["edited"]).alias("edited")), lambda y: F.struct(
         y["sha"].alias("edited_sha256"), written(y["own"]).alias("fingerprint"), written(y["edited"]).alias("edited_fingerprint"),
