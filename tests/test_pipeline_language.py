@@ -1,0 +1,26 @@
+"""The pipeline's language stage on texts in no language that it has learnt."""
+
+import random
+
+import corpus_pipeline
+
+
+def test_gibberish_and_unlearned_scripts_go(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    draw = random.Random(4)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    junk = [
+        letters(400),
+        " ".join(letters(draw.randint(2, 9)) for _ in range(80)),
+        '<div class="x"><span id="y"></span></div>' * 12,
+        draw.randbytes(200).hex(),
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "人人生而自由,在尊严和权利上一律平等。",
+    ]
+    rows = spark.createDataFrame([(10**6 + k, x, None, "src0", len(x)) for k, x in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify(spark, docs.unionByName(rows), sf).select("doc_id").collect()}
+    assert not [x for k, x in enumerate(junk) if 10**6 + k in kept]
+    clean = [r["doc_id"] for r in docs.where("lang IS NOT NULL AND n_chars >= 400").select("doc_id").collect()]
+    assert len(kept & set(clean)) >= 0.995 * len(clean)
