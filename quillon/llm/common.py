@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark removes a query's shuffle files when it ends.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the shuffles behind it are read no more and removed; texts go to Python a few at a time.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,12 +51,14 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    kept = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")  # the shuffles behind a written table are read no more
+    kept = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(TIDY, kept) if kept is not None else spark.conf.unset(TIDY)
+        for k, v in kept.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,21 +3,22 @@
 Document x n-gram incidence is a sparse 0/1 matrix A; A times its transpose counts overlaps. Only
 the part of it that can hold a link is built. With one global order of n-grams, two sets of
 similarity t or more share an n-gram among the first n - ceil(t n) + 1 of each (their heads), so
-heads alone are multiplied, n-gram by n-gram, in blocks of a posting list. The order puts
-n-grams that many documents hold last, so posting lists are short. Overlaps within heads are summed per
-pair, and pairs below the bound that their sizes set are discarded; what is left is verified on
-the whole sets.
+heads alone are multiplied first, a bucket of n-grams at a time. The order puts n-grams that many
+documents hold last, so posting lists are short. A short list is multiplied out; overlaps within heads are
+summed per pair, and pairs below the bound that their sizes set are discarded. A long list stems from
+a family of near copies; its members are tied to its first one, not to each other.
 
-Long posting lists stem from groups of near copies. There a member is first paired with its
-neighbour and its list's first member of like size only. After the components of the links so found, the
-lists are gone through again for pairs that lie in different components, so no link between
-components is lost and pairs inside a component, which change nothing, are never made.
+What hangs together by such pairs and ties is a group. A group's whole sets are multiplied block by block: a task
+holds two blocks of bounded size, accumulates the overlaps of all their pairs as dense products over
+slices of the n-grams, and hands on a spanning forest of the links, so that no step has a row for each
+pair of a group. Blocks hold sets of like size, and blocks whose sizes rule out a link never meet.
 
 Documents with equal sets are one class and enter once.
 
 Cases: null or white-space texts have no n-grams and link with nothing; fewer words than n make
 one n-gram of all; a null doc_id takes no part (component null, size counted); rows that repeat
 a doc_id are one document with the links of all; equal sets always link; no rows, no result.
+Other columns than doc_id and text aren't read. Very long texts are read whole; one is a block of its own.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, read, save
@@ -44,15 +45,15 @@ with np.errstate(over="ignore"):
     BYTE = ((_seed ^ (_seed >> np.uint64(27))) * M2) | np.uint64(1)
 BYTE[65:91] = BYTE[97:123]
 #: Posting lists up to this length are multiplied out at once.
-SHORT = 64
-#: Members of a posting list that go to one part.
-PART = 2000
+SHORT = 32
+#: Members of a very frequent n-gram's posting list that go to one part; postings of a bucket of n-grams, about.
+PART, BUCKET = 10_000, 1 << 19
 #: An n-gram counts as frequent where it is in more than this share of the documents.
 FREQUENT = 1 / 2000
 BLOOM_BITS_LOG2 = 26
-GROUP_BYTES = 4 << 20
-#: n-grams of the sets that a block of pairs holds, about.
-BLOCK = 1 << 23
+GROUP_BYTES = 1 << 18
+#: n-grams that a task sorts at once; sets and n-grams of a block of a group, at most (but for a set that is larger alone); cells of a dense slice.
+CHUNK, ROWS, BLOCK, CELLS = 1 << 20, 1024, 1 << 18, 1 << 21
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -144,16 +145,20 @@ def scan(docs: DataFrame, n: int, frequent: float) -> DataFrame:
             keep = total > max(1, frequent * docs_seen / 2)  # sums so far; rare ones are let go, which costs speed alone
             return both[keep], total[keep]
 
+        size = 0
         for batch in batches:
-            ids, out, size = batch.column(0), [], 0
+            ids, out = batch.column(0), []
             for i, s in sets_of(batch, "text", n):
                 out.append((0, ids[i].as_py(), len(s), class_key(s) if len(s) else None))
                 held.append(s)
                 size += len(s)
-            docs_seen += batch.num_rows
-            counted, counts = fold(counted, counts, held)
-            held = []
+                docs_seen += 1
+                if size > CHUNK:
+                    counted, counts = fold(counted, counts, held)
+                    held, size = [], 0
             yield rows(out)
+        if held:
+            counted, counts = fold(counted, counts, held)
         keep = counts > max(1, frequent * docs_seen)
         if keep.any():
             yield rows([(1, int(h), int(c), None) for h, c in zip(counted[keep].view(np.int64), counts[keep])])
@@ -188,174 +193,255 @@ def heads(docs: DataFrame, n: int, t: Fraction, common) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key binary, n int, head binary")
 
 
-def postings(classes: DataFrame, common) -> DataFrame:
-    """(gram, part, node, n): a row for each n-gram of a head. The list of a very frequent one is dealt into parts; part is -1 for one that is whole."""
+def postings(classes: DataFrame, common, buckets: int) -> DataFrame:
+    """(bucket, grams, parts, nodes, sizes): the n-grams of heads (node, n, head), dealt to buckets as raw arrays.
+
+    The list of a very frequent n-gram is dealt into parts, numbered from 0; part is -1 for one that is whole.
+    """
 
     def run(batches):
         grams, counts = common.value
+        held, size = [], 0
         for batch in batches:
             found = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
-            at, g = np.repeat(np.arange(batch.num_rows), [len(x) for x in found]), np.concatenate([np.empty(0, np.uint64), *found])
-            parts = np.ones(len(g), np.int64)
-            if len(grams):
-                near = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-                parts += np.where(grams[near] == g, counts[near], 0) // PART
-            own = np.asarray(batch.column(0), dtype=np.int64)[at]
-            part = np.where(parts > 1, (mixed(own.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(part, pa.int32()), pa.array(own), batch.column(1).take(pa.array(at, pa.int64()))], names=["gram", "part", "node", "n"])
-
-    return classes.select("node", "n", "head").mapInArrow(run, "gram long, part int, node long, n int")
+            lengths = [len(x) for x in found]
+            held.append((np.concatenate([np.empty(0, np.uint64), *found]), np.repeat(np.asarray(batch.column(0), dtype=np.int64), lengths), np.repeat(np.asarray(batch.column(1), dtype=np.int32), lengths)))
+            size += sum(lengths)
+            if size > CHUNK:
+                yield dealt(*(np.concatenate(x) for x in zip(*held)), grams, counts)
+                held, size = [], 0
+        if size:
+            yield dealt(*(np.concatenate(x) for x in zip(*held)), grams, counts)
+
+    def dealt(g, own, n, grams, counts):
+        parts = np.ones(len(g), np.int64)
+        if len(grams):
+            near = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+            parts += np.where(grams[near] == g, counts[near], 0) // PART
+        part = np.where(parts > 1, (mixed(own.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts, -1).astype(np.int32)
+        with np.errstate(over="ignore"):
+            bucket = (mixed(g + part.astype(np.uint64) * STEP) >> np.uint64(16)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, arrays = bucket[order], [x[order] for x in (g, part, own, n)]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        raw = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in arrays]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *raw], names=["bucket", "grams", "parts", "nodes", "sizes"])
+
+    return classes.select("node", "n", "head").mapInArrow(run, "bucket long, grams binary, parts binary, nodes binary, sizes binary")
 
 
 def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
-    """(a, b, na, nb, c, gram): overlap counts of pairs in each posting list, na <= nb.
+    """(a, b, na, nb, c, gram) from the posting lists of postings().
 
-    Rows come sorted by list, size and a hash. Short lists are multiplied out. In long ones, and
-    in parts of lists, each member meets its neighbour and the first of its size range, with a
-    count above any bound; every member also leaves a row with its n-gram and no b, for the
-    second round.
+    Short lists are multiplied out: a row with the overlaps c > 0 that a bucket has of a pair, na <= nb.
+    A member of a long list, or of a part of one, leaves a row that ties it to the list's first (c = 0). The first
+    of each part leaves its n-gram and no b, so that parts can be tied.
     """
-    ratio, sure = float(t), 1 << 30
+    num, den = t.numerator, t.denominator
+    types = (np.uint64, np.int32, np.int64, np.int32)
 
     def run(batches):
-        held, going = None, False  # going: the first list here is the rest of a long one
+        current, held = None, []
         for batch in batches:
-            rows = [np.asarray(batch.column(k)).astype(np.int64) for k in range(4)]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            cuts = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            last = int(cuts[-1]) if len(cuts) else 0
-            if len(rows[0]) - last > 50 * short:  # such a list is worked through in blocks that overlap by one row
-                yield from block(rows, [0, *cuts.tolist(), len(rows[0])], going, True)
-                held, going = [r[-1:] for r in rows], True
-            else:
-                if last:
-                    yield from block([r[:last] for r in rows], [0, *cuts.tolist()], going, False)
-                    going = False
-                held = [r[last:] for r in rows]
-        if held is not None and len(held[0]):
-            yield from block(held, [0, len(held[0])], going, False)
-
-    def block(rows, cuts, going, goes_on):
-        grams, parts, keys, sizes = (x.tolist() for x in rows)
-        total: dict = {}  # a pair's overlaps within the block are summed before they leave
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            alone = parts[lo] < 0 and not (going and lo == 0) and not (goes_on and hi == len(keys))
-            if alone and hi - lo <= short:
-                for i in range(lo, hi - 1):
-                    a, least = keys[i], sizes[i] + 1e-9
-                    for j in range(i + 1, hi):
-                        if least < ratio * sizes[j]:
-                            break
-                        if a == keys[j]:
-                            continue
-                        b = keys[j]  # one order for each pair, or its counts would be split
-                        if (pair := (a, b, None) if sizes[i] < sizes[j] or a < b else (b, a, None)) in total:
-                            total[pair][2] += 1
-                        else:
-                            total[pair] = [sizes[i], sizes[j], 1]
-                continue
-            lead, gram = lo, grams[lo]
-            for i in range(lo, hi):
-                total[(keys[i], None, gram)] = [sizes[i], 0, 0]
-                if sizes[lead] + 1e-9 < ratio * sizes[i]:
-                    lead = i
-                for j in {lead, i - 1} - {i, lo - 1}:
-                    if keys[j] != keys[i]:
-                        a, b = (keys[j], keys[i]) if sizes[j] < sizes[i] or keys[j] < keys[i] else (keys[i], keys[j])
-                        total[a, b, None] = [sizes[j], sizes[i], sure]
-        if total:
-            a, b, gram = zip(*total)
-            na, nb, c = zip(*total.values())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int32()), pa.array(nb, pa.int32()), pa.array(c, pa.int64()), pa.array(gram, pa.int64())], names=["a", "b", "na", "nb", "c", "gram"])
-
-    dealt = lists.repartition("gram", "part").sortWithinPartitions("gram", "part", "n", F.xxhash64("node", F.col("gram") % 4))
-    return dealt.mapInArrow(run, "a long, b long, na int, nb int, c long, gram long")
-
-
-def bloom_of(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over keys, merged from each task's own bits, as packed bytes."""
+            for bucket, *raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if bucket != current and held:
+                    yield from multiplied(held)
+                    held = []
+                current = bucket
+                held.append(raw)
+        if held:
+            yield from multiplied(held)
+
+    def multiplied(held):
+        g, part, node, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), types))
+        order = np.lexsort((node, n, part, g))
+        g, part, node, n = g[order], part[order], node[order], n[order].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
+        length = np.diff(np.r_[start, len(g)])
+        whole = part[start] < 0
+        for k in np.unique(length[whole & (length > 1) & (length <= short)]):
+            lists_of = start[whole & (length == k)]
+            i, j = np.triu_indices(k, 1)
+            step = max(1, CHUNK // len(i))
+            for at in range(0, len(lists_of), step):
+                here = lists_of[at : at + step, None]
+                x, y = (here + i).ravel(), (here + j).ravel()
+                fits = (den * n[x] >= num * n[y]) & (node[x] != node[y])
+                yield from summed(node[x[fits]], node[y[fits]], n[x[fits]], n[y[fits]])
+        far = (length > short) | ~whole
+        if far.any():
+            first = np.minimum.reduceat(node, start)
+            ties = np.stack([np.repeat(first, length), node], 1)[np.repeat(far, length)]
+            ties = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
+            yield frame(ties[:, 0], ties[:, 1], 0, 0, 0, None)
+            tied = np.flatnonzero(~whole)
+            if len(tied):
+                yield frame(first[tied], None, 0, 0, 0, g[start[tied]].view(np.int64))
+
+    def summed(a, b, na, nb):
+        if len(a):
+            order = np.lexsort((nb, na, b, a))
+            rows = np.stack([a, b, na, nb], 1)[order]
+            new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+            yield frame(*rows[new].T, np.diff(np.r_[new, len(rows)]), None)
+
+    def frame(a, b, na, nb, c, gram):
+        column = lambda x, kind: pa.nulls(len(a), kind) if x is None else pa.array(np.broadcast_to(x, len(a)).copy(), kind)
+        return pa.RecordBatch.from_arrays([column(x, k) for x, k in zip((a, b, na, nb, c, gram), (pa.int64(),) * 6)], names=["a", "b", "na", "nb", "c", "gram"])
+
+    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "a long, b long, na long, nb long, c long, gram long")
+
+
+def bloom_of(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over one long column, merged from each task's own bits, as bytes."""
 
     def run(batches):
         bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
         for batch in batches:
-            for p in places(b"".join(batch.column(0).to_pylist())).T:
+            for p in places(np.asarray(batch.column(0), dtype=np.int64)):
                 np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
         part = np.flatnonzero(bits.reshape(-1, 4096).any(1))
         for i in part:
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bits[i * 4096 : (i + 1) * 4096].tobytes()], pa.binary())], names=["part", "bits"])
 
-    found = keys.mapInArrow(run, "part long, bits binary").toArrow()
+    merged = ids.coalesce(4).mapInArrow(run, "part long, bits binary").toArrow()
     bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
-    for i, b in zip(found.column(0).to_pylist(), found.column(1).to_pylist()):
+    for i, b in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
         bits[i * 4096 : (i + 1) * 4096] |= np.frombuffer(b, np.uint8)
     return bits
 
 
-def places(keys: bytes) -> np.ndarray:
-    h = np.frombuffer(keys, np.uint64).reshape(-1, 2)
-    mask = np.uint64((1 << BLOOM_BITS_LOG2) - 1)
+def places(ids: np.ndarray) -> list[np.ndarray]:
+    """Where in the filter each id has its bits."""
+    h, mask = mixed(ids.view(np.uint64)), np.uint64((1 << BLOOM_BITS_LOG2) - 1)
     with np.errstate(over="ignore"):
-        return np.stack([((h[:, 0] + np.uint64(k) * (h[:, 1] | np.uint64(1))) >> np.uint64(20)) & mask for k in range(3)], 1).astype(np.int64)
+        return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 19, 38)]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Of the distinct pairs (a, b) of nodes, those whose whole sets have similarity t or more.
+def blocks(groups: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """(component, s, i, s2, j, side, node, key): the pairs of blocks in which each set of a group meets others.
 
-    Pairs that hang together go to one block, so that a set travels once and not with each of
-    its pairs; what hangs together beyond BLOCK n-grams is split by its pairs' first nodes.
-    A task holds the sets of one block. classes: (key, node, n).
+    A group of no more than a block's size is one block. A larger one is parted by size class (a power of 1/t; sets
+    that link are in the same class or in neighbours) and by hash. groups: (node, component); classes: (key, node, n).
     """
+    member = groups.join(classes, "node").withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / float(t))) + 1e-9))
+    fits = lambda: F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / ROWS))
+    whole = member.groupBy("component").agg(fits().alias("of")).select("component", (F.col("of") == 1).alias("one"))
+    member = save(member.join(whole, "component").withColumn("cls", F.when(F.col("one"), F.lit(0)).otherwise(F.col("cls"))).drop("one"), "members")
+    next_to = Window.partitionBy("component").orderBy("cls")  # a row for each size class
+    per = member.groupBy("component", "cls").agg(fits().alias("k")).withColumn("after", F.lead(F.struct("cls", "k")).over(next_to)).withColumn("before", F.lag(F.struct("cls", "k")).over(next_to))
+    per = per.select("component", "cls", "k", F.when(F.col("after.cls") == F.col("cls") + 1, F.col("after.k")).alias("up"), F.when(F.col("before.cls") == F.col("cls") - 1, F.col("before.k")).alias("down"))
+    dealt = member.join(per, ["component", "cls"]).withColumn("own", F.pmod(F.xxhash64("key"), "k"))
+
+    def tiles(other: str, s, i, s2, j, side):
+        numbers = F.sequence(F.lit(0).cast("long"), F.col(other) - 1)
+        return F.when(F.col(other).isNull(), F.array().cast("array<struct<s:bigint,i:bigint,s2:bigint,j:bigint,side:int>>")).otherwise(
+            F.transform(numbers, lambda x: F.struct(*[y(x).cast("int" if name == "side" else "long").alias(name) for name, y in zip(("s", "i", "s2", "j", "side"), (s, i, s2, j, side))]))
+        )
+
+    cls, own, at, zero, one = (lambda x: F.col("cls")), (lambda x: F.col("own")), (lambda x: x), (lambda x: F.lit(0)), (lambda x: F.lit(1))
+    inside = tiles("k", cls, lambda x: F.least(x, "own"), cls, lambda x: F.greatest(x, "own"), lambda x: (F.col("own") > x))
+    above, below = tiles("up", cls, own, lambda x: F.col("cls") + 1, at, zero), tiles("down", lambda x: F.col("cls") - 1, at, cls, own, one)
+    return dealt.select("component", "node", "key", F.explode(F.concat(inside, above, below)).alias("tile")).select("component", "tile.*", "node", "key")
+
+
+def forest(left: list[np.ndarray], right: list[np.ndarray], t: Fraction) -> np.ndarray:
+    """For each set (left ones, then right ones) the first that it hangs together with by links.
+
+    Links are between left and right ones, or among the left ones where there are no right ones.
+    """
+    sets, m = left + right, len(left)
+    sizes = np.array([len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    other, across = (slice(m, None), True) if right else (slice(0, m), False)
+    kind = np.float32 if sizes.max() < 1 << 24 else np.float64
+    total = np.zeros((m, len(right) or m), kind)
+    width = max(64, CELLS // len(sets))
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        dense = np.zeros((len(sets), width), kind)
+        dense[row[a:b], column[a:b] - lo] = 1
+        total += dense[:m] @ dense[other].T
+    overlap = total.astype(np.int64)
+    linked = t.denominator * overlap >= t.numerator * (sizes[:m, None] + sizes[other][None] - overlap)
+    label = np.arange(len(sets))
+    while True:  # the least label of all neighbours, until none changes
+        before = label.copy()
+        label[:m] = np.minimum(label[:m], np.where(linked, label[other][None], len(sets)).min(1))
+        if across:
+            label[m:] = np.minimum(label[m:], np.where(linked, label[:m, None], len(sets)).min(0))
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def linked(docs: DataFrame, dealt: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """(a, b): a spanning forest of the links of each pair of blocks. dealt: as from blocks()."""
     spark = docs.sparkSession
-    num, den = t.numerator, t.denominator
-    hung = save(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "hung")
-    sized = hung.join(classes, "node").groupBy("component").agg(F.sum("n").alias("total"))
-    blocks = hung.join(sized, "component").select(F.col("node").alias("a"), F.col("component"), F.ceil(F.col("total") / BLOCK).alias("of"))
-    dealt = save(pairs.join(blocks, "a").select(F.xxhash64("component", F.pmod(F.xxhash64("a"), "of")).alias("block"), "a", "b"), "dealt")
-    need = save(dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("key", "block", "node"), "need")
-    shared = spark.sparkContext.broadcast(bloom_of(need.select("key").distinct()))
+    need = save(dealt, "tiles")
+    shared = spark.sparkContext.broadcast(bloom_of(need.select("node").distinct()))
 
     def wanted(batches):
-        bits, seen = shared.value, set()
+        bits = shared.value
         for batch in batches:
-            keys, sets = [], []
-            for _, s in sets_of(batch, "text", n):
-                if len(s) and (key := class_key(s)) not in seen:
-                    p = places(key)[0]
-                    if all(bits[x >> 3] >> (x & 7) & 1 for x in p):
-                        if len(seen) < 200_000:
-                            seen.add(key)
-                        keys.append(key)
-                        sets.append(s.tobytes())
+            ids = batch.column(0)
+            hit = np.ones(batch.num_rows, bool)
+            for p in places(np.asarray(ids, dtype=np.int64)):
+                hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            keys, sets, size = [], [], 0
+            for _, s in sets_of(batch.filter(pa.array(hit)), "text", n):
+                if len(s):
+                    keys.append(class_key(s))
+                    sets.append(s.tobytes())
+                    size += len(s)
+                if size > CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
+                    keys, sets, size = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
-    sets = docs.select("text").mapInArrow(wanted, "key binary, set binary")
-    rows = sets.join(need, "key").select("block", "node", F.lit(None).cast("long").alias("other"), "key", "set")
-    rows = rows.unionAll(dealt.select("block", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+    # A class's set is read from the rows of its own document, so copies aren't even hashed.
+    sets = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wanted, "key binary, set binary")
+    tile = ["component", "s", "i", "s2", "j"]
+    rows = sets.dropDuplicates(["key"]).join(need, "key").select(*tile, "side", "node", "set")
 
     def compare(batches):
-        current, held = None, {}
+        current, nodes, held = None, ([], []), ([], [])
+        out: list[tuple[int, int]] = []
+
+        def close():
+            if held[0] and (held[1] or len(held[0]) > 1):
+                names = nodes[0] + nodes[1]
+                for k, first in enumerate(forest(held[0], held[1], t)):
+                    if names[k] != names[first]:
+                        out.append((names[first], names[k]))
+
         for batch in batches:
-            a, b = [], []
-            for block, node, other, key, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != current:
-                    current, held = block, {}
-                if other is None:  # a block's sets come before its pairs; copies of a class repeat its set
-                    held.setdefault(node, {})[key] = data
-                elif any(den * o >= num * (x + y - o) for x, y, o in overlaps(held.get(node, {}), held.get(other, {}))):
-                    a.append(node)
-                    b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def overlaps(left, right):
-        for x in left.values():
-            for y in right.values():
-                both = np.frombuffer(x + y, np.uint64).copy()
-                both.sort(kind="stable")
-                yield len(x) // 8, len(y) // 8, int(np.count_nonzero(both[1:] == both[:-1]))
-
-    order = rows.repartition("block").sortWithinPartitions("block", F.col("other").asc_nulls_first())
-    return save(order.mapInArrow(compare, "a long, b long"), "links")
+            for *at, side, node, data in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                if at != current:
+                    close()
+                    current, nodes, held = at, ([], []), ([], [])
+                nodes[side].append(node)
+                held[side].append(np.frombuffer(data, np.uint64))
+            if out:
+                yield pairs_of(out)
+                out.clear()
+        close()
+        if out:
+            yield pairs_of(out)
+
+    def pairs_of(out):
+        a, b = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return save(rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "a long, b long"), "links")
 
 
 def enough(t: Fraction) -> F.Column:
@@ -370,7 +456,7 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), freq
     docs = docs.select("doc_id", "text")
     first = save(scan(docs, n, frequent), "scan")
     rows = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "key")
-    total = rows.count()
+    total, words = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     common = first.where("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("b").alias("df")).where(F.col("df") > max(1, frequent * total / 4)).toArrow()
     grams, df = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
     order = np.argsort(grams)
@@ -382,22 +468,14 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), freq
     again = ties.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("lo").alias("v")).unionAll(ties.where("lo <> hi").select("lo", "hi"))
     again = save(again, "ties")
     found = save(heads(docs, n, threshold, shared).join(classes.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "n", "head"), "heads")
-    counted = save(product(postings(found, shared), threshold), "product")
-    pairs = counted.where("b IS NOT NULL").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b").distinct()
-    links = verified(docs, save(pairs, "pairs"), classes, n, threshold)
-    ends = lambda x: x.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    at = save(connected_components(ends(links).unionAll(again)), "round1")
-    long_rows = counted.where("b IS NULL").select("gram", F.col("a").alias("node"), F.col("na").alias("n")).distinct()
-    if not long_rows.isEmpty():
-        where = long_rows.join(at, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("comp"))
-        split = where.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-        open_lists = save(where.join(split, "gram", "left_semi"), "open")
-        x, y, r = open_lists.toDF("gram", "a", "na", "ca"), open_lists.toDF("gram", "b", "nb", "cb"), float(threshold)
-        across = x.join(y, "gram").where((F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= r * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-        across = save(across, "across")
-        if not across.isEmpty():
-            more = verified(docs, across, classes, n, threshold)
-            at = save(connected_components(ends(links.unionAll(more)).unionAll(again)), "round2")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words * (1 - float(threshold)) / BUCKET))
+    counted = save(product(postings(found, shared, buckets), threshold), "product")
+    pairs = counted.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b")
+    parts = counted.where("b IS NULL").select("gram", "a")
+    parts = parts.groupBy("gram").agg(F.min("a").alias("low")).join(parts, "gram").select("low", "a")
+    groups = save(connected_components(pairs.unionAll(counted.where("c = 0 AND b IS NOT NULL").select("a", "b")).unionAll(parts).toDF("u", "v")), "groups")
+    links = linked(docs, blocks(groups, classes, threshold), n, threshold)
+    at = save(connected_components(links.toDF("u", "v").unionAll(again)), "components")
     named = classes.join(at, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     # Rows of a class meet by key; a hot class is a hot key of an equi-join that Spark may split.
     out = rows.join(named, "key", "left")
