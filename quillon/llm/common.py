@@ -59,7 +59,14 @@ def save(df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(saved: DataFrame) -> None:
+    """Delete a table that save() wrote and nothing will read again."""
+    remove(saved.sparkSession, saved._quillon_path)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

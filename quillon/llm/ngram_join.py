@@ -3,10 +3,11 @@
 Document x n-gram incidence is a sparse 0/1 matrix A; A times its transpose counts overlaps. Only
 the part of it that can hold a link is built. With one global order of n-grams, two sets of
 similarity t or more share an n-gram among the first n - ceil(t n) + 1 of each (their heads), so
-heads alone are multiplied first, a bucket of n-grams at a time. The order puts n-grams that many
-documents hold last, so posting lists are short. A short list is multiplied out; overlaps within heads are
-summed per pair, and pairs below the bound that their sizes set are discarded. A long list stems from
-a family of near copies; its members are tied to its first one, not to each other.
+heads alone are multiplied first, a bucket of n-grams at a time. The order is by hash, but n-grams in more
+documents than a short posting list holds come last (they are counted exactly among the hashes that heads are taken from, and known by a
+Bloom filter; any one filter gives one order, so its errors cost speed alone). A short list is multiplied
+out; overlaps within heads are summed per pair, and pairs below the bound that their sizes set are
+discarded. A long list stems from a family of near copies, whose every n-gram is frequent; its members are tied to its first one, not to each other.
 
 What hangs together by such pairs and ties is a group. A group's whole sets are multiplied block by block: a task
 holds two blocks of bounded size, accumulates the overlaps of all their pairs as dense products over
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, read, save
+from .common import connected_components, discard, read, save
 
 M1, M2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -44,14 +45,13 @@ with np.errstate(over="ignore"):
     _seed = (_seed ^ (_seed >> np.uint64(30))) * M1
     BYTE = ((_seed ^ (_seed >> np.uint64(27))) * M2) | np.uint64(1)
 BYTE[65:91] = BYTE[97:123]
-#: Posting lists up to this length are multiplied out at once.
+#: Posting lists up to this length are multiplied out at once; an n-gram in more documents is frequent.
 SHORT = 32
-#: Members of a very frequent n-gram's posting list that go to one part; postings of a bucket of n-grams, about.
-PART, BUCKET = 10_000, 1 << 19
-#: An n-gram counts as frequent where it is in more than this share of the documents.
-FREQUENT = 1 / 2000
-BLOOM_BITS_LOG2 = 26
+#: n-grams of a bucket, about; share of all hashes, as a multiple of a head's share of its set, among which frequent n-grams are told.
+BUCKET, MARGIN = 1 << 19, 2.5
+BLOOM_BITS_LOG2 = 27
 GROUP_BYTES = 1 << 18
+PAGE = 1 << 14
 #: n-grams that a task sorts at once; sets and n-grams of a block of a group, at most (but for a set that is larger alone); cells of a dense slice.
 CHUNK, ROWS, BLOCK, CELLS = 1 << 20, 1024, 1 << 18, 1 << 21
 
@@ -126,55 +126,98 @@ def head_size(n: int, t: Fraction) -> int:
     return n - math.ceil(t * n) + 1
 
 
-def scan(docs: DataFrame, n: int, frequent: float) -> DataFrame:
-    """One pass over the texts: kind 0 rows (doc_id, n, class) and kind 1 rows (n-gram, count).
+def dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The numbers of the buckets that occur, and for each array the bytes that each of them gets."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, np.int64)
+    return bucket[cuts[:-1]], [[x[order[lo:hi]].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])] for x in arrays]
 
-    A task reports an n-gram that is in more than its share of the task's documents; one that
-    is frequent over all documents is so in some task. What is kept is bounded by the mean
-    set size over that share, whatever the corpus.
-    """
 
-    def run(batches):
-        held, docs_seen = [], 0
-        counted, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+def bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(g) >> np.uint64(16)).astype(np.int64) % buckets
+
+
+def cut_of(t: Fraction) -> np.uint64:
+    """Hashes below it are where frequent n-grams are told."""
+    return np.uint64(min((1 << 64) - 1, int(MARGIN * float(1 - t) * (1 << 64))))
+
 
-        def fold(counted, counts, held):
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            both, at = np.unique(np.concatenate([counted, h]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, c])).astype(np.int64)
-            keep = total > max(1, frequent * docs_seen / 2)  # sums so far; rare ones are let go, which costs speed alone
-            return both[keep], total[keep]
+def scan(docs: DataFrame, n: int, t: Fraction, buckets: int) -> DataFrame:
+    """One pass over the texts: kind 0 rows (doc_id, n, class), and kind 1 rows (bucket, how many, n-grams and their counts).
 
-        size = 0
+    Counts are summed over a chunk of a task before they leave, so a frequent n-gram leaves once a chunk.
+    """
+    cut = cut_of(t)
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             ids, out = batch.column(0), []
             for i, s in sets_of(batch, "text", n):
                 out.append((0, ids[i].as_py(), len(s), class_key(s) if len(s) else None))
-                held.append(s)
-                size += len(s)
-                docs_seen += 1
+                held.append(s[: np.searchsorted(s, cut)])
+                size += len(held[-1])
                 if size > CHUNK:
-                    counted, counts = fold(counted, counts, held)
+                    yield counted(held)
                     held, size = [], 0
-            yield rows(out)
-        if held:
-            counted, counts = fold(counted, counts, held)
-        keep = counts > max(1, frequent * docs_seen)
-        if keep.any():
-            yield rows([(1, int(h), int(c), None) for h, c in zip(counted[keep].view(np.int64), counts[keep])])
+            yield rows(*zip(*out)) if out else rows((), (), (), ())
+        if size:
+            yield counted(held)
 
-    def rows(out):
-        kind, a, b, key = zip(*out) if out else ((), (), (), ())
+    def counted(held):
+        g, c = np.unique(np.concatenate(held), return_counts=True)
+        at, (raw_g, raw_c) = dealt(bucket_of(g, buckets), [g, c.astype(np.uint32)])
+        return rows(np.ones(len(at), int), at, [len(x) // 4 for x in raw_c], [x + y for x, y in zip(raw_g, raw_c)])
+
+    def rows(kind, a, b, key):
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.binary())], names=["kind", "a", "b", "key"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, a long, b long, key binary")
 
 
-def heads(docs: DataFrame, n: int, t: Fraction, common) -> DataFrame:
+def frequent_of(counts: DataFrame, short: int) -> DataFrame:
+    """The n-grams in more than short documents, from scan()'s rows of kind 1."""
+
+    def run(batches):
+        current, held = None, []
+
+        def close():
+            g = np.concatenate([x[: 8 * k].view(np.uint64) for k, x in held])
+            c = np.concatenate([x[8 * k :].view(np.uint32) for k, x in held])
+            order = np.argsort(g, kind="stable")
+            g, c = g[order], c[order].astype(np.int64)
+            new = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(g[new][np.add.reduceat(c, new) > short].view(np.int64))], names=["gram"])
+
+        for batch in batches:
+            for bucket, k, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if bucket != current and held:
+                    yield close()
+                    held = []
+                current = bucket
+                held.append((k, np.frombuffer(raw, np.uint8)))
+        if held:
+            yield close()
+
+    return counts.select("a", "b", "key").repartition("a").sortWithinPartitions("a").mapInArrow(run, "gram long")
+
+
+def head_of(s: np.ndarray, t: Fraction, bits: np.ndarray) -> np.ndarray:
+    """The first n-grams of a sorted set, frequent ones coming last."""
+    h = head_size(len(s), t)
+    for upto in (3 * h, len(s)):
+        part = s[:upto]
+        rare = ~known(part, bits)
+        if rare.sum() >= h:
+            return part[rare][:h]
+    return np.concatenate([part[rare], part[~rare]])[:h]
+
+
+def heads(docs: DataFrame, n: int, t: Fraction, frequent) -> DataFrame:
     """(key, n, head): the head of every set, once for each task and class."""
 
     def run(batches):
-        grams, counts = common.value
         seen: set[bytes] = set()
         for batch in batches:
             out = []
@@ -182,25 +225,21 @@ def heads(docs: DataFrame, n: int, t: Fraction, common) -> DataFrame:
                 if len(s) and (key := class_key(s)) not in seen:
                     if len(seen) < 200_000:
                         seen.add(key)
-                    if len(grams):
-                        at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
-                        df = np.where(grams[at] == s, counts[at], 0)
-                        s = s[np.lexsort((s, df))]
-                    out.append((key, len(s), s[: head_size(len(s), t)].tobytes()))
+                    out.append((key, len(s), head_of(s, t, frequent.value).tobytes()))
             key, size, head = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.array(head, pa.binary())], names=["key", "n", "head"])
 
     return docs.select("text").mapInArrow(run, "key binary, n int, head binary")
 
 
-def postings(classes: DataFrame, common, buckets: int) -> DataFrame:
-    """(bucket, grams, parts, nodes, sizes): the n-grams of heads (node, n, head), dealt to buckets as raw arrays.
+def postings(classes: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
+    """(bucket, grams, nodes, sizes, ties): the n-grams of heads (node, n, head), dealt to buckets as raw arrays.
 
-    The list of a very frequent n-gram is dealt into parts, numbered from 0; part is -1 for one that is whole.
+    Of an n-gram that more than short sets of a chunk hold, one posting leaves for each tie: the smallest node stands for the others,
+    which are listed in ties rows (bucket null; nodes: pairs). Its size is negative then, which marks the list as long.
     """
 
     def run(batches):
-        grams, counts = common.value
         held, size = [], 0
         for batch in batches:
             found = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
@@ -208,42 +247,42 @@ def postings(classes: DataFrame, common, buckets: int) -> DataFrame:
             held.append((np.concatenate([np.empty(0, np.uint64), *found]), np.repeat(np.asarray(batch.column(0), dtype=np.int64), lengths), np.repeat(np.asarray(batch.column(1), dtype=np.int32), lengths)))
             size += sum(lengths)
             if size > CHUNK:
-                yield dealt(*(np.concatenate(x) for x in zip(*held)), grams, counts)
+                yield leaving(*(np.concatenate(x) for x in zip(*held)))
                 held, size = [], 0
         if size:
-            yield dealt(*(np.concatenate(x) for x in zip(*held)), grams, counts)
+            yield leaving(*(np.concatenate(x) for x in zip(*held)))
 
-    def dealt(g, own, n, grams, counts):
-        parts = np.ones(len(g), np.int64)
-        if len(grams):
-            near = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
-            parts += np.where(grams[near] == g, counts[near], 0) // PART
-        part = np.where(parts > 1, (mixed(own.view(np.uint64)) >> np.uint64(8)).astype(np.int64) % parts, -1).astype(np.int32)
-        with np.errstate(over="ignore"):
-            bucket = (mixed(g + part.astype(np.uint64) * STEP) >> np.uint64(16)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        bucket, arrays = bucket[order], [x[order] for x in (g, part, own, n)]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        raw = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in arrays]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *raw], names=["bucket", "grams", "parts", "nodes", "sizes"])
+    def leaving(g, own, n):
+        order = np.lexsort((own, g))
+        g, own, n = g[order], own[order], n[order]
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        length = np.diff(np.r_[start, len(g)])
+        long = length > short
+        ties = np.stack([np.repeat(own[start], length), own], 1)[np.repeat(long, length)]
+        ties = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
+        stay = np.repeat(~long, length)
+        stay[start] = True
+        n[start[long]] *= -1
+        at, raw = dealt(bucket_of(g[stay], buckets), [g[stay], own[stay], n[stay]])
+        binary = lambda x, more: pa.array([*x, more], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([*at.tolist(), None], pa.int64()), *(binary(x, None) for x in raw), binary([None] * len(at), ties.tobytes())], names=["bucket", "grams", "nodes", "sizes", "ties"])
 
-    return classes.select("node", "n", "head").mapInArrow(run, "bucket long, grams binary, parts binary, nodes binary, sizes binary")
+    return classes.select("node", "n", "head").mapInArrow(run, "bucket long, grams binary, nodes binary, sizes binary, ties binary")
 
 
 def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
-    """(a, b, na, nb, c, gram) from the posting lists of postings().
-
-    Short lists are multiplied out: a row with the overlaps c > 0 that a bucket has of a pair, na <= nb.
-    A member of a long list, or of a part of one, leaves a row that ties it to the list's first (c = 0). The first
-    of each part leaves its n-gram and no b, so that parts can be tied.
-    """
+    """(a, b, na, nb, c) from postings(): a row with the overlaps c > 0 that a bucket has of a pair, na <= nb, or
+    a tie of two nodes of a long list (c = 0). Short lists are multiplied out."""
     num, den = t.numerator, t.denominator
-    types = (np.uint64, np.int32, np.int64, np.int32)
+    types = (np.uint64, np.int64, np.int32)
 
     def run(batches):
         current, held = None, []
         for batch in batches:
-            for bucket, *raw in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for bucket, *raw, ties in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if bucket is None:
+                    yield tied(np.frombuffer(ties, np.int64).reshape(-1, 2))
+                    continue
                 if bucket != current and held:
                     yield from multiplied(held)
                     held = []
@@ -252,15 +291,18 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
         if held:
             yield from multiplied(held)
 
+    def tied(pairs):
+        return frame(pairs[:, 0], pairs[:, 1], 0, 0, 0)
+
     def multiplied(held):
-        g, part, node, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), types))
-        order = np.lexsort((node, n, part, g))
-        g, part, node, n = g[order], part[order], node[order], n[order].astype(np.int64)
-        start = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (part[1:] != part[:-1])])
+        g, node, n = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), types))
+        order = np.lexsort((node, np.abs(n), g))
+        g, node, n = g[order], node[order], n[order].astype(np.int64)
+        start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         length = np.diff(np.r_[start, len(g)])
-        whole = part[start] < 0
-        for k in np.unique(length[whole & (length > 1) & (length <= short)]):
-            lists_of = start[whole & (length == k)]
+        long = (length > short) | (np.minimum.reduceat(n, start) < 0)
+        for k in np.unique(length[~long & (length > 1)]):
+            lists_of = start[~long & (length == k)]
             i, j = np.triu_indices(k, 1)
             step = max(1, CHUNK // len(i))
             for at in range(0, len(lists_of), step):
@@ -268,55 +310,56 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
                 x, y = (here + i).ravel(), (here + j).ravel()
                 fits = (den * n[x] >= num * n[y]) & (node[x] != node[y])
                 yield from summed(node[x[fits]], node[y[fits]], n[x[fits]], n[y[fits]])
-        far = (length > short) | ~whole
-        if far.any():
-            first = np.minimum.reduceat(node, start)
-            ties = np.stack([np.repeat(first, length), node], 1)[np.repeat(far, length)]
-            ties = np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0)
-            yield frame(ties[:, 0], ties[:, 1], 0, 0, 0, None)
-            tied = np.flatnonzero(~whole)
-            if len(tied):
-                yield frame(first[tied], None, 0, 0, 0, g[start[tied]].view(np.int64))
+        if long.any():
+            ties = np.stack([np.repeat(np.minimum.reduceat(node, start), length), node], 1)[np.repeat(long, length)]
+            yield tied(np.unique(ties[ties[:, 0] != ties[:, 1]], axis=0))
 
     def summed(a, b, na, nb):
         if len(a):
             order = np.lexsort((nb, na, b, a))
             rows = np.stack([a, b, na, nb], 1)[order]
             new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
-            yield frame(*rows[new].T, np.diff(np.r_[new, len(rows)]), None)
+            yield frame(*rows[new].T, np.diff(np.r_[new, len(rows)]))
 
-    def frame(a, b, na, nb, c, gram):
-        column = lambda x, kind: pa.nulls(len(a), kind) if x is None else pa.array(np.broadcast_to(x, len(a)).copy(), kind)
-        return pa.RecordBatch.from_arrays([column(x, k) for x, k in zip((a, b, na, nb, c, gram), (pa.int64(),) * 6)], names=["a", "b", "na", "nb", "c", "gram"])
+    def frame(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(columns[0])).copy(), pa.int64()) for x in columns], names=["a", "b", "na", "nb", "c"])
 
-    dealt = lists.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "a long, b long, na long, nb long, c long, gram long")
+    # Rows of ties alone have no bucket; they needn't meet and are spread.
+    spread = lists.withColumn("at", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("ties"), F.lit(1 << 20))))
+    return spread.repartition("at").sortWithinPartitions("at").drop("at").mapInArrow(run, "a long, b long, na long, nb long, c long")
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over one long column, merged from each task's own bits, as bytes."""
+    """A Bloom filter of fixed size over one long column: a few tasks set bits of their own, which are merged by the place in the filter."""
 
     def run(batches):
         bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
         for batch in batches:
-            for p in places(np.asarray(batch.column(0), dtype=np.int64)):
+            for p in places(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64)):
                 np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
-        part = np.flatnonzero(bits.reshape(-1, 4096).any(1))
-        for i in part:
-            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bits[i * 4096 : (i + 1) * 4096].tobytes()], pa.binary())], names=["part", "bits"])
+        for i in np.flatnonzero(bits.reshape(-1, PAGE).any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bits[i * PAGE : (i + 1) * PAGE].tobytes()], pa.binary())], names=["part", "bits"])
 
     merged = ids.coalesce(4).mapInArrow(run, "part long, bits binary").toArrow()
     bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
     for i, b in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
-        bits[i * 4096 : (i + 1) * 4096] |= np.frombuffer(b, np.uint8)
+        bits[i * PAGE : (i + 1) * PAGE] |= np.frombuffer(b, np.uint8)
     return bits
 
 
 def places(ids: np.ndarray) -> list[np.ndarray]:
-    """Where in the filter each id has its bits."""
-    h, mask = mixed(ids.view(np.uint64)), np.uint64((1 << BLOOM_BITS_LOG2) - 1)
+    """Where in the filter each number has its bits."""
+    h, mask = mixed(ids + STEP), np.uint64((1 << BLOOM_BITS_LOG2) - 1)
+    return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 18, 37)]
+
+
+def known(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which numbers may be in the filter."""
     with np.errstate(over="ignore"):
-        return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 19, 38)]
+        hit = np.ones(len(ids), bool)
+        for p in places(ids):
+            hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
 def blocks(groups: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
@@ -392,10 +435,7 @@ def linked(docs: DataFrame, dealt: DataFrame, n: int, t: Fraction) -> DataFrame:
     def wanted(batches):
         bits = shared.value
         for batch in batches:
-            ids = batch.column(0)
-            hit = np.ones(batch.num_rows, bool)
-            for p in places(np.asarray(ids, dtype=np.int64)):
-                hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+            hit = known(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64), bits)
             keys, sets, size = [], [], 0
             for _, s in sets_of(batch.filter(pa.array(hit)), "text", n):
                 if len(s):
@@ -450,30 +490,28 @@ def enough(t: Fraction) -> F.Column:
     return F.col("c") >= F.ceil(r / (1 + r) * (F.col("na") + F.col("nb")) - 1e-6) - (F.ceil(r * F.col("nb") - 1e-6) - 1)
 
 
-def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), frequent: float = FREQUENT) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), short: int = SHORT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = save(scan(docs, n, frequent), "scan")
-    rows = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "key")
-    total, words = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    common = first.where("kind = 1").groupBy(F.col("a").alias("gram")).agg(F.sum("b").alias("df")).where(F.col("df") > max(1, frequent * total / 4)).toArrow()
-    grams, df = common.column(0).to_numpy().view(np.uint64), common.column(1).to_numpy()
-    order = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[order], df[order]))
+    # The buckets' number follows from the texts' bytes, which file sizes bound below; a bucket is sorted in memory.
+    chars = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(chars / 6 * MARGIN * float(1 - threshold) / BUCKET))
+    first = save(scan(docs, n, threshold, buckets), "scan")
+    rows = save(first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "key"), "rows")
+    frequent = spark.sparkContext.broadcast(bloom_of(save(frequent_of(first.where("kind = 1"), short), "frequent")))
+    discard(first)
     ids = rows.where("key IS NOT NULL AND doc_id IS NOT NULL")
     # Nodes are documents: a class stands at its smallest doc_id, and a doc_id in several classes ties them.
     classes = save(ids.groupBy("key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")), "classes")
     ties = ids.join(classes, "key").where("doc_id <> node").groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     again = ties.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("lo").alias("v")).unionAll(ties.where("lo <> hi").select("lo", "hi"))
     again = save(again, "ties")
-    found = save(heads(docs, n, threshold, shared).join(classes.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "n", "head"), "heads")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(words * (1 - float(threshold)) / BUCKET))
-    counted = save(product(postings(found, shared, buckets), threshold), "product")
+    found = save(heads(docs, n, threshold, frequent).join(classes.select("key", "node"), "key").dropDuplicates(["key"]).select("node", "n", "head"), "heads")
+    counted = save(product(postings(found, buckets, short), threshold, short), "product")
+    discard(found)
     pairs = counted.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b")
-    parts = counted.where("b IS NULL").select("gram", "a")
-    parts = parts.groupBy("gram").agg(F.min("a").alias("low")).join(parts, "gram").select("low", "a")
-    groups = save(connected_components(pairs.unionAll(counted.where("c = 0 AND b IS NOT NULL").select("a", "b")).unionAll(parts).toDF("u", "v")), "groups")
+    groups = save(connected_components(pairs.unionAll(counted.where("c = 0").select("a", "b")).toDF("u", "v")), "groups")
     links = linked(docs, blocks(groups, classes, threshold), n, threshold)
     at = save(connected_components(links.toDF("u", "v").unionAll(again)), "components")
     named = classes.join(at, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))

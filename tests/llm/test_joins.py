@@ -31,8 +31,8 @@ def brute(rows, n, t):
     return sorted(((i, len(s), find(i) if i is not None else None) for (i, _), s in zip(rows, sets)), key=str)
 
 
-@pytest.mark.parametrize("n,t,frequent", [(3, Fraction(9, 10), 1 / 2000), (5, Fraction(4, 5), 1 / 2000), (3, Fraction(4, 5), 0.0)])
-def test_join_equals_brute_force(spark, n, t, frequent):
+@pytest.mark.parametrize("n,t,short", [(3, Fraction(9, 10), 32), (5, Fraction(4, 5), 32), (3, Fraction(4, 5), 3)])
+def test_join_equals_brute_force(spark, n, t, short):
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(300)]
     rows = []
@@ -53,7 +53,7 @@ def test_join_equals_brute_force(spark, n, t, frequent):
     order = rng.permutation(len(rows))
     rows = [rows[i] for i in order]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, ngram_join.join(df, n, t, frequent).collect()), key=str)
+    got = sorted(map(tuple, ngram_join.join(df, n, t, short).collect()), key=str)
     assert got == brute(rows, n, t)
 
 
@@ -61,15 +61,16 @@ def test_join_of_nothing(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_long_lists_and_parts(spark, monkeypatch):
-    """Every list as a long one, in parts: the second round finds what the first one's stars miss."""
-    import quillon.llm.ngram_join as m
-
+@pytest.mark.parametrize("blocked", [False, True])
+def test_long_lists_and_blocks(spark, monkeypatch, blocked):
+    """Every list as a long one, chunks and blocks of a few sets, several slices of n-grams: nothing is lost."""
+    if blocked:
+        for name, value in (("CHUNK", 300), ("ROWS", 7), ("BLOCK", 1 << 12), ("CELLS", 1 << 10)):
+            monkeypatch.setattr(ngram_join, name, value)
     rng = np.random.default_rng(9)
     a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
-    rows = [(k, " ".join(w if rng.random() > 0.03 else f"z{rng.integers(10**6)}" for w in (a if k % 2 else b))) for k in range(80)]
-    monkeypatch.setattr(m.product, "__defaults__", (1,))
-    got = sorted(map(tuple, m.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(4, 5)).collect()), key=str)
+    rows = [(k, " ".join(w if rng.random() > 0.03 else f"z{rng.integers(10**6)}" for w in (a if k % 2 else b)[: 60 - k % 7])) for k in range(80)]
+    got = sorted(map(tuple, ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(4, 5), 1).collect()), key=str)
     assert got == brute(rows, 3, Fraction(4, 5))
 
 
