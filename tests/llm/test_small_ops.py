@@ -147,7 +147,7 @@ def test_mix_targets_and_cases(spark):
     assert out.columns == docs.columns
     words = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
     for r in sources:
-        assert abs((words.get(r["__mix_source"]) or 0) - r["target"]) <= 8
+        assert abs((words.get(r["source"]) or 0) - r["target"]) <= 8
     assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix_sources(docs).collect()))
     assert mixing.mix_sources(documents(spark, [])).count() == 0
@@ -155,10 +155,29 @@ def test_mix_targets_and_cases(spark):
 
 def test_mix_caps_small_sources(spark):
     docs = documents(spark, [(1, "a b c d", "en", "a"), *[(i, "w " * 50, "en", "b") for i in range(2, 40)], *[(i, "w " * 50, "en", "c") for i in range(40, 80)]])
-    t = {r["__mix_source"]: (r["source_size"], r["target"]) for r in mixing.plan(mixing.measure(docs)).collect()}
+    t = {r["source"]: (r["source_size"], r["target"]) for r in mixing.plan(mixing.measure(docs)).collect()}
     assert t["a"] == (4, 12.0) and math.isclose(sum(x[1] for x in t.values()), sum(x[0] for x in t.values())) and math.isclose(t["b"][1], 2 * t["c"][1])
 
 
+def test_mix_inclusion_follows_the_odds(spark):
+    """Over many seeds a document's share of samples is its inclusion probability, which grows with its size class up to certainty."""
+    rows = [(i, "w " * (1, 2, 5, 16, 40)[i % 5], "en", "ab"[i % 2]) for i in range(1200)]
+    docs, taken, seeds = documents(spark, rows), {}, 3
+    sources = None
+    for seed in range(seeds):
+        measured = mixing.measure(docs, str(seed))
+        plan = mixing.plan(measured.drop("d"))
+        sources = {r["source"]: r for r in plan.collect()}
+        for r in mixing.apply(measured, plan).select("d.doc_id", "copies").collect():
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["copies"]
+    for source in "ab":
+        r = sources[source]
+        for size in (1, 2, 5, 16, 40):
+            own = [taken[i] / seeds for i, t, _, s in rows if s == source and len(t) == 2 * size]
+            assert abs(np.mean(own) - r["whole"] - min(1, r["c"] * max(size >> max(size.bit_length() - 3, 0) << max(size.bit_length() - 3, 0), 1))) < 0.12
+    assert sources["b"]["c"] > 0
+
+
 # Lines
 
 
@@ -167,7 +186,7 @@ def test_line_dedup_cases(spark):
     near = line.replace("lazy", "lazi")
     docs = documents(spark, [(2, f"{line}\nshort\nunique sentence about something else entirely", "en", "s"), (1, f"short\n{near}", "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (None, line, "en", "s")]).withColumn("gone", F.lit("x")).withColumn("line", F.lit("y"))
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
-    assert got == {1: f"short\n{near}", 2: "short\nunique sentence about something else entirely", 3: None, 4: "", None: ""}
+    assert got == {1: f"short\n{near}", 2: "unique sentence about something else entirely", 3: None, 4: "", None: ""}
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
