@@ -5,13 +5,14 @@ found by beam search; the squared norm of that sum is stored beside the codes. A
 products with all codewords are a lookup table, from which a code's distance is a few additions.
 The best by that distance are reranked exactly, in double precision, on the original vectors.
 
-Codebooks are fitted on at most ``sample`` vectors. Every row is coded. Queries are scored in
+Codebooks are fitted on at most ``sample`` vectors. Every distinct vector is coded; of the ids that share one, the smallest
+k + 1 stand in the answer, which are all that can, so that a vector in a third of all rows crowds out no other. Queries are scored in
 blocks against blocks of codes; queries are copied to as many lanes as there are partitions.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, as
-queries or candidates; nor do rows with a null id, or vectors of another dimension than the
-sample's first. Ties go to the smaller id; repeated ids are candidates each, but never of their own id; an empty
-table gives an empty result.
+queries or candidates; nor do rows with a null id. Vectors of different dimensions have no distance: each dimension is searched by itself.
+Ties go to the smaller id. Rows alike in id and vector count once; an id with several vectors is as near as its nearest, and never its own
+neighbour. Distances beyond double precision are infinite and come last. Other columns aren't read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def index(vectors: DataFrame, books: np.ndarray, beam: int = 4) -> DataFrame:
                 c, sums = encode(x[at : at + 2048], b, beam)
                 ids.append(np.asarray(batch.column(0), dtype=np.int64)[at : at + 2048])
                 codes.append(c)
-                norms.append((sums**2).sum(1).astype(np.float32))
+                norms.append((sums**2).sum(1))
                 if sum(map(len, ids)) >= CODE_BLOCK:
                     yield out()
                     ids, codes, norms, count = [], [], [], count + 1
@@ -116,38 +117,51 @@ def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, codes, norms, qids, q = (batch.column(k)[i].as_buffer() for k in range(5))
-                ids, codes, norms = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(norms, np.float32)
+                ids, codes, norms = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(norms, np.float64)
                 qids, q = np.frombuffer(qids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)
                 for one, row in zip(qids, q):
-                    table = (-2 * b @ row).astype(np.float32)
+                    table = -2 * b @ row
                     d = norms.copy()
                     for k in range(m):
                         d += table[k][codes[:, k]]
-                    d[ids == one] = np.inf
+                    d[np.isnan(d)] = np.inf
                     at = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1]) if len(d) > keep else np.arange(len(d))
-                    at = at[np.isfinite(d[at])]
                     at = at[np.lexsort((ids[at], d[at]))[:keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), one)), pa.array(ids[at]), pa.array(d[at])], names=["query_id", "vec_id", "approx"])
 
-    found = coded.join(dealt, "lane").select("ids", "codes", "norms", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, approx float")
+    found = coded.join(dealt, "lane").select("ids", "codes", "norms", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, approx double")
     best = Window.partitionBy("query_id").orderBy("approx", "vec_id")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).drop("place")
+    # A query's id with several vectors, and an id that stands for several, are found once each.
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("query_id", "vec_id").distinct()
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 10, keep: int = 500, sample: int = 8192) -> DataFrame:
     """The k nearest rows of table to each row of queries (both: vec_id, embedding): query_id, rank, vec_id, score."""
-    spark = table.sparkSession
-    head = usable(table).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for (dim,) in usable(queries).select(F.size("vector")).distinct().collect():  # a model's dimensions, one as a rule
+        out = out.unionByName(search_alike(usable(table, dim), usable(queries, dim), k, keep, sample))
+    return out
+
+
+def search_alike(table: DataFrame, queries: DataFrame, k: int, keep: int, sample: int) -> DataFrame:
+    """search() over usable vectors (vec_id, vector) of one dimension."""
+    # Ids that share a vector: the smallest stands for them in the index. Only k + 1 rows a vector leave a task.
+    alike = Window.partitionBy("vector").orderBy("vec_id")
+    members = table.distinct().withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1)
+    members = save(members.withColumn("stands", F.first("vec_id").over(alike)), "members")
+    wanted = save(queries.distinct(), "queries")
+    distinct = members.where("vec_id = stands").select("vec_id", "vector")
+    head = distinct.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").collect()
     if not head:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(head[0][0])
-    books = train(np.array([r[0] for r in head if len(r[0]) == dim]))
-    vectors, wanted = save(usable(table, dim), "vectors"), save(usable(queries, dim), "queries")
-    near = shortlist(save(index(vectors, books), "codes"), wanted, books, keep)
-    exact = near.join(vectors, "vec_id").join(wanted.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    books = train(np.array([r[0] for r in head]))
+    near = shortlist(save(index(distinct, books), "codes"), wanted, books, keep)
+    ids = near.withColumnRenamed("vec_id", "stands").join(members, "stands").where("vec_id <> query_id")
+    exact = ids.join(wanted.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    nearest = exact.select("query_id", "vec_id", gap.alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return exact.select("query_id", "vec_id", gap.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return nearest.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_additive_ann(spark, sf_dir):

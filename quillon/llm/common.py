@@ -21,9 +21,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir. Unset, it is a temporary one in a single-machine session, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -72,9 +75,12 @@ def discard(saved: DataFrame) -> None:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find over (u, v): alternating large-star and small-star rounds.
 
-    Returns (node, component), component being the smallest node reachable; nodes without an
-    edge are absent. Each round is two aggregations with map-side minima, so a hub costs no
-    task more than its share, and each round's edges are a written table.
+    Returns (node, component), component being the smallest node reachable. Each round is two aggregations with
+    map-side minima, joined back on their keys by equi-joins whose hot keys Spark may split, and its edges are a written
+    table; the round before's is deleted.
+
+    Cases: nodes without an edge to another node are absent, and so are edges with a null end; repeated edges count
+    once; no edges, no rows; columns beside u and v aren't read. More than max_rounds rounds are an error.
     """
     e = save(edges.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "edges")
     seen = None
@@ -84,7 +90,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("y > x").join(low, "x").select(F.col("m").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low2, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        e = save(small, "edges")
+        before, e = e, save(small, "edges")
+        discard(before)
         mark = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -49,7 +49,7 @@ BYTE[65:91] = BYTE[97:123]
 SHORT = 32
 #: n-grams of a bucket, about; share of all hashes, as a multiple of a head's share of its set, among which frequent n-grams are told.
 BUCKET, MARGIN = 1 << 19, 2.5
-BLOOM_BITS_LOG2 = 27
+BLOOM_BITS = 12
 GROUP_BYTES = 1 << 18
 PAGE = 1 << 14
 #: n-grams that a task sorts at once; sets and n-grams of a block of a group, at most (but for a set that is larger alone); cells of a dense slice.
@@ -330,34 +330,35 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over one long column: a few tasks set bits of their own, which are merged by the place in the filter."""
+    """A Bloom filter over one long column, of BLOOM_BITS a number but 2^28 in all at most: a few tasks set bits of their own, which are merged."""
+    log2 = min(28, max(20, math.ceil(math.log2(max(1, ids.count()) * BLOOM_BITS))))
 
     def run(batches):
-        bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
+        bits = np.zeros(1 << log2 >> 3, np.uint8)
         for batch in batches:
-            for p in places(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64)):
+            for p in places(np.asarray(batch.column(0), dtype=np.int64).view(np.uint64), log2):
                 np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
         for i in np.flatnonzero(bits.reshape(-1, PAGE).any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bits[i * PAGE : (i + 1) * PAGE].tobytes()], pa.binary())], names=["part", "bits"])
 
     merged = ids.coalesce(4).mapInArrow(run, "part long, bits binary").toArrow()
-    bits = np.zeros(1 << BLOOM_BITS_LOG2 >> 3, np.uint8)
+    bits = np.zeros(1 << log2 >> 3, np.uint8)
     for i, b in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
         bits[i * PAGE : (i + 1) * PAGE] |= np.frombuffer(b, np.uint8)
     return bits
 
 
-def places(ids: np.ndarray) -> list[np.ndarray]:
-    """Where in the filter each number has its bits."""
-    h, mask = mixed(ids + STEP), np.uint64((1 << BLOOM_BITS_LOG2) - 1)
-    return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 18, 37)]
+def places(ids: np.ndarray, log2: int) -> list[np.ndarray]:
+    """Where in a filter of 2^log2 bits each number has its own."""
+    h, mask = mixed(ids + STEP), np.uint64((1 << log2) - 1)
+    return [((h >> np.uint64(shift)) & mask).astype(np.int64) for shift in (0, 18, 36)]
 
 
 def known(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which numbers may be in the filter."""
     with np.errstate(over="ignore"):
         hit = np.ones(len(ids), bool)
-        for p in places(ids):
+        for p in places(ids, len(bits).bit_length() + 2):
             hit &= (bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
     return hit
 

@@ -280,3 +280,29 @@ def test_search_recall_and_cases(spark):
         assert list(mine["rank"]) == list(range(1, 11)) and np.allclose(mine.score, np.sqrt(((np.array([own[i] for i in mine.vec_id]) - own[q]) ** 2).sum(1)))
     assert hit >= 0.9 * 10 * len(queries)
     assert ann.search(table.where("vec_id > 5000"), table).count() == 0
+
+
+def nearest(rows, queries, k=10):
+    """(query, rank, id, score) by brute force; rows: (id, vector)."""
+    out, rows = [], {(i, tuple(map(float, v))) for i, v in rows}
+    for q in sorted({i for i, _ in queries}):
+        best = {}
+        for i, v in rows:
+            for j, w in rows:
+                if j == q and i != q and len(v) == len(w):
+                    best[i] = min(best.get(i, math.inf), math.sqrt(sum((a - b) * (a - b) for a, b in zip(v, w))))
+        out += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:k])]
+    return out
+
+
+def test_search_repeated_rows_hot_vectors_and_magnitudes(spark):
+    """Rows repeated, a vector that most ids share, ids with two vectors, vectors of 1e20, two dimensions: all as by brute force."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(i, [1.0, 0.0, 0.0, 0.5]) for i in range(100, 220)]
+    rows += [rows[0]] * 3 + [(100, [0.5, 0.5, 0.5, 0.5]), (5, [9.0, 9.0, 9.0, 9.0])]
+    rows += [(300 + i, (rng.normal(size=4) * 1e20).tolist()) for i in range(20)] + [(400 + i, rng.normal(size=3).tolist()) for i in range(5)]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, query_id int")
+    got = ann.search(table, table.where("vec_id % 100 = 0")).collect()
+    want = nearest(rows, [r for r in rows if r[0] % 100 == 0])
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [r[:3] for r in want]
+    assert np.allclose(sorted(r["score"] for r in got), sorted(r[3] for r in want))
