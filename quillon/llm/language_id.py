@@ -7,11 +7,13 @@ is fitted against the rest. A text's score is the product of its presence vector
 (landmark n-grams x landmarks) x (landmarks x languages); the two right-hand factors do not
 depend on the text and are multiplied once, so a batch is scored by one matrix product.
 
-n-grams that no two landmarks share are left out, in fitting and in prediction alike.
+The vocabulary is the n-grams that two landmarks share (all, if none is shared); the kernel is taken over these, in fitting and in prediction alike.
+It is fitted on at most SAMPLE labelled texts, as many of each language as they allow, and on one at least of every language, however many there are.
 
 Cases: a null text, or one with no letter, is ``und`` with score 0; with nothing to learn from,
 every text is. Rows are independent, so repeated rows agree; whole texts are read, long ones in
-slices. Equal scores go to the language first in code-point order. Other columns pass through.
+slices. Equal scores go to the language first in code-point order. Other columns pass through; those named like the two results are replaced.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +31,8 @@ from .common import read
 
 ORDERS = (1, 2, 3)
 SLOTS_LOG2, ODD = 20, np.uint64(0x9E3779B97F4A7C15)
+#: Labelled texts to learn from: in all, of a language, and the length beyond which a text is taken only where a language has no shorter ones.
+SAMPLE, PER_LANGUAGE, USUAL_CHARS = 4096, 300, 20000
 SLICE, BATCH = 1 << 19, 64
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -47,13 +51,18 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
+def slots(g: np.ndarray, table: int) -> np.ndarray:
+    """Where n-grams are in a model's table of that number."""
+    with np.errstate(over="ignore"):
+        h = g * (ODD + np.uint64(2 * table * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    return (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+
+
 @dataclass
 class Model:
     languages: list[str]
-    keys: np.ndarray
-    """The n-gram in each slot of the hash table (an impossible code where none is)."""
-    column: np.ndarray
-    """Its column."""
+    tables: list[tuple[np.ndarray, np.ndarray]]
+    """Hash tables: the n-gram in each slot (an impossible code where none is) and its column. n-grams whose slots are taken are in the next one."""
     coefficients: np.ndarray
     """n-grams x languages."""
 
@@ -65,8 +74,9 @@ class Model:
             for n in ORDERS:
                 if len(part) >= n:
                     g = grams(part, n)
-                    slot = ((g * ODD) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-                    row[self.column[slot[self.keys[slot] == g]]] = 1
+                    for k, (keys, column) in enumerate(self.tables):
+                        slot = slots(g, k)
+                        row[column[slot[keys[slot] == g]]] = 1
 
     def scores(self, texts: list[str]) -> np.ndarray:
         held = np.zeros((len(texts), len(self.coefficients)), np.float32)
@@ -85,12 +95,15 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 400, ridge: float =
     vocabulary, counts = np.unique(np.concatenate(own), return_counts=True)
     if (counts > 1).any():
         vocabulary = vocabulary[counts > 1]
-    slot = ((vocabulary * ODD) >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
-    _, first = np.unique(slot, return_index=True)  # of n-grams that share a slot one stays
-    vocabulary, slot = vocabulary[np.sort(first)], slot[np.sort(first)]
-    keys, column = np.full(1 << SLOTS_LOG2, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << SLOTS_LOG2, np.int32)
-    keys[slot], column[slot] = vocabulary, np.arange(len(vocabulary))
-    model = Model(languages, keys, column, np.zeros((len(vocabulary), len(languages)), np.float32))
+    tables, left = [], np.arange(len(vocabulary))
+    while len(left):
+        slot = slots(vocabulary[left], len(tables))
+        _, first = np.unique(slot, return_index=True)
+        keys, column = np.full(1 << SLOTS_LOG2, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << SLOTS_LOG2, np.int32)
+        keys[slot[first]], column[slot[first]] = vocabulary[left[first]], left[first]
+        tables.append((keys, column))
+        left = np.delete(left, first)
+    model = Model(languages, tables, np.zeros((len(vocabulary), len(languages)), np.float32))
 
     def vectors(which: list[int]) -> np.ndarray:
         held = np.zeros((len(which), len(vocabulary)), np.float32)
@@ -112,20 +125,18 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 400, ridge: float =
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = 300, max_chars: int = 20000, max_languages: int = 256) -> list:
-    """At most per_language labelled texts of each of at most max_languages languages, spread by hash; longer texts aren't used."""
-    draw = F.pmod(F.xxhash64(F.lit("lid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+def training_rows(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, usual_chars: int = USUAL_CHARS) -> list:
+    """The labelled texts to learn from, chosen by rank within their language: usual lengths before long texts, then by a hash of doc_id."""
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    share = counts.select(F.col("lang").alias("__lang"), (F.lit(2.0 * per_language) / F.col("count")).alias("__share"))
-    picked = usable.where(F.length("text") <= max_chars).join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(draw < F.col("__share"))
-    rows = picked.select("lang", "text", draw.alias("draw")).limit(3 * per_language * max_languages).collect()
-    out, taken = [], {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["text"])):
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language:
-            out.append(r)
-    return out
+    place = F.struct((F.length("text") > usual_chars).alias("long"), F.xxhash64(F.lit("lid"), "doc_id").alias("draw"), F.xxhash64("text").alias("other"))
+    keyed = usable.select("lang", "text", place.alias("place"))
+    languages = usable.select("lang").distinct().count()
+    each = max(1, min(per_language, sample // max(1, languages)))
+    # Ranks are taken over narrow rows, of which only the first leave a task; the last one of a language then selects the texts.
+    ranked = keyed.select("lang", "place").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= each)
+    last = ranked.groupBy("lang").agg(F.max("place").alias("last"))
+    rows = keyed.join(last, "lang").where(F.col("place") <= F.col("last")).dropDuplicates(["lang", "place"]).select("lang", "text", "place").collect()
+    return sorted(rows, key=lambda r: (r["lang"], r["place"]))
 
 
 def train(docs: DataFrame, **bounds) -> Model | None:
@@ -135,6 +146,7 @@ def train(docs: DataFrame, **bounds) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with a language and a score from 0 to 1, from the texts alone."""
+    docs = docs.select(*[docs[c] for c in docs.columns if c not in (label, score)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -7,7 +7,8 @@ segment tree over remaining capacities finds the tightest open run in logarithmi
 
 Cases: a null or empty text is the terminator alone; equal lengths are placed in the order of
 (task, row); repeated rows are packed once each; an empty table gives an empty result; a
-document longer than the capacity is cut, its remainder first.
+document longer than the capacity is cut, its remainder first. Very long texts are tokenised whole. pack() keeps all columns
+but those named sequence_id and offset, which it replaces.
 """
 
 from __future__ import annotations
@@ -129,6 +130,7 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
     sum over tasks (a row for each task and length) gives where its numbers begin.
     """
     spark = items.sparkSession
+    items = items.select(*[items[c] for c in items.columns if c not in ("sequence_id", "offset")])
     numbered = T.StructType([*items.schema.fields, T.StructField("__pk_task", T.IntegerType()), T.StructField("__pk_local", T.LongType())])
 
     def number(batches):

@@ -7,7 +7,8 @@ the document number and length that it begins with, which stitches documents acr
 
 Cases: an empty document counts 0; ids after a file's last separator are an open document
 (``closed`` false); an empty file or folder gives no rows; a file that is no whole number of ids
-is an error. Null texts are empty documents. Rows that repeat are counted each.
+is an error, and so is an id that the width of a file's ids cannot hold. Null texts are empty documents, very long ones are
+written whole. Rows that repeat are counted each; no rows, no counts. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         with store.open_output_stream(f"{base}/{name}") as out:
             for batch in batches:
                 for _, ids in encoded(batch, encode):
+                    if len(ids) and int(ids.max()) + SHIFT > np.iinfo(dtype).max:
+                        raise ValueError(f"id {ids.max()} is too large for files of {dtype}")
                     out.write(np.append(ids + SHIFT, END).astype(dtype).tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], names=["file", "ordinal", "doc_id"])

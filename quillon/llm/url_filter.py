@@ -8,7 +8,8 @@ exceeds both its trust and a share of the even spread is blocked; other hosts ar
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 allowed unless its (empty) host is blocked, which never is seeded; a null html has no links; relative links
-are links of a host to itself; repeated rows count each; an empty table gives an empty result.
+are links of a host to itself; repeated rows count each; very long pages are read whole; an empty table gives an empty result.
+Other columns pass through, whatever they are named, but for those that are added, which replace columns of their names.
 """
 
 from __future__ import annotations
@@ -78,14 +79,62 @@ def judge_hosts(known: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages' columns with host, path, rule, verdict, trust and distrust."""
-    known = ruled(pages, rules)
-    hosts = judge_hosts(known.select("host", "rule_verdict", "html"))
-    return known.join(hosts, "host", "left").withColumn("verdict", F.coalesce("rule_verdict", "host_verdict", F.lit("allow"))).drop("rule_verdict", "host_verdict")
+    """pages' columns with host, path, rule, verdict, trust and distrust; columns of pages of these names are replaced."""
+    inner = ruled(pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"), F.col("url"), F.col("html")), rules)
+    hosts = judge_hosts(inner.select("host", "rule_verdict", "html"))
+    found = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("rule_verdict", "host_verdict", F.lit("allow")), "trust": F.col("trust"), "distrust": F.col("distrust")}
+    return inner.join(hosts, "host", "left").select(*[F.col(f"page.`{c}`").alias(c) for c in pages.columns if c not in found], *[v.alias(k) for k, v in found.items()])
 
 
 def op8_url_filter(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
-    known = ruled(pages)
-    hosts = judge_hosts(known.select("host", "rule_verdict", "html"))
-    return known.drop("html").join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"))
+    return judge(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql(rounds: int = 15) -> str:
+    """The rules, and the two ranks round by round, as DuckDB SQL."""
+    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '{ASCII_UPPER}', '{ASCII_LOWER}')"
+    by_length = sorted(RULES, key=lambda r: -len(r[0]) - len(r[1]))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in by_length) + " END"
+    steps = "".join(
+        f""", r{k} AS (
+  SELECT kind, host, sum(mass) AS mass FROM (
+    SELECT r.kind, s.dst AS host, r.mass * s.share * 0.85 AS mass FROM r{k - 1} r JOIN shares s ON r.kind = s.kind AND r.host = s.src
+    UNION ALL SELECT kind, host, seed * (1 - 0.85) FROM seeds) GROUP BY kind, host
+)"""
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH known AS (
+  SELECT page_id, html, {host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), ruled AS (
+  SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS said FROM known
+), links AS (
+  SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)) AS link FROM ruled
+), ends AS (
+  SELECT DISTINCT page_id, host AS src, CASE WHEN regexp_matches(link, '^([a-zA-Z][a-zA-Z0-9+.-]*:)?//') THEN {host("regexp_replace(link, '^//', 'http://')")} ELSE host END AS dst FROM links
+), found AS (
+  SELECT src, dst, count(*) AS n FROM ends WHERE src <> '' AND dst <> '' GROUP BY src, dst
+), hosts AS (
+  SELECT host, sum(a) AS allowed, sum(b) AS blocked FROM (
+    SELECT host, (said IS NOT DISTINCT FROM 'allow')::INT AS a, (said IS NOT DISTINCT FROM 'block')::INT AS b FROM ruled WHERE host <> '' UNION ALL SELECT dst, 0, 0 FROM found) GROUP BY host
+), totals AS (
+  SELECT count(*) AS n, greatest(sum(allowed), 1) AS allowed, greatest(sum(blocked), 1) AS blocked FROM hosts
+), seeds AS (
+  SELECT 'trust' AS kind, host, h.allowed::DOUBLE / t.allowed::DOUBLE AS seed FROM hosts h, totals t WHERE h.allowed > 0
+  UNION ALL SELECT 'distrust', host, h.blocked::DOUBLE / t.blocked::DOUBLE FROM hosts h, totals t WHERE h.blocked > 0
+), ways AS (
+  SELECT 'trust' AS kind, src, dst, n FROM found UNION ALL SELECT 'distrust', dst, src, n FROM found
+), shares AS (
+  SELECT kind, src, dst, n::DOUBLE / (sum(n) OVER (PARTITION BY kind, src))::DOUBLE AS share FROM ways
+  UNION ALL SELECT k.kind, host, host, 1.0 FROM hosts, (VALUES ('trust'), ('distrust')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM ways w WHERE w.kind = k.kind AND w.src = host)
+), r0 AS (
+  SELECT kind, host, seed AS mass FROM seeds
+){steps}, judged AS (
+  SELECT host, round(coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0), 12) AS trust, round(coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0), 12) AS distrust FROM r{rounds} GROUP BY host
+)
+SELECT page_id, ruled.host, path, rule, coalesce(said, CASE WHEN distrust > trust AND distrust * (SELECT greatest(n, 1) FROM totals) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN judged ON ruled.host = judged.host
+"""
+
+
+OP8_SQL = _sql()
