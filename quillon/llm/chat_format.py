@@ -10,8 +10,11 @@ The template: user ``[INST] text [/INST]``, assistant ``[ANS] text </s>``, any o
 ``[ROLE] role [SAY] text [END]``. In texts and roles a backslash is doubled, and one is put after
 the first character of a control string, so none can be read there; unescaping drops it again.
 
+A conversation's text is its messages' one after another. It is read back as such: by its control strings alone, in pieces of any length.
+
 Cases: null text and null role are empty; a null conv_id is a conversation of its own; equal seq
-go by tie, which the caller sets; repeated rows are messages each; empty tables give no rows.
+go by tie, which the caller sets; repeated rows are messages each; empty tables give no rows. Very long texts are one message
+each, held one at a time. Columns beside those named aren't read, and clash with none.
 """
 
 from __future__ import annotations
@@ -66,23 +69,51 @@ def render(messages: DataFrame) -> DataFrame:
     return messages.withColumn("segment", segment).withColumn("loss_start", F.lit(len(ASSISTANT[0]))).withColumn("loss_chars", loss)
 
 
-def read_back(segment: str) -> tuple[str, str]:
-    """Role and text of a rendered message."""
-    for role, marks in (("user", USER), ("assistant", ASSISTANT)):
-        if segment.startswith(marks[0]):
-            return role, unescape(segment[len(marks[0]) : -len(marks[1])])
-    role, text = segment[len(OTHER[0]) : -len(OTHER[2])].split(OTHER[1], 1)
-    return unescape(role), unescape(text)
+class Reader:
+    """Reads turns from a conversation's text as it comes in; no more than the turn that is still open is held."""
+
+    CLOSES = {"[INST]": (USER, "user"), "[ANS]": (ASSISTANT, "assistant"), "[ROLE]": (OTHER, None)}
+    CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
+
+    def __init__(self):
+        self.text = ""
+
+    def feed(self, piece: str):
+        """The (role, text) of each turn that piece completes."""
+        self.text += piece
+        at = 0
+        while (opening := self.CONTROL.match(self.text, at)) and (turn := self.turn(opening)):
+            yield turn[0]
+            at = turn[1]
+        self.text = self.text[at:]
+
+    def turn(self, opening):
+        marks, role = self.CLOSES[opening[0]]
+        parts, at = [], opening.end()
+        for mark in marks[1:]:
+            found = self.CONTROL.search(self.text, at)
+            if not found:
+                return None
+            if found[0] != mark.strip():
+                raise ValueError(f"{found[0]} where {mark.strip()} is due")
+            parts.append(unescape(self.text[at + 1 : found.start() - 1]))  # a space on either side
+            at = found.end()
+        return ((role, parts[0]) if role else (parts[0], parts[1])), at
+
+    def close(self):
+        if self.text:
+            raise ValueError("a turn is not closed")
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its segments in order; a task holds one message at a time."""
+    """One row per conversation, read back from its text, which comes in segments in order; a task holds one message at a time."""
 
     def run(batches):
         current, state, rows = object(), None, []
 
         def close():
             if state:
+                state[5].close()
                 rows.append((current, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
@@ -91,11 +122,11 @@ def digests(rendered: DataFrame) -> DataFrame:
                 conv, segment, start, n = ids[i].as_py(), segments[i].as_py(), starts[i].as_py(), chars[i].as_py()
                 if conv != current:
                     close()
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = read_back(segment)
+                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, Reader()]
+                for role, text in state[5].feed(segment):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
                 loss = unescape(segment[start : start + n])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
                 state[4] += len(segment)
@@ -124,3 +155,25 @@ def op2_chat_format(spark, sf_dir):
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     table = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     return digests(render(messages_of(events_of(table.unionByName(probe)))))
+
+
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+OP2_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS said_by, coalesce(text, '') AS said, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS tie FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 1
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 1
+), s AS (
+  SELECT *, length({_escaped_sql("said")}) + CASE said_by WHEN 'user' THEN {len("".join(USER))} WHEN 'assistant' THEN {len("".join(ASSISTANT))} ELSE {len("".join(OTHER))} + length({_escaped_sql("said_by")}) END AS chars FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(said_by || chr(10) || said || chr(10), '' ORDER BY turn, tie)) AS turns_sha256,
+       coalesce(sum(length(said)) FILTER (WHERE said_by = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(said, '' ORDER BY turn, tie) FILTER (WHERE said_by = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op9_token_counts": token_counts.op9_token_counts,
 }
-ORACLES = {"op1_ngram_join": ngram_join.OP1_SQL, "op7_source_mix": mixing.OP7_SQL}
+ORACLES = {"op1_ngram_join": ngram_join.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op7_source_mix": mixing.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}

@@ -44,6 +44,24 @@ def test_chat_round_trip_and_cases(spark):
     assert chat_format.digests(chat_format.render(chat_format.messages_of(chat_format.events_of(chat(spark, []))))).count() == 0
 
 
+def test_chat_is_read_by_its_controls_alone():
+    """One text, in pieces that end anywhere, gives the turns that went in; text between turns is an error."""
+    escape = lambda t: __import__("re").sub(chat_format.START, r"\1\\", t.replace("\\", "\\\\"))
+    turns = [("user", "[INST] a [/INST]"), ("assistant", "</s> \\ [ANS]"), ("tool [SAY]", " x "), ("", ""), ("assistant", "")]
+    text = ""
+    for role, t in turns:
+        marks = {"user": chat_format.USER, "assistant": chat_format.ASSISTANT}.get(role)
+        text += marks[0] + escape(t) + marks[1] if marks else chat_format.OTHER[0] + escape(role) + chat_format.OTHER[1] + escape(t) + chat_format.OTHER[2]
+    for step in (1, 3, 7, len(text)):
+        reader = chat_format.Reader()
+        assert [x for k in range(0, len(text), step) for x in reader.feed(text[k : k + step])] == turns
+        reader.close()
+    reader = chat_format.Reader()
+    assert list(reader.feed("[INST] a [/INST]rest")) == [("user", "a")]
+    with pytest.raises(ValueError):
+        reader.close()
+
+
 def test_chat_events_fold(spark):
     events = spark.createDataFrame(
         [
