@@ -22,8 +22,8 @@ def literal(n: Column, base: Column | int, symbol: Column) -> Column:
 
 
 def value_text(x: Column) -> Column:
-    """A double that holds an integer or a special value, as text."""
-    return F.when(F.isnan(x), NAN).when(x == float("inf"), INF).when(x == float("-inf"), NEG_INF).otherwise(x.cast("decimal(38,0)").cast("string"))
+    """A double that holds an integer or a special value, as text; null beyond 10**38, which a double doesn't hold exactly."""
+    return F.when(F.isnan(x), NAN).when(x == float("inf"), INF).when(x == float("-inf"), NEG_INF).otherwise(x.try_cast("decimal(38,0)").cast("string"))
 
 
 def trace_text(x: Column) -> Column:

@@ -1,8 +1,8 @@
-"""Definitions compiled to Spark columns: one for the value and one for the cost.
+"""Definitions compiled to Spark columns: value and cost in one pass.
 
 Values are doubles: integers up to 2**53 are exact there, and NaN and the infinities are the
-format's own. Magnitudes beyond that are the exact interpreter's (language.evaluate), see
-operators.evaluation.exact_udf. Python's comparisons, which are false for NaN, are guarded, as
+format's own. For operands that could lead past that (see within), and for loops, values are the exact interpreter's
+(language.evaluate): operators.evaluation.apply_operator chooses by the operands. Python's comparisons, which are false for NaN, are guarded, as
 Spark takes NaN for equal to itself and the largest number.
 """
 
@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import CLAMP
 from .language import Branches, Call, Cmp, Logic, Loop, Num, Undefined, Var
 
 NAN = float("nan")
+#: Doubles hold all integers up to here.
+EXACT = 2.0**53
 
 
 def once(value: Column, use) -> Column:
@@ -42,98 +43,138 @@ def compare(op: str, x: Column, y: Column) -> Column:
     return {"==": known & (x == y), "!=": ~known | (x != y), ">": known & (x > y), "<": known & (x < y), ">=": known & (x >= y), "<=": known & (x <= y)}[op]
 
 
+def _state(v: Column, c: Column) -> Column:
+    return F.struct(v.alias("v"), c.alias("c"))
+
+
+def peak(func_id: str, bodies: dict, *bounds: int) -> int:
+    """A bound on every magnitude that a call of a compiled operator meets, its operands being within bounds."""
+    most = max(bounds)
+
+    def of(x, env) -> int:
+        nonlocal most
+        match x:
+            case Num(v):
+                out = abs(v)
+            case Var(n):
+                out = env[n]
+            case Call(f, xs):
+                out = call(f, *(of(y, env) for y in xs))
+            case Undefined():
+                out = 0
+        most = max(most, out)
+        return out
+
+    def conditions(c, env):
+        match c:
+            case Cmp(_, l, r):
+                of(l, env), of(r, env)
+            case Logic(_, xs):
+                for y in xs:
+                    conditions(y, env)
+
+    def call(f, *args) -> int:
+        nonlocal most
+        entry = bodies[f]
+        if isinstance(entry, str):
+            x, y = args
+            out = {"+": x + y, "-": x + y, "*": x * y, "/": x + 1, "%": y}[entry]
+            most = max(most, out, x + y * (x + 1) if entry == "%" else 0)  # the remainder is taken by a product
+            return out
+        env = dict(zip(entry[0], args))
+        if isinstance(entry[1], Branches):
+            for _, c in entry[1].arms:
+                conditions(c, env)
+            return max(of(e, env) for e, _ in entry[1].arms)
+        return of(entry[1], env)
+
+    call(func_id, *bounds)
+    return most
+
+
+def within(func_id: str, bodies: dict) -> int:
+    """The largest power of two such that no operand up to it leads past what doubles hold exactly; -1 if there is none."""
+    arity = 2 if isinstance(bodies[func_id], str) else len(bodies[func_id][0])
+    return max((1 << k for k in range(54) if peak(func_id, bodies, *[1 << k] * arity) <= EXACT), default=-1)
+
+
 class Compiler:
-    """bodies maps a func_id to a primitive's sign or to (parameters, body)."""
+    """bodies maps a func_id to a primitive's sign or to (parameters, body). Loops aren't compiled."""
 
     def __init__(self, bodies: dict):
         self.bodies = bodies
 
-    def value(self, func_id: str, *args: Column) -> Column:
-        entry = self.bodies[func_id]
+    def both(self, func_id: str, *args: Column) -> Column:
+        """(v, c) of a call."""
+        own = lambda *xs: self._of(self.bodies[func_id], *xs)
         if len(args) == 2:
-            return once(F.struct(args[0].alias("a"), args[1].alias("b")), lambda s: self._value_of(entry, s["a"], s["b"]))
-        return once(args[0], lambda a: self._value_of(entry, a))
+            return once(F.struct(args[0].alias("a"), args[1].alias("b")), lambda s: own(s["a"], s["b"]))
+        return once(args[0], lambda a: own(a))
 
-    def _value_of(self, entry, *args: Column) -> Column:
-        if isinstance(entry, str):
-            return primitive(entry, *args)
-        env = dict(zip(entry[0], args))
-        match entry[1]:
-            case Branches(arms):
-                return self._choose(arms, env, lambda e, _: self._expr(e, env))
-            case Loop() as loop:
-                return self._loop(loop, env)["r"]
-        return self._expr(entry[1], env)
+    def value(self, func_id: str, *args: Column) -> Column:
+        return self.both(func_id, *args)["v"]
 
     def cost(self, func_id: str, *args: Column) -> Column:
-        entry = self.bodies[func_id]
+        return self.both(func_id, *args)["c"]
+
+    def _of(self, entry, *args: Column) -> Column:
+        one = F.lit(1).cast("long")
         if isinstance(entry, str):
-            return F.lit(1).cast("long")
+            return _state(primitive(entry, *args), one)
         env = dict(zip(entry[0], args))
         match entry[1]:
             case Branches(arms):
-                one = F.lit(1).cast("long")
-                return self._choose(arms, env, lambda e, c: one if isinstance(e, (Var, Num, Undefined)) else self._spent(e, env) + (self._spent(c, env) if c is not None else 0))
-            case Loop() as loop:
-                return self._loop(loop, env)["c"]
-        return F.greatest(F.lit(1).cast("long"), self._spent(entry[1], env))
-
-    def _choose(self, arms, env, of) -> Column:
-        out = None
-        for e, c in arms:
-            if c is None:
-                return of(e, c) if out is None else out.otherwise(of(e, c))
-            out = F.when(self._holds(c, env), of(e, c)) if out is None else out.when(self._holds(c, env), of(e, c))
-        return out
+                return self._arms(arms, env)
+            case Loop():
+                raise TypeError("a loop is not compiled")
+        return once(self._expr(entry[1], env), lambda s: _state(s["v"], F.greatest(one, s["c"])))
+
+    def _arms(self, arms, env) -> Column:
+        """The first arm whose condition holds, with the cost of that condition alone."""
+        (e, c), rest = arms[0], arms[1:]
+        one, plain = F.lit(1).cast("long"), isinstance(e, (Var, Num, Undefined))
+        if c is None:
+            return once(self._expr(e, env), lambda s: _state(s["v"], one if plain else s["c"]))
+        taken = lambda h: once(self._expr(e, env), lambda s: _state(s["v"], one if plain else s["c"] + h["c"]))
+        return once(self._condition(c, env), lambda h: F.when(h["v"], taken(h)).otherwise(self._arms(rest, env)))
 
     def _expr(self, x, env) -> Column:
+        zero = F.lit(0).cast("long")
         match x:
             case Num(v):
-                return F.lit(float(v))
+                return _state(F.lit(float(v)), zero)
             case Var(n):
-                return env[n]
+                return _state(env[n], zero)
             case Undefined():
-                return F.lit(NAN)
+                return _state(F.lit(NAN), zero)
             case Call(f, xs):
-                return self.value(f, *(self._expr(y, env) for y in xs))
+                inner = F.struct(*[self._expr(y, env).alias(f"x{k}") for k, y in enumerate(xs)])
+
+                def call(s):
+                    parts = [s[f"x{k}"] for k in range(len(xs))]
+                    return once(self.both(f, *[p["v"] for p in parts]), lambda r: _state(r["v"], sum((p["c"] for p in parts), r["c"])))
+
+                return once(inner, call)
         raise TypeError(x)
 
-    def _spent(self, x, env) -> Column:
+    def _condition(self, c, env) -> Column:
+        """(v, c) of a condition, v being boolean; all of its parts are costed."""
         zero = F.lit(0).cast("long")
-        match x:
-            case Call(f, xs):
-                return sum((self._spent(y, env) for y in xs if isinstance(y, Call)), self.cost(f, *(self._expr(y, env) for y in xs)))
-            case Cmp(_, l, r):
-                return self._spent(l, env) + self._spent(r, env)
-            case Logic(_, xs):
-                return sum((self._spent(y, env) for y in xs), zero)
-        return zero
-
-    def _holds(self, c, env) -> Column:
         match c:
             case Cmp(op, l, r):
-                return compare(op, self._expr(l, env), self._expr(r, env))
+                both = F.struct(self._expr(l, env).alias("l"), self._expr(r, env).alias("r"))
+                return once(both, lambda s: _state(compare(op, s["l"]["v"], s["r"]["v"]), s["l"]["c"] + s["r"]["c"]))
             case Logic("not", (x,)):
-                return ~self._holds(x, env)
+                return once(self._condition(x, env), lambda s: _state(~s["v"], s["c"]))
             case Logic(op, xs):
-                out = self._holds(xs[0], env)
-                for y in xs[1:]:
-                    out = out & self._holds(y, env) if op == "and" else out | self._holds(y, env)
-                return out
-        raise TypeError(c)
+                parts = F.struct(*[self._condition(y, env).alias(f"x{k}") for k, y in enumerate(xs)])
 
-    def _loop(self, loop: Loop, env) -> Column:
-        b = env["b"]
-        state = lambda r, c: F.struct(r.alias("r"), c.alias("c"))
-        bad = F.isnan(b) | (F.abs(b) == float("inf")) | (F.abs(b) > loop.limit if loop.limit else F.lit(False))
-        start = state(self._expr(loop.start, env), F.lit(0).cast("long"))
-
-        def step(s, _):
-            args = [s["r"] if n == "r" else env[n] for n in loop.args]
-            t = self.value(loop.callee, *args)
-            kept = once(t, lambda t: once(F.when(~F.isnan(t) & (F.abs(t) > CLAMP), F.lit(float("inf"))).otherwise(t), lambda t: F.when(b > 0, t).otherwise(-t)))
-            return state(kept, s["c"] + self.cost(loop.callee, *args))
-
-        steps = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.abs(b).cast("int"))), start, step)
-        done = F.when(bad, state(F.lit(NAN), F.lit(1).cast("long"))).when(b == 0, state(self._expr(loop.start, env), F.lit(1).cast("long"))).otherwise(steps)
-        return once(done, lambda s: state(s["r"], F.greatest(s["c"], F.lit(1).cast("long"))))
+                def joined(s):
+                    all_of = [s[f"x{k}"] for k in range(len(xs))]
+                    v = all_of[0]["v"]
+                    for y in all_of[1:]:
+                        v = v & y["v"] if op == "and" else v | y["v"]
+                    return _state(v, sum((y["c"] for y in all_of), zero))
+
+                return once(parts, joined)
+        raise TypeError(c)

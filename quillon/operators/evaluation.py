@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..config import INF, NAN, NEG_INF
 from ..functions.bases import value_text
-from ..functions.compiler import Compiler
-from ..functions.language import evaluate
+from ..functions.compiler import Compiler, within
+from ..functions.language import evaluate, loops
+
+#: Results that a task remembers, by their operands.
+REMEMBERED = 100_000
 
 
 def spelled(v) -> str:
@@ -17,17 +20,41 @@ def spelled(v) -> str:
 
 
 def apply_operator(rows: DataFrame, func_id: str, bodies: dict, *operands: Column) -> DataFrame:
-    """rows with value (text) and cost. The compiled columns are used as they are; see apply_exact for magnitudes past 2**53."""
-    c, args = Compiler(bodies), [o.cast("double") for o in operands]
-    return rows.withColumn("value", value_text(c.value(func_id, *args))).withColumn("cost", c.cost(func_id, *args))
-
-
-def apply_exact(rows: DataFrame, func_id: str, bodies: dict, *operands: str) -> DataFrame:
-    """The same by the interpreter, in Arrow batches, for operands and results of any size (operands: columns of whole numbers or their text)."""
+    """rows with value (text) and cost, which replace columns of these names. Operands are whole numbers; a null one gives null and null.
+
+    Loops are interpreted. Other operators are compiled, but for rows whose operands could lead to a magnitude past 2**53:
+    the two kinds of rows are two narrow branches of the plan, told apart by the operands alone.
+    """
+    if loops(func_id, bodies):
+        return apply_exact(rows, func_id, bodies, *operands)
+    kept = [c for c in rows.columns if c not in ("value", "cost")]
+    bound, args = within(func_id, bodies), [o.cast("double") for o in operands]
+    there = F.greatest(F.lit(0), *[o.isNull().cast("int") for o in operands]) == 0
+    near = F.coalesce(F.greatest(F.lit(0.0), *[F.abs(o) for o in args]) <= float(bound), F.lit(True))
+    known = rows.where(near).withColumn("__r", F.when(there, Compiler(bodies).both(func_id, *args)))
+    compiled = known.select(*kept, F.when(F.col("__r").isNotNull(), value_text(F.col("__r.v"))).alias("value"), F.col("__r.c").alias("cost"))
+    return compiled.unionByName(apply_exact(rows.where(~near), func_id, bodies, *operands))
+
+
+def apply_exact(rows: DataFrame, func_id: str, bodies: dict, *operands: Column | str) -> DataFrame:
+    """The same by the interpreter, in Arrow batches, for operands and results of any size (whole numbers or their text). A cost stays at the largest long."""
+    seen: dict = {}
+
+    def one(row):
+        if any(v is None or v != v for v in row):
+            return None, None
+        if row not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            v, c = evaluate(func_id, tuple(int(x) for x in row), bodies)
+            seen[row] = spelled(v), min(c, (1 << 63) - 1)
+        return seen[row]
 
     @F.pandas_udf("value string, cost long")
     def run(*columns: pd.Series) -> pd.DataFrame:
-        out = [evaluate(func_id, tuple(int(v) for v in row), bodies) for row in zip(*columns)]
-        return pd.DataFrame({"value": [spelled(v) for v, _ in out], "cost": [c for _, c in out]})
+        found = [one(row) for row in zip(*columns)]
+        return pd.DataFrame({"value": pd.Series([v for v, _ in found], dtype=object), "cost": pd.array([c for _, c in found], dtype="Int64")})
 
-    return rows.withColumn("r", run(*operands)).select(*rows.columns, "r.*")
+    kept = [c for c in rows.columns if c not in ("value", "cost")]
+    texts = [(F.col(o) if isinstance(o, str) else o).cast("string") for o in operands]
+    return rows.withColumn("__r", run(*texts)).select(*kept, "__r.value", "__r.cost")

@@ -1,120 +1,160 @@
-"""Expression trees as node tables: grown level by level, folded bottom-up into text, values and metrics."""
+"""Expression trees: grown as one array of nodes a row, and evaluated row by row into full records.
+
+Growing is one projection of draws. Evaluation needs integers without bounds and loops, which columns do not
+have, so each Arrow batch of trees is walked by the exact interpreter; nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Settings
+from ..config import DEFAULT, DIGITS, INF, NAN, NEG_INF, Settings
 from ..functions import draws
-from ..functions.bases import trace_text, value_text
-from ..functions.compiler import Compiler
+from ..functions.language import evaluate
+from ..schema import EXPRESSION
+
+NODE = "node_id int, parent_id int, side string, depth int, path string, kind string, func_id string, value long"
+# How the verbose trace spells its steps.
+INFO_NUMBER = "number node, value={value}"
+INFO_UNARY = "compute unary expreesion, input={left}, op_id = {op}, unary_op_definition = '{definition}', output={value}"
+INFO_BINARY = "compute binary expreesion, left_input={left}, right_input={right}, op_id = {op} binary_op_definition= '{definition}', output={value}"
 
 
-def grow(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:
-    """(expr_id, node_id, parent_id, side, depth, path, kind, func_id, value): a random tree for each expr_id.
+def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:
+    """(expr_id, nodes): a random tree for each expr_id, its nodes (see NODE) by level.
 
     Nodes are numbered as in a heap; roots are operators, nodes at the last depth numbers. Every
-    draw hangs on (expr_id, node_id), so levels are narrow maps of one another and nothing is
-    shuffled. An empty pool is never drawn from.
+    draw hangs on (expr_id, node_id), so a tree is a projection. An empty pool is never drawn from; three empty ones are an error.
     """
-    if not binary and not prefix:
+    pools = {k: F.array(*[F.lit(x) for x in v]) for k, v in (("binary", binary), ("prefix", prefix), ("postfix", postfix)) if v}
+    if not pools:
         raise ValueError("no operators to draw from")
-    shares = {"binary": settings.node_weights["binary"] if binary else 0.0, "unary": settings.node_weights["prefix"] if prefix else 0.0}
-    pools = {k: F.array(*[F.lit(x) for x in v]) for k, v in (("binary", binary), ("unary", prefix)) if v}
-    lo, hi = settings.value_range
-
-    def draw(level: DataFrame, d: int) -> DataFrame:
-        key = F.concat_ws("/", F.col("expr_id").cast("string"), F.col("node_id").cast("string"))
-        weights = {k: w for k, w in (shares | ({"num": 0.3} if d else {})).items() if w}
-        kind = F.lit("num") if d == depth else draws.weighted(draws.unit(key, "kind"), weights)
-        out, func = level.withColumn("kind", kind), None
-        for k, pool in pools.items():
-            pick = F.get(pool, F.pmod(draws.bits(key, "func"), F.size(pool)).cast("int"))
-            func = F.when(F.col("kind") == k, pick) if func is None else func.when(F.col("kind") == k, pick)
-        return out.withColumn("func_id", func).withColumn("value", F.when(F.col("kind") == "num", draws.skewed(key, "value", lo, hi)))
+    weights = {k: settings.node_weights[k] for k in pools}
 
-    none = F.lit(None)
-    level = draw(ids.select(F.col("expr_id").cast("long").alias("expr_id"), F.lit(1).alias("node_id"), none.cast("int").alias("parent_id"), none.cast("string").alias("side"), F.lit(0).alias("depth"), F.lit("").alias("path")), 0)
-    out = level
+    def drawn(node: int, parent: Column | None, d: int) -> Column:
+        key = F.concat_ws("/", F.col("expr_id").cast("string"), F.lit(str(node)))
+        kind = F.lit("num") if d == depth else draws.weighted(draws.unit(key, "kind"), {k: w for k, w in (weights | ({"num": 0.3} if d else {})).items() if w})
+        there = None if parent is None else (parent["kind"] != "num") if node % 2 == 0 else (parent["kind"] == "binary")
+        func = None
+        for k, pool in pools.items():
+            one = F.get(pool, F.pmod(draws.bits(key, "func"), F.size(pool)).cast("int"))
+            func = F.when(kind == k, one) if func is None else func.when(kind == k, one)
+        side = F.lit(None).cast("string") if parent is None else F.lit("right") if node % 2 else F.when(parent["kind"] == "binary", "left").otherwise("unary")
+        path = "".join("r" if int(b) else "l" for b in bin(node)[3:])
+        struct = F.struct(
+            F.lit(node).alias("node_id"), F.lit(None if parent is None else node // 2).cast("int").alias("parent_id"), side.alias("side"), F.lit(d).alias("depth"), F.lit(path).alias("path"), kind.alias("kind"), func.alias("func_id"),
+            F.when(kind == "num", draws.skewed(key, "value", *settings.value_range)).cast("long").alias("value"),
+        )
+        return struct if there is None else F.when(there, struct)
+
+    rows = ids.select(F.col("expr_id").cast("long").alias("expr_id")).withColumn("n1", drawn(1, None, 0))
     for d in range(1, depth + 1):
-        kid = lambda side, k, step: F.struct((F.col("node_id") * 2 + k).alias("node_id"), F.lit(side).alias("side"), F.concat("path", F.lit(step)).alias("path"))
-        kids = F.when(F.col("kind") == "binary", F.array(kid("left", 0, "l"), kid("right", 1, "r"))).when(F.col("kind") == "unary", F.array(kid("unary", 0, "l")))
-        below = level.select("expr_id", F.col("node_id").alias("parent_id"), F.explode(kids).alias("k")).select("expr_id", "k.node_id", "parent_id", "k.side", F.lit(d).alias("depth"), "k.path")
-        level = draw(below, d)
-        out = out.unionByName(level)
-    return out
-
-
-def _text(child: Column, own: Column, side: str, brackets: bool, name: str) -> Column:
-    """A child's text inside its parent. Unary text carries its own brackets; a binary child gets them where precedence asks for it."""
-    if brackets:
-        return child[name]
-    wrong_side = {"left": own["side_assoc"] == "right", "right": own["side_assoc"] == "left", "unary": F.lit(False)}[side]
-    needed = (child["kind"] == "binary") & ((child["priority"] < own["priority"]) | ((child["priority"] == own["priority"]) & wrong_side))
-    return F.when(needed, F.concat(F.lit("("), child[name], F.lit(")"))).otherwise(child[name])
-
+        rows = rows.select("*", *[drawn(k, F.col(f"n{k // 2}"), d).alias(f"n{k}") for k in range(1 << d, 2 << d)])
+    return rows.select("expr_id", F.array_compact(F.array(*[f"n{k}" for k in range(1, 2 << depth)])).alias("nodes"))
+
+
+def grow(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:
+    """(expr_id, node_id, parent_id, side, depth, path, kind, func_id, value): a row for each node."""
+    return grow_rows(ids, binary, prefix, postfix, depth, settings).select("expr_id", F.explode("nodes").alias("n")).select("expr_id", "n.*")
+
+
+def to_base(n: int, base: int) -> str:
+    out, left = "", abs(n)
+    while left or not out:
+        out, left = DIGITS[left % base] + out, left // base
+    return "-" + out if n < 0 else out
+
+
+class Records:
+    """Turns a tree into its record. operators: catalog rows as dicts by func_id; bodies: what language.evaluate takes."""
+
+    def __init__(self, operators: dict, bodies: dict, base: int, result_base: int, longer_base: int, brackets: bool):
+        self.operators, self.bodies, self.base, self.result_base, self.longer_base, self.brackets = operators, bodies, base, result_base, longer_base, brackets
+        self.signs = {r["is_base"]: r["symbol"] for r in sorted(operators.values(), key=lambda r: -(r["id"] or 0)) if r["is_base"] is not None}
+
+    def digits(self, n: int, base: int) -> str:
+        """A number behind its base's symbol; plain decimal where the catalog has none."""
+        return self.signs[base] + to_base(n, base) if base in self.signs else str(n)
+
+    def spelled(self, v, base: int, lower: bool = False) -> str:
+        out = NAN if v != v else (INF if v > 0 else NEG_INF) if isinstance(v, float) and math.isinf(v) else None
+        return self.digits(int(v), base) if out is None else out.lower() if lower else out
+
+    def of(self, nodes: list) -> dict:
+        at, cot, info, used = {n["node_id"]: n for n in nodes}, [], [], []
+        orders, priorities, longer = [0], set(), False
+
+        def text(child: dict, op: dict, side: str, name: str) -> str:
+            own = child["op"]
+            if self.brackets or own is None or own["n_ary"] == 1:
+                return child[name]
+            away = {"left": op["associativity_direction"] == "right", "right": op["associativity_direction"] == "left", "unary": False}[side]
+            needed = op["priority"] is not None and (own["priority"] < op["priority"] or own["priority"] == op["priority"] and away)
+            return f"({child[name]})" if needed else child[name]
+
+        def size(v) -> float:
+            return math.nan if isinstance(v, float) else len(to_base(int(v), self.longer_base))
+
+        def walk(k: int) -> dict:
+            nonlocal longer
+            n = at[k]
+            if n["kind"] == "num":
+                v = int(n["value"])
+                info.append({"info": INFO_NUMBER.format(value=v), "layer": n["depth"]})
+                return {"v": v, "degree": 0, "op": None, "text": self.digits(v, self.base), "no_base": f"${v}$", "json": {"type": "numeric_atoms", "value": v}}
+            op = self.operators[n["func_id"]]
+            used.append(op["func_id"])
+            orders.append(op["n_order"] or 0)
+            priorities.add(op["priority"])
+            l = walk(2 * k)
+            r = walk(2 * k + 1) if op["n_ary"] == 2 else None
+            kids = [l] if r is None else [l, r]
+            v, cost = evaluate(op["func_id"], tuple(x["v"] for x in kids), self.bodies)
+            v = v if isinstance(v, float) and (v != v or math.isinf(v)) else int(v)
+            longer = longer or all(size(v) > size(x["v"]) for x in kids)
+            show = lambda x: self.spelled(x, self.longer_base, True)
+            if r is None:
+                postfix = op["unary_position"] == "postfix"
+                info.append({"info": INFO_UNARY.format(left=l["v"], op=op["func_id"], definition=op["definition"], value=v), "layer": n["depth"]})
+                cot.append({"info": (show(l["v"]) + op["symbol"] if postfix else op["symbol"] + show(l["v"])) + "=" + show(v), "layer": n["depth"]})
+                written = {x: f"({text(l, op, 'unary', x)}{op['symbol']})" if postfix else f"({op['symbol']}{text(l, op, 'unary', x)})" for x in ("text", "no_base")}
+                tree = {"type": "unary", "op": op["func_id"], "l": l["json"]}
+            else:
+                info.append({"info": INFO_BINARY.format(left=l["v"], right=r["v"], op=op["func_id"], definition=op["definition"], value=v), "layer": n["depth"]})
+                cot.append({"info": show(l["v"]) + op["symbol"] + show(r["v"]) + "=" + show(v), "layer": n["depth"]})
+                written = {x: text(l, op, "left", x) + op["symbol"] + text(r, op, "right", x) for x in ("text", "no_base")}
+                if self.brackets:
+                    written = {x: f"({y})" for x, y in written.items()}
+                tree = {"type": "binary", "op": op["func_id"], "l": l["json"], "r": r["json"]}
+            return {"v": v, "degree": cost + sum(x["degree"] for x in kids), "op": op, "json": tree, **written}
+
+        root = walk(1)
+        first = list(dict.fromkeys(used))
+        result, ops = self.spelled(root["v"], self.result_base), len(used)
+        return {
+            "expression_no_base_symbol": root["no_base"], "expression": root["text"], "highest_n_order": max(orders), "priority_hierarchical_complexity": len(priorities), "normalized_expansion_degree": str(root["degree"]), "operation_count": ops,
+            "complexity_ratio": round(root["degree"] / ops, 6) if ops else 0.0, "tree": json.dumps(root["json"], separators=(",", ":")), "used_operators": first, "dependent_operators": [d for f in first for d in self.operators[f]["dependencies"] or []], "result": result,
+            "longer_result_info": {"target_base": self.longer_base, "flag": longer}, "cot_info": info, "base": self.base, "result_base": self.result_base, "text": f"{root['text']}={result}", "cot": cot,
+        }
+
+
+def records(rows: DataFrame, cat: DataFrame, bodies: dict, base: int = DEFAULT.base, result_base: int = DEFAULT.result_base, longer_base: int = DEFAULT.longer_result_base, brackets: bool = False) -> DataFrame:
+    """The 18-field records (schema.EXPRESSION) of trees (expr_id, nodes). Numbers are in base, results in result_base.
+
+    The catalog's rows go to every task; it is small beside a corpus (a generated one has at most 100,000 operators).
+    """
+    operators = {r["func_id"]: r.asDict() for r in cat.collect()}
+    names = [f.name for f in EXPRESSION.fields]
 
-def fold(nodes: DataFrame, cat: DataFrame, compiler: Compiler, depth: int = 2, brackets: bool = False) -> DataFrame:
-    """(expr_id, node_id, depth, path, kind, func_id, s): s holds a node's text, text without bases, JSON, value, cost and longer-result flag.
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = Records(operators, bodies, base, result_base, longer_base, brackets)
+        for frame in frames:
+            yield pd.DataFrame([{"id": i, **make.of(list(nodes))} for i, nodes in zip(frame["expr_id"], frame["nodes"])], columns=names)
 
-    One join a level: children are brought to their parents by (expr_id, parent_id). The catalog
-    is small beside a corpus, and Spark sizes it itself before it broadcasts it.
-    """
-    info = cat.select("func_id", "symbol", "priority", F.col("associativity_direction").alias("side_assoc"), "unary_position", "definition", "n_order")
-    known = nodes.join(info, "func_id", "left")
-    funcs = [f for f in compiler.bodies]
-    none = F.lit(None)
-    done, below = None, None
-    for d in range(depth, -1, -1):
-        here = known.where(F.col("depth") == d)
-        plain = F.col("value").cast("string")
-        leaf = F.struct(plain.alias("text"), F.concat(F.lit("$"), plain, F.lit("$")).alias("no_base"), F.concat(F.lit('{"type":"numeric_atoms","value":'), plain, F.lit("}")).alias("json"), F.col("value").cast("double").alias("v"), F.lit(0).cast("long").alias("cost"), F.lit(0).cast("long").alias("degree"), F.lit(False).alias("longer"), F.col("kind").alias("kind"), none.cast("int").alias("priority"), none.cast("string").alias("step"))
-        if below is None:
-            state = here.select(*nodes.columns, "n_order", leaf.alias("s"))
-        else:
-            kids = below.groupBy("expr_id", F.col("parent_id").alias("node_id")).agg(F.max(F.when(F.col("side") != "right", F.col("s"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("s"))).alias("r"))
-            met = here.join(kids, ["expr_id", "node_id"], "left")
-            l, r = F.col("l"), F.col("r")
-            value, cost = None, None
-            for f in funcs:
-                args = (l["v"], r["v"]) if isinstance(compiler.bodies[f], str) or len(compiler.bodies[f][0]) == 2 else (l["v"],)
-                v, c, at = compiler.value(f, *args), compiler.cost(f, *args), F.col("func_id") == f
-                value, cost = (F.when(at, v), F.when(at, c)) if value is None else (value.when(at, v), cost.when(at, c))
-            met = met.withColumn("v", value).withColumn("cost", cost)
-            own = F.struct("priority", "side_assoc")
-            o, c_ = (F.lit("("), F.lit(")")) if brackets else (F.lit(""), F.lit(""))
-            unary = lambda x: F.concat(F.lit("("), F.when(F.col("unary_position") == "postfix", F.concat(x, "symbol")).otherwise(F.concat("symbol", x)), F.lit(")"))
-            show = lambda name: F.when(F.col("kind") == "binary", F.concat(o, _text(l, own, "left", brackets, name), F.col("symbol"), _text(r, own, "right", brackets, name), c_)).otherwise(unary(_text(l, own, "unary", brackets, name)))
-            json = F.when(F.col("kind") == "binary", F.concat(F.lit('{"type":"binary","op":"'), "func_id", F.lit('","l":'), l["json"], F.lit(',"r":'), r["json"], F.lit("}"))).otherwise(F.concat(F.lit('{"type":"unary","op":"'), "func_id", F.lit('","l":'), l["json"], F.lit("}")))
-            size = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.length(value_text(x)))
-            grew = F.coalesce(F.when(F.col("kind") == "binary", (size(F.col("v")) > size(l["v"])) & (size(F.col("v")) > size(r["v"]))).otherwise(size(F.col("v")) > size(l["v"])), F.lit(False))
-            step = F.when(F.col("kind") == "binary", F.concat(trace_text(l["v"]), "symbol", trace_text(r["v"]), F.lit("="), trace_text(F.col("v")))).when(F.col("unary_position") == "postfix", F.concat(trace_text(l["v"]), "symbol", F.lit("="), trace_text(F.col("v")))).otherwise(F.concat("symbol", trace_text(l["v"]), F.lit("="), trace_text(F.col("v"))))
-            inner = F.struct(show("text").alias("text"), show("no_base").alias("no_base"), json.alias("json"), F.col("v").alias("v"), F.col("cost").alias("cost"), (F.col("cost") + l["degree"] + F.coalesce(r["degree"], F.lit(0))).alias("degree"), (grew | l["longer"] | F.coalesce(r["longer"], F.lit(False))).alias("longer"), F.col("kind").alias("kind"), F.col("priority").alias("priority"), step.alias("step"))
-            state = met.select(*[F.col(c) for c in nodes.columns], "n_order", F.when(F.col("kind") == "num", leaf).otherwise(inner).alias("s"))
-        done = state if done is None else done.unionByName(state)
-        below = state
-    return done
-
-
-def records(folded: DataFrame, cat: DataFrame, base: int = 10) -> DataFrame:
-    """The expression records: the root's text and value, and what is summed over its nodes."""
-    op = F.col("kind") != "num"
-    order = F.concat("path", F.lit("~"))  # children before their node
-    sums = folded.groupBy("expr_id").agg(
-        F.coalesce(F.max("n_order"), F.lit(0)).alias("highest_n_order"), F.count_distinct(F.when(op, F.col("s.priority"))).cast("int").alias("priority_hierarchical_complexity"), F.count_if(op).cast("int").alias("operation_count"),
-        F.transform(F.array_sort(F.collect_list(F.when(op, F.struct(F.col("path"), "func_id")))), lambda x: x["func_id"]).alias("all_used"),
-        F.transform(F.array_sort(F.collect_list(F.when(op, F.struct(order.alias("o"), F.col("s.step").alias("info"), F.col("depth").alias("layer"))))), lambda x: F.struct(x["info"].alias("info"), x["layer"].alias("layer"))).alias("cot"),
-    )
-    root = folded.where("node_id = 1").select("expr_id", "s")
-    called = cat.select(F.col("func_id"), "dependencies")
-    deps = sums.select("expr_id", F.posexplode(F.array_distinct("all_used")).alias("pos", "func_id")).join(called, "func_id").groupBy("expr_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dependencies"))), lambda x: x["dependencies"])).alias("dependent_operators"))
-    degree, ops = F.col("s.degree"), F.col("operation_count")
-    result = value_text(F.col("s.v"))
-    return root.join(sums, "expr_id").join(deps, "expr_id", "left").select(
-        F.col("expr_id").alias("id"), F.col("s.no_base").alias("expression_no_base_symbol"), F.col("s.text").alias("expression"), "highest_n_order", "priority_hierarchical_complexity", degree.cast("string").alias("normalized_expansion_degree"), "operation_count",
-        F.when(ops > 0, F.round(degree / ops, 6)).otherwise(0.0).alias("complexity_ratio"), F.col("s.json").alias("tree"), F.array_distinct("all_used").alias("used_operators"), F.coalesce("dependent_operators", F.array().cast("array<string>")).alias("dependent_operators"), result.alias("result"),
-        F.struct(F.lit(base).alias("target_base"), F.col("s.longer").alias("flag")).alias("longer_result_info"), F.lit(base).alias("base"), F.lit(base).alias("result_base"), F.concat(F.col("s.text"), F.lit("="), result).alias("text"), "cot",
-    )
+    return rows.mapInPandas(run, EXPRESSION)

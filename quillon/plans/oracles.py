@@ -62,18 +62,18 @@ def body(key: str, tag: str, sh: str) -> str:
 
 
 # Trees: two levels under a root, numbered as in a heap.
-POOL = ("p1", "m1", "t1", "s1")
+POOL = ("p1", "m1", "t1", "d1", "r1", "s1")
 
 
 def _level(select: str, last: bool, root: bool) -> str:
     key = "(expr_id::VARCHAR || '/' || node_id::VARCHAR)"
-    w = {"binary": 0.7, "unary": 0.2} | ({} if root else {"num": 0.3})
+    w = {"binary": 0.7, "prefix": 0.2, "postfix": 0.1} | ({} if root else {"num": 0.3})
     total, acc, arms = sum(w.values()), 0.0, []
     for k, v in list(w.items())[:-1]:
         acc += v
         arms.append(f"WHEN {unit(key, 'kind')} < {acc / total!r}::DOUBLE THEN '{k}'")
     kind = "'num'" if last else f"CASE {' '.join(arms)} ELSE '{list(w)[-1]}' END"
-    return f"SELECT *, CASE kind WHEN 'binary' THEN {pick(POOL, bits(key, 'func') + ' % 4')} WHEN 'unary' THEN 'b1' END AS func_id, CASE WHEN kind = 'num' THEN {skewed(key, 'value', 0, 1000)} END AS value FROM (SELECT *, {kind} AS kind FROM ({select}))"
+    return f"SELECT *, CASE kind WHEN 'binary' THEN {pick(POOL, bits(key, 'func') + ' % 6')} WHEN 'prefix' THEN 'b1' WHEN 'postfix' THEN 'q1' END AS func_id, CASE WHEN kind = 'num' THEN {skewed(key, 'value', 0, 1000)} END AS value FROM (SELECT *, {kind} AS kind FROM ({select}))"
 
 
 def _kids(parent: str, depth: int) -> str:
@@ -84,10 +84,21 @@ TREE = (
     f"d0 AS ({_level('SELECT o_orderkey AS expr_id, 1::INT AS node_id, NULL::INT AS parent_id, NULL::VARCHAR AS side, 0::INT AS depth FROM orders', False, True)}), "
     f"d1 AS ({_level(_kids('d0', 1), False, False)}), d2 AS ({_level(_kids('d1', 2), True, False)}), nodes AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)"
 )
-SYMBOL = "CASE {f} WHEN 'p1' THEN '+' WHEN 'm1' THEN '-' WHEN 't1' THEN '*' WHEN 's1' THEN '⊕' WHEN 'b1' THEN '∇' END"
-PRIORITY = "CASE {f} WHEN 'p1' THEN 1 WHEN 'm1' THEN 1 WHEN 't1' THEN 2 WHEN 's1' THEN 3 WHEN 'b1' THEN 4 END"
-VALUE = "CASE p.func_id WHEN 'p1' THEN l.v + r.v WHEN 'm1' THEN l.v - r.v WHEN 't1' THEN l.v * r.v WHEN 's1' THEN (l.v + r.v) * 2 WHEN 'b1' THEN CASE WHEN l.v > 10 AND l.v % 2 = 0 THEN l.v * l.v ELSE l.v + 1 END END"
-COST = "CASE p.func_id WHEN 's1' THEN 2 WHEN 'b1' THEN CASE WHEN l.v > 10 AND l.v % 2 = 0 THEN 2 ELSE 1 END ELSE 1 END"
+SYMBOL = "CASE {f} WHEN 'p1' THEN '+' WHEN 'm1' THEN '-' WHEN 't1' THEN '*' WHEN 'd1' THEN '/' WHEN 'r1' THEN '%' WHEN 's1' THEN '⊕' WHEN 'b1' THEN '∇' WHEN 'q1' THEN '‰' END"
+PRIORITY = "CASE {f} WHEN 'p1' THEN 1 WHEN 'm1' THEN 1 WHEN 't1' THEN 2 WHEN 'd1' THEN 2 WHEN 'r1' THEN 2 WHEN 's1' THEN 3 WHEN 'b1' THEN 4 WHEN 'q1' THEN 4 END"
+DEFINITION = "CASE p.func_id WHEN 's1' THEN 'a⊕b = { ((a+b)*2) }' WHEN 'b1' THEN '∇a = { (a*a) , if a > 10 and (a % 2) == 0 ; (a+1) , else }' WHEN 'q1' THEN 'a‰ = { (a*a) }' ELSE 'None' END"
+_QUOTIENT = "floor(l.v / nullif(r.v, 0))"
+_SQUARED = "NOT isnan(l.v) AND l.v > 10 AND l.v % 2 = 0"
+VALUE = (
+    "CASE p.func_id WHEN 'p1' THEN l.v + r.v WHEN 'm1' THEN l.v - r.v WHEN 't1' THEN l.v * r.v WHEN 's1' THEN (l.v + r.v) * 2 WHEN 'q1' THEN l.v * l.v "
+    f"WHEN 'd1' THEN CASE WHEN isnan(l.v) OR isnan(r.v) OR r.v = 0 THEN 'nan'::DOUBLE ELSE {_QUOTIENT} END WHEN 'r1' THEN CASE WHEN isnan(l.v) OR isnan(r.v) OR r.v = 0 THEN 'nan'::DOUBLE ELSE l.v - r.v * {_QUOTIENT} END "
+    f"WHEN 'b1' THEN CASE WHEN {_SQUARED} THEN l.v * l.v ELSE l.v + 1 END END"
+)
+COST = f"CASE p.func_id WHEN 's1' THEN 2 WHEN 'b1' THEN CASE WHEN {_SQUARED} THEN 2 ELSE 1 END ELSE 1 END"
+
+
+def spelled(v: str, nan: str = "NaN") -> str:
+    return f"CASE WHEN isnan({v}) THEN '{nan}' ELSE ({v})::BIGINT::VARCHAR END"
 
 
 def _show(name: str, brackets: bool) -> str:
@@ -99,29 +110,35 @@ def _show(name: str, brackets: bool) -> str:
         return f"CASE WHEN {need} THEN '(' || {x}.{name} || ')' ELSE {x}.{name} END"
 
     left, right = child("l", "p.func_id = 's1'"), child("r", "p.func_id <> 's1'")
-    return f"CASE WHEN p.kind = 'binary' THEN {o}{left} || {sym} || {right}{c} ELSE '(' || {sym} || {child('l', 'false')} || ')' END"
+    return f"CASE WHEN p.kind = 'binary' THEN {o}{left} || {sym} || {right}{c} WHEN p.kind = 'postfix' THEN '(' || {child('l', 'false')} || {sym} || ')' ELSE '(' || {sym} || {child('l', 'false')} || ')' END"
 
 
 def _up(d: int, below: str, brackets: bool) -> str:
-    longer = "length(VAL::VARCHAR) > length(l.v::VARCHAR) AND (p.kind = 'unary' OR length(VAL::VARCHAR) > length(r.v::VARCHAR))".replace("VAL", f"({VALUE})")
-    step = f"CASE WHEN p.kind = 'binary' THEN l.v::VARCHAR || {SYMBOL.format(f='p.func_id')} || r.v::VARCHAR ELSE {SYMBOL.format(f='p.func_id')} || l.v::VARCHAR END || '=' || ({VALUE})::VARCHAR"
+    digits = lambda v: f"length(({v})::BIGINT::VARCHAR)"
+    longer = f"CASE WHEN isnan({VALUE}) OR isnan(l.v) OR (p.kind = 'binary' AND isnan(r.v)) THEN false ELSE {digits(VALUE)} > {digits('l.v')} AND (p.kind <> 'binary' OR {digits(VALUE)} > {digits('r.v')}) END"
+    sym, shown = SYMBOL.format(f="p.func_id"), lambda v: spelled(v, "nan")
+    step = f"CASE WHEN p.kind = 'binary' THEN {shown('l.v')} || {sym} || {shown('r.v')} WHEN p.kind = 'postfix' THEN {shown('l.v')} || {sym} ELSE {sym} || {shown('l.v')} END || '=' || {shown(VALUE)}"
+    info = (
+        f"CASE WHEN p.kind = 'num' THEN 'number node, value=' || p.value WHEN p.kind = 'binary' THEN 'compute binary expreesion, left_input=' || {shown('l.v')} || ', right_input=' || {shown('r.v')} || ', op_id = ' || p.func_id || ' binary_op_definition= ''' || {DEFINITION} "
+        f"ELSE 'compute unary expreesion, input=' || {shown('l.v')} || ', op_id = ' || p.func_id || ', unary_op_definition = ''' || {DEFINITION} END || CASE WHEN p.kind = 'num' THEN '' ELSE ''', output=' || {shown(VALUE)} END"
+    )
     json = "CASE WHEN p.kind = 'binary' THEN '{\"type\":\"binary\",\"op\":\"' || p.func_id || '\",\"l\":' || l.json || ',\"r\":' || r.json || '}' ELSE '{\"type\":\"unary\",\"op\":\"' || p.func_id || '\",\"l\":' || l.json || '}' END"
     leaf = _leaf("p")
     return (
         f"SELECT p.*, CASE WHEN p.kind = 'num' THEN {leaf['v']} ELSE {VALUE} END AS v, CASE WHEN p.kind = 'num' THEN 0 ELSE {COST} + l.degree + coalesce(r.degree, 0) END AS degree, "
         f"CASE WHEN p.kind = 'num' THEN {leaf['t']} ELSE {_show('t', brackets)} END AS t, CASE WHEN p.kind = 'num' THEN {leaf['nb']} ELSE {_show('nb', brackets)} END AS nb, CASE WHEN p.kind = 'num' THEN {leaf['json']} ELSE {json} END AS json, "
-        f"CASE WHEN p.kind = 'num' THEN false ELSE ({longer}) OR l.longer OR coalesce(r.longer, false) END AS longer, {PRIORITY.format(f='p.func_id')} AS pr, CASE WHEN p.kind <> 'num' THEN {step} END AS step "
+        f"CASE WHEN p.kind = 'num' THEN false ELSE ({longer}) OR l.longer OR coalesce(r.longer, false) END AS longer, {PRIORITY.format(f='p.func_id')} AS pr, CASE WHEN p.kind <> 'num' THEN {step} END AS step, {info} AS info "
         f"FROM d{d} p LEFT JOIN {below} l ON l.expr_id = p.expr_id AND l.parent_id = p.node_id AND l.side <> 'right' LEFT JOIN {below} r ON r.expr_id = p.expr_id AND r.parent_id = p.node_id AND r.side = 'right'"
     )
 
 
 def _leaf(p: str) -> dict:
-    return {"v": f"{p}.value::BIGINT", "t": f"{p}.value::VARCHAR", "nb": f"'$' || {p}.value::VARCHAR || '$'", "json": f"'{{\"type\":\"numeric_atoms\",\"value\":' || {p}.value::VARCHAR || '}}'"}
+    return {"v": f"{p}.value::DOUBLE", "t": f"{p}.value::VARCHAR", "nb": f"'$' || {p}.value::VARCHAR || '$'", "json": f"'{{\"type\":\"numeric_atoms\",\"value\":' || {p}.value::VARCHAR || '}}'"}
 
 
 def fold(brackets: bool = False) -> str:
     leaf = _leaf("d2")
-    base = f"u2 AS (SELECT *, {leaf['v']} AS v, 0 AS degree, {leaf['t']} AS t, {leaf['nb']} AS nb, {leaf['json']} AS json, false AS longer, NULL::INT AS pr, NULL::VARCHAR AS step FROM d2)"
+    base = f"u2 AS (SELECT *, {leaf['v']} AS v, 0 AS degree, {leaf['t']} AS t, {leaf['nb']} AS nb, {leaf['json']} AS json, false AS longer, NULL::INT AS pr, NULL::VARCHAR AS step, 'number node, value=' || value AS info FROM d2)"
     return f"WITH {TREE}, {base}, u1 AS ({_up(1, 'u2', brackets)}), u0 AS ({_up(0, 'u1', brackets)}), u AS (SELECT * FROM u0 UNION ALL SELECT * FROM u1 UNION ALL SELECT * FROM u2)"
 
 
@@ -131,7 +148,7 @@ PRE = "CASE node_id WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END"
 USED = f"used AS (SELECT expr_id, list(func_id ORDER BY nth) AS fs FROM (SELECT expr_id, func_id, min({PRE}) AS nth FROM u WHERE kind <> 'num' GROUP BY 1, 2) GROUP BY expr_id)"
 AGG = "agg AS (SELECT expr_id, count(DISTINCT pr)::INT AS prs, count(*)::INT AS ops FROM u WHERE kind <> 'num' GROUP BY expr_id)"
 ROOT = fold() + f", {AGG}, rt AS (SELECT u0.expr_id AS id, u0.t, u0.nb, u0.v, u0.degree, u0.json, prs, ops FROM u0 JOIN agg USING (expr_id))"
-DEPS = "CASE f WHEN 's1' THEN ['p1', 't1'] WHEN 'b1' THEN ['p1', 'r1', 't1'] ELSE []::VARCHAR[] END"
+DEPS = "CASE f WHEN 's1' THEN ['p1', 't1'] WHEN 'b1' THEN ['p1', 'r1', 't1'] WHEN 'q1' THEN ['t1'] ELSE []::VARCHAR[] END"
 
 _clamp = "CASE WHEN abs(@) > 2147483647 THEN 'inf'::DOUBLE ELSE @ END"
 
@@ -168,7 +185,7 @@ ORACLES: dict[str, str] = _RULES | {
     "catalog_read_keyed": "SELECT 'f' || l_partkey AS func_id, max(l_orderkey * 8 + l_linenumber) AS line, arg_max(l_suppkey, l_orderkey * 8 + l_linenumber) AS payload FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey",
     "nonbase_func_ids": f"WITH {CAT} SELECT func_id FROM cat WHERE is_base IS NULL",
     "existing_count": f"SELECT {len(X.records()) + len(BAD_LINES)}::BIGINT AS there, 0::BIGINT AS absent",
-    "op2expr": f"WITH {TREE} SELECT func_id AS op_id, list(DISTINCT expr_id ORDER BY expr_id) AS expr_id FROM nodes WHERE func_id IS NOT NULL GROUP BY func_id",
+    "op2expr": f"WITH {TREE} SELECT func_id AS op_id, expr_id // 4096 AS bucket, list(DISTINCT expr_id ORDER BY expr_id) AS expr_id FROM nodes WHERE func_id IS NOT NULL GROUP BY 1, 2",
     "lookup_func_id": f"WITH {CAT}, w AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'p' ELSE 'l' END || l_linenumber AS func_id FROM lineitem) SELECT w.func_id, symbol IS NOT NULL AS found, symbol FROM w LEFT JOIN cat USING (func_id)",
     "lookup_symbol": f"WITH {CAT_X} SELECT func_id, symbol FROM cat WHERE symbol = '⊕'",
     "distinct_symbols": f"WITH {CAT_X} SELECT DISTINCT symbol FROM cat",
@@ -231,20 +248,22 @@ ORACLES: dict[str, str] = _RULES | {
     "render_brackets": f"{fold(True)} SELECT expr_id, t AS expression FROM u0",
     "render_no_base": f"{fold()} SELECT expr_id, nb AS expression FROM u0",
     "tree_json": f"{fold()} SELECT expr_id, json AS tree FROM u0",
-    "eval_tree": f"{fold()} SELECT expr_id, v::VARCHAR AS result, degree::BIGINT AS degree FROM u0",
+    "eval_tree": f"{fold()} SELECT expr_id, {spelled('v')} AS result, degree::BIGINT AS degree FROM u0",
     "longer_result": f"{fold()} SELECT expr_id, longer AS flag FROM u0",
     "expansion_degree": f"{ROOT} SELECT id, degree::VARCHAR AS normalized_expansion_degree FROM rt",
-    "result_text": f"{ROOT} SELECT id, v::VARCHAR AS result FROM rt",
+    "result_text": f"{ROOT} SELECT id, {spelled('v')} AS result FROM rt",
     "highest_order": f"{ROOT} SELECT id, 1::INT AS highest_n_order FROM rt",
     "priority_complexity": f"{ROOT} SELECT id, prs AS priority_hierarchical_complexity FROM rt",
     "operation_count": f"{ROOT} SELECT id, ops AS operation_count FROM rt",
     "complexity_ratio": f"{ROOT} SELECT id, round(degree / ops::DOUBLE, 6) AS complexity_ratio FROM rt",
-    "record_text": f"{ROOT} SELECT id, t || '=' || v AS text FROM rt",
+    "record_text": f"{ROOT} SELECT id, t || '=' || {spelled('v')} AS text FROM rt",
     "used_ops": f"{fold()}, {USED} SELECT expr_id AS id, fs AS used_operators FROM used",
     "dependent_ops": f"{fold()}, {USED} SELECT expr_id AS id, flatten(list_transform(fs, lambda f: {DEPS})) AS dependent_operators FROM used",
     "cot_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, step AS info, depth AS layer FROM u WHERE kind <> 'num'",
     "number_count": f"WITH {TREE} SELECT expr_id, count(*) FILTER (WHERE kind = 'num') AS n FROM nodes GROUP BY 1",
-    "evaluate": f"{ROOT} SELECT id, nb AS expression_no_base_symbol, t AS expression, 1::INT AS highest_n_order, prs AS priority_hierarchical_complexity, degree::VARCHAR AS normalized_expansion_degree, ops AS operation_count, round(degree / ops::DOUBLE, 6) AS complexity_ratio, json AS tree, v::VARCHAR AS result, 10::INT AS base, 10::INT AS result_base, t || '=' || v AS text FROM rt",
+    "evaluate": f"{ROOT}, {USED}, tr AS (SELECT expr_id, to_json(list({{'info': info, 'layer': depth}} ORDER BY {POST}))::VARCHAR AS cot_info, to_json(list({{'info': step, 'layer': depth}} ORDER BY {POST}) FILTER (WHERE kind <> 'num'))::VARCHAR AS cot, bool_or(longer) AS longer FROM u GROUP BY expr_id) "
+    f"SELECT id, nb AS expression_no_base_symbol, t AS expression, 1::INT AS highest_n_order, prs AS priority_hierarchical_complexity, degree::VARCHAR AS normalized_expansion_degree, ops AS operation_count, round(degree / ops::DOUBLE, 6) AS complexity_ratio, json AS tree, fs AS used_operators, "
+    f"flatten(list_transform(fs, lambda f: {DEPS})) AS dependent_operators, {spelled('v')} AS result, '{{\"target_base\":10,\"flag\":' || longer || '}}' AS longer_result_info, cot_info, 10::INT AS base, 10::INT AS result_base, t || '=' || {spelled('v')} AS text, cot FROM rt JOIN used ON used.expr_id = id JOIN tr ON tr.expr_id = id",
     "uses_both_args": f"WITH {CAT_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 2",
     "uses_arg": f"WITH {CAT_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 1",
     "not_wrapper": f"WITH {CAT_X} SELECT func_id, NOT ({_wrapper}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
@@ -268,9 +287,9 @@ ORACLES: dict[str, str] = _RULES | {
     "call_postfix": f"SELECT l_orderkey, l_linenumber, (b * b)::VARCHAR AS value FROM ({LINE})",
     "loop_args": f"SELECT l_orderkey, l_linenumber, a, b, {_text('x1')} AS rr, {_text('x2')} AS ra, {_text('x3')} AS rb, {_text('x2')} AS ar, {_text('x3')} AS br FROM (SELECT *, {_loop('r + r', 'a')} AS x1, {_loop('r + a', 'a')} AS x2, {_loop('r + b', 'a')} AS x3 FROM ({LINE}))",
     "valid_syntax": f"WITH {CAT} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
-    "expr_str": f"{fold(True)} SELECT expr_id, length(t)::BIGINT AS n_chars FROM u0",
-    "cot_info_trace": f"{fold()} SELECT expr_id, node_id, CASE WHEN kind = 'num' THEN 'number node, value=' || value ELSE 'op_id = ' || func_id || ', output=' || v END AS info, depth AS layer FROM u",
+    "expr_str": f"{fold(True)} SELECT expr_id, t AS expression, length(t)::BIGINT AS n_chars FROM u0",
+    "cot_info_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, info, depth AS layer FROM u",
     "branch_gen": f"SELECT o_orderkey AS key, 2::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
     "operator_gen": "SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT o_orderkey AS key, substr(" + " || ".join(pick(("+", "-", "*", "/", "%"), bits("o_orderkey", f"sign{k}") + " % 5") for k in range(3)) + f", 1, ({between('o_orderkey', 'length', 1, 3)})::INT) AS symbol, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders) WHERE symbol NOT IN ('+', '-', '*', '/', '%')",
-    "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || v AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
+    "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || {spelled('v')} AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,17 +13,21 @@ from ..functions import language as L
 from ..functions.compiler import Compiler, compare
 from ..operators import catalog as C
 from ..operators import evaluation, expressions, generation
-from ..schema import OPERATOR
+from ..schema import EXPRESSION, OPERATOR
 from ..sources import jsonl, scratch
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SAFE = (("p1", "m1", "t1", "s1"), ("b1",))
 DUPLICATE = X.records()[5] | {"id": 13, "func_id": "z9", "op_compute_func": X.records()[5]["op_compute_func"].replace("op_s1", "op_z9", 1)}
 POSTFIX = X.records()[6] | {"id": 14, "func_id": "q1", "symbol": "‰", "unary_position": "postfix", "priority": 4, "associativity_direction": "left", "definition": "a‰ = { (a*a) }", "op_compute_func": "def op_q1(a):\n    return op_t1(a, a)", "op_count_func": None, "definition_type": "simple_definition", "dependencies": ["t1"]}
+#: What trees are drawn from: all operators that SQL can evaluate too; loops are left to eval_tree_loops.
+POOLS = (("p1", "m1", "t1", "d1", "r1", "s1"), ("b1",), ("q1",))
+BODIES = X.BODIES | {"q1": L.parse("a‰ = { (a*a) }", X.SYMBOLS)}
 WRAPPER = POSTFIX | {"id": 15, "func_id": "w1", "symbol": "¤", "op_compute_func": "def op_w1(a):\n    return op_b1(a)", "dependencies": ["b1"]}
 TWIN = POSTFIX | {"id": 16, "func_id": "v1", "symbol": "¥", "op_compute_func": "def op_v1(a):\n    if a > 3:\n        return op_t1(a, a)\n    else:\n        return op_t1(a, a)"}
 EXTRA = [DUPLICATE, POSTFIX, WRAPPER, TWIN]
+#: Expression ids of a row of the inverted index, so that an operator in every expression is no single array.
+INDEX_BUCKET = 4096
 BAD_LINES = ("", "   ", "{not json", '{"func_id":"u1","symbol":"#","n_ary":2,"colour":"red"}', '{"symbol":"#","n_ary":2}', '{"func_id":"ok1","symbol":"#","n_ary":2}')
 
 
@@ -48,22 +51,18 @@ def operands(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"), (F.col("l_linenumber") - 3).cast("long").alias("b"))
 
 
-@cache
-def compiler():
-    return Compiler({k: v for k, v in X.BODIES.items() if k not in ("l1", "l2", "l3", "d1", "r1")} | {"r1": "%"})
+def tree_rows(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"))
+    return expressions.grow_rows(ids, *POOLS)
 
 
 def tree(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"))
-    return expressions.grow(ids, *SAFE)
-
+    return expressions.grow(ids, *POOLS)
 
-def folded(spark, sf_dir, brackets=False):
-    return expressions.fold(tree(spark, sf_dir), cat(spark), compiler(), brackets=brackets)
 
-
-def record_table(spark, sf_dir):
-    return expressions.records(scratch.save(folded(spark, sf_dir), "folded"), cat(spark))
+def record_table(spark, sf_dir, **how):
+    return expressions.records(tree_rows(spark, sf_dir), cat(spark, [POSTFIX]), BODIES, **how)
 
 
 # Sources and sinks
@@ -132,7 +131,7 @@ def _(spark, sf_dir):
 
 @query("op2expr")
 def _(spark, sf_dir):
-    return tree(spark, sf_dir).where("func_id IS NOT NULL").groupBy(F.col("func_id").alias("op_id")).agg(F.sort_array(F.collect_set("expr_id")).alias("expr_id"))
+    return tree(spark, sf_dir).where("func_id IS NOT NULL").groupBy(F.col("func_id").alias("op_id"), F.floor(F.col("expr_id") / INDEX_BUCKET).alias("bucket")).agg(F.sort_array(F.collect_set("expr_id")).alias("expr_id"))
 
 
 # Lookups
@@ -526,32 +525,40 @@ def _(spark, sf_dir):
 
 @query("render_expr")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir).where("node_id = 1").select("expr_id", F.col("s.text").alias("expression"))
+    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "expression")
 
 
 @query("render_brackets")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir, brackets=True).where("node_id = 1").select("expr_id", F.col("s.text").alias("expression"))
+    return record_table(spark, sf_dir, brackets=True).select(F.col("id").alias("expr_id"), "expression")
 
 
 @query("render_no_base")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir).where("node_id = 1").select("expr_id", F.col("s.no_base").alias("expression"))
+    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), F.col("expression_no_base_symbol").alias("expression"))
 
 
 @query("tree_json")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir).where("node_id = 1").select("expr_id", F.col("s.json").alias("tree"))
+    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "tree")
 
 
 @query("eval_tree")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir).where("node_id = 1").select("expr_id", bases.value_text(F.col("s.v")).alias("result"), F.col("s.degree").alias("degree"))
+    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "result", F.col("normalized_expansion_degree").cast("long").alias("degree"))
+
+
+@query("eval_tree_loops")
+def _(spark, sf_dir):
+    """Trees over the whole pool, loops included, in base 16 with results in base 2."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"))
+    rows = expressions.grow_rows(ids, (*POOLS[0], "l1", "l2", "l3"), *POOLS[1:])
+    return expressions.records(rows, cat(spark, [POSTFIX]), BODIES, base=16, result_base=2, longer_base=16).select("id", "text", "highest_n_order", "normalized_expansion_degree", "cot")
 
 
 @query("longer_result")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir).where("node_id = 1").select("expr_id", F.col("s.longer").alias("flag"))
+    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), F.col("longer_result_info.flag").alias("flag"))
 
 
 def _from_records(name, *columns):
@@ -581,7 +588,9 @@ def _(spark, sf_dir):
 
 @query("evaluate")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).drop("cot", "longer_result_info", "used_operators", "dependent_operators")
+    """The whole record; its structs as JSON text."""
+    nested = ("longer_result_info", "cot_info", "cot")
+    return record_table(spark, sf_dir).select(*[F.to_json(f.name).alias(f.name) if f.name in nested else F.col(f.name) for f in EXPRESSION.fields])
 
 
 # Acceptance
@@ -717,8 +726,7 @@ def _(spark, sf_dir):
 
 @query("call_postfix")
 def _(spark, sf_dir):
-    bodies = X.BODIES | {"q1": L.parse("a‰ = { (a*a) }", X.SYMBOLS)}
-    return evaluation.apply_operator(operands(spark, sf_dir), "q1", bodies, F.col("b")).select("l_orderkey", "l_linenumber", "value")
+    return evaluation.apply_operator(operands(spark, sf_dir), "q1", BODIES, F.col("b")).select("l_orderkey", "l_linenumber", "value")
 
 
 @query("loop_args")
@@ -743,14 +751,12 @@ def _(spark, sf_dir):
 
 @query("expr_str")
 def _(spark, sf_dir):
-    return folded(spark, sf_dir, brackets=True).where("node_id = 1").select("expr_id", F.length("s.text").cast("long").alias("n_chars"))
+    return record_table(spark, sf_dir, brackets=True).select(F.col("id").alias("expr_id"), "expression", F.length("expression").cast("long").alias("n_chars"))
 
 
 @query("cot_info_trace")
 def _(spark, sf_dir):
-    nodes = folded(spark, sf_dir)
-    info = F.when(F.col("kind") == "num", F.concat(F.lit("number node, value="), F.col("value").cast("string"))).otherwise(F.concat(F.lit("op_id = "), "func_id", F.lit(", output="), bases.trace_text(F.col("s.v"))))
-    return nodes.select("expr_id", "node_id", info.alias("info"), F.col("depth").alias("layer"))
+    return record_table(spark, sf_dir).select("id", F.posexplode("cot_info").alias("step", "c")).select("id", F.col("step").cast("long").alias("step"), "c.info", "c.layer")
 
 
 @query("branch_gen")
