@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,12 @@ def spelled(v) -> str:
     return NAN if v != v else INF if v == float("inf") else NEG_INF if v == float("-inf") else str(int(v))
 
 
+def number(text: str):
+    """An operand from its text: a whole number (a double's fraction is cut off), or a special value."""
+    x = Decimal(text)
+    return float(x) if x.is_nan() or x.is_infinite() else int(x)
+
+
 def apply_operator(rows: DataFrame, func_id: str, bodies: dict, *operands: Column) -> DataFrame:
     """rows with value (text) and cost, which replace columns of these names. Operands are whole numbers; a null one gives null and null.
 
@@ -37,7 +45,7 @@ def apply_operator(rows: DataFrame, func_id: str, bodies: dict, *operands: Colum
 
 
 def apply_exact(rows: DataFrame, func_id: str, bodies: dict, *operands: Column | str) -> DataFrame:
-    """The same by the interpreter, in Arrow batches, for operands and results of any size (whole numbers or their text). A cost stays at the largest long."""
+    """The same by the interpreter, in Arrow batches, for operands and results of any size (numbers or their text). A cost stays at the largest long."""
     seen: dict = {}
 
     def one(row):
@@ -46,7 +54,7 @@ def apply_exact(rows: DataFrame, func_id: str, bodies: dict, *operands: Column |
         if row not in seen:
             if len(seen) >= REMEMBERED:
                 seen.clear()
-            v, c = evaluate(func_id, tuple(int(x) for x in row), bodies)
+            v, c = evaluate(func_id, tuple(map(number, row)), bodies)
             seen[row] = spelled(v), min(c, (1 << 63) - 1)
         return seen[row]
 

@@ -39,26 +39,70 @@ def shape(key: str) -> str:
     return f"CASE WHEN {bits(key, 'arity')} % 2 = 0 THEN 'binary' WHEN {bits(key, 'position')} % 2 = 0 THEN 'prefix' ELSE 'postfix' END"
 
 
+SIGNS = ("+", "-", "*", "/", "%", "⊕")
+
+
+def variable(key: str, what: str, sh: str) -> str:
+    return f"CASE WHEN {sh} = 'binary' AND {bits(key, what)} % 2 = 1 THEN 'b' ELSE 'a' END"
+
+
+def operand(key: str, tag: str, var: str) -> str:
+    binary = f"'(' || ({var}) || ' ' || {pick(SIGNS, bits(key, tag + '/op') + ' % 6')} || ' ' || {between(key, tag + '/constant', 0, 1000)}::VARCHAR || ')'"
+    return f"CASE {bits(key, tag + '/operand')} % 4 WHEN 1 THEN '(∇' || ({var}) || ')' WHEN 2 THEN '(' || ({var}) || '‰)' WHEN 3 THEN {binary} ELSE {var} END"
+
+
 def condition(key: str, tag: str, sh: str) -> str:
     op = pick(("==", ">", "<", ">=", "<=", "!="), f"{bits(key, tag + '/cmp')} % 6")
-    return f"(CASE WHEN {sh} = 'binary' AND {bits(key, tag + '/var')} % 2 = 1 THEN 'b' ELSE 'a' END || ' ' || {op} || ' ' || {skewed(key, tag + '/k', 0, 1000)}::VARCHAR)"
+    return f"(({operand(key, tag, variable(key, tag + '/var', sh))}) || ' ' || {op} || ' ' || {skewed(key, tag + '/k', 0, 1000)}::VARCHAR)"
 
 
-def condition_count(key: str) -> str:
-    u = unit(key, "conditions")
+def condition_count(key: str, tag: str = "") -> str:
+    u = unit(key, tag + "conditions")
     return f"(CASE WHEN {u} < 0.7 / {0.7 + 0.2 + 0.1!r}::DOUBLE THEN 1 WHEN {u} < {(0.7 + 0.2)!r}::DOUBLE / {0.7 + 0.2 + 0.1!r}::DOUBLE THEN 2 ELSE 3 END)::INT"
 
 
-def condition_expression(key: str, sh: str) -> str:
-    c = [condition(key, f"c{i}", sh) for i in range(3)]
-    word = lambda i: f"CASE WHEN {bits(key, f'join{i}')} % 2 = 0 THEN 'and' ELSE 'or' END"
-    pair = lambda x, i, y: f"CASE WHEN {bits(key, 'bracket')} % 2 = 1 THEN '(' || {x} || ' ' || {word(i)} || ' ' || {y} || ')' ELSE {x} || ' ' || {word(i)} || ' ' || {y} END"
-    n = condition_count(key)
-    return f"CASE {n} WHEN 1 THEN {c[0]} WHEN 2 THEN {pair(c[0], 0, c[1])} ELSE {c[0]} || ' ' || {word(0)} || ' ' || ({pair(c[1], 1, c[2])}) END"
+def condition_expression(key: str, sh: str, tag: str = "") -> str:
+    c = [condition(key, f"{tag}c{i}", sh) for i in range(3)]
+    word = lambda i: f"CASE WHEN {bits(key, f'{tag}join{i}')} % 2 = 0 THEN 'and' ELSE 'or' END"
+    pair = lambda x, i, y: f"CASE WHEN {bits(key, tag + 'bracket')} % 2 = 1 THEN '(' || {x} || ' ' || {word(i)} || ' ' || {y} || ')' ELSE {x} || ' ' || {word(i)} || ' ' || {y} END"
+    return f"CASE {condition_count(key, tag)} WHEN 1 THEN {c[0]} WHEN 2 THEN {pair(c[0], 0, c[1])} ELSE {c[0]} || ' ' || {word(0)} || ' ' || ({pair(c[1], 1, c[2])}) END"
 
 
 def body(key: str, tag: str, sh: str) -> str:
-    return f"('(a' || {pick(('+', '-', '*', '/', '%'), bits(key, tag + '/op') + ' % 5')} || CASE WHEN {sh} = 'binary' THEN 'b' ELSE {skewed(key, tag + '/n', 1, 9)}::VARCHAR END || ')')"
+    def term(side: str) -> str:
+        at = f"{tag}/{side}"
+        var = variable(key, at + "/var", sh)
+        return f"CASE WHEN {bits(key, at + '/deep')} % 2 = 1 THEN {operand(key, at, var)} WHEN {bits(key, at + '/number')} % 2 = 1 THEN {skewed(key, at + '/n', 1, 9)}::VARCHAR ELSE {var} END"
+
+    return f"('(' || ({term('l')}) || {pick(SIGNS, bits(key, tag + '/op') + ' % 6')} || ({term('r')}) || ')')"
+
+
+def branches(key: str, sh: str) -> str:
+    """One or two conditioned arms and the last."""
+    arm = lambda i: f"{body(key, f'b{i}', sh)} || ' , if ' || ({condition_expression(key, sh, f'i{i}/')}) || ' ; '"
+    return f"{arm(0)} || CASE WHEN {between(key, 'branches', 1, 2)} > 1 THEN {arm(1)} ELSE '' END || {body(key, 'else', sh)} || ' , else'"
+
+
+def recursive_operators(key: str) -> str:
+    """Loops of order 2 and 3, from the draws, over the fixture's operators of the order below."""
+    again = lambda step: (
+        f"CASE WHEN arity = 2 THEN '(' || CASE x WHEN 'r' THEN {{e}} ELSE x END || ')' || sign || '(' || CASE y WHEN 'r' THEN {{e}} ELSE y END || ')' WHEN pos = 'prefix' THEN sign || '(' || {{e}} || ')' ELSE '(' || {{e}} || ')' || sign END"
+    ).replace("{e}", f"(CASE v WHEN 'a' THEN '(a{step}1)⊛b' ELSE 'a⊛(b{step}1)' END)")
+    near, beyond = "CASE WHEN k = 3 THEN ' and abs(' || v || ') <= 1000000' ELSE '' END", "CASE WHEN k = 3 THEN ' or abs(' || v || ') > 1000000' ELSE '' END"
+    nl, args = "chr(10)", "CASE WHEN arity = 2 THEN x || ', ' || y ELSE 'r' END"
+    guard = lambda value: f"'    if ' || v || ' != ' || v || ' or abs(' || v || ') == float(''inf'')' || {beyond} || ':' || {nl} || '        return {value}' || {nl} || '    r = ' || st || {nl}"
+    loop, step = f"'    for _ in range(abs(' || v || ')):' || {nl}", f"'        t = op_' || callee || '(' || {args} || ')' || {nl}"
+    keep = f"'        if abs(t) > 2147483647:' || {nl} || '            t = float(''inf'')' || {nl} || '        r = t if ' || v || ' > 0 else -t' || {nl}"
+    pattern = f"{bits(key, 'pattern')} % 5"
+    return (
+        f"WITH d AS (SELECT {key} AS key, CASE WHEN {bits(key, 'order')} % 2 = 0 THEN 2 ELSE 3 END AS k, CASE WHEN {bits(key, 'loop')} % 2 = 0 THEN 'a' ELSE 'b' END AS v, "
+        f"CASE {bits(key, 'start')} % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE {between(key, 'start/n', -100, 100)}::VARCHAR END AS st, {pick(('r', 'r', 'r', 'a', 'b'), pattern)} AS x, {pick(('r', 'a', 'b', 'r', 'r'), pattern)} AS y, "
+        f"CASE WHEN {bits(key, 'order')} % 2 = 0 THEN {pick(('b1', 'd1', 'm1', 'p1', 'q1', 'r1', 's1', 't1'), bits(key, 'callee') + ' % 8')} ELSE {pick(('l1', 'l2'), bits(key, 'callee') + ' % 2')} END AS callee FROM orders), "
+        f"{X.catalog_sql([POSTFIX])}, e AS (SELECT d.*, symbol AS sign, n_ary AS arity, unary_position AS pos FROM d JOIN cat ON func_id = callee) "
+        f"SELECT key, 'g' || key AS func_id, '⊛' AS symbol, k::INT AS n_order, callee, 'a⊛b = {{ ' || st || ' , if ' || v || ' == 0 ; ' || {again('-')} || ' , if ' || v || ' > 0' || {near} || ' ; -(' || {again('+')} || CASE WHEN k = 3 THEN ') , if ' || v || ' < 0' || {near} || ' ; NaN , else }}' ELSE ') , else }}' END AS definition, "
+        f"'recursive_definition' AS definition_type, 'def op_g' || key || '(a, b):' || {nl} || {guard('float(' + chr(39) * 2 + 'nan' + chr(39) * 2 + ')')} || {loop} || {step} || {keep} || '    return r' AS op_compute_func, "
+        f"'def op_count_g' || key || '(a, b):' || {nl} || {guard('1')} || '    n = 0' || {nl} || {loop} || {step} || '        n += op_count_' || callee || '(' || {args} || ')' || {nl} || {keep} || '    return max(n, 1)' AS op_count_func, [callee] AS dependencies FROM e"
+    )
 
 
 # Trees: two levels under a root, numbered as in a heap.
@@ -230,9 +274,16 @@ ORACLES: dict[str, str] = _RULES | {
     "cond_atom": f"SELECT o_orderkey, {condition('o_orderkey', 'c0', chr(39) + 'binary' + chr(39))} AS condition FROM orders",
     "cond_count": f"SELECT o_orderkey, {condition_count('o_orderkey')} AS n FROM orders",
     "cond_expr": f"SELECT o_orderkey, {condition_expression('o_orderkey', chr(39) + 'binary' + chr(39))} AS condition FROM orders",
+    "cond_operand": f"SELECT o_orderkey, {operand('o_orderkey', 'c0', variable('o_orderkey', 'c0/var', chr(39) + 'binary' + chr(39)))} AS operand FROM orders",
+    "recursive_operator_gen": recursive_operators("o_orderkey"),
+    "eval_nested_loop": f"SELECT *, (CASE WHEN b >= 0 OR b % 2 = 0 THEN 1 ELSE -1 END * power(a, abs(b)))::BIGINT::VARCHAR AS value, greatest(abs(b) * greatest(a, 1), 1)::BIGINT AS cost FROM (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS a, (l_linenumber - 3)::BIGINT AS b FROM lineitem)",
     "lhs_gen": f"WITH {CAT_X} SELECT func_id, CASE coalesce(unary_position, 'binary') WHEN 'binary' THEN 'a' || symbol || 'b' WHEN 'prefix' THEN symbol || 'a' ELSE 'a' || symbol END AS lhs FROM cat",
-    "definition_gen": f"SELECT key, shape, definition_type, CASE WHEN definition_type = 'simple_definition' THEN {_lhs} || ' = {{ ' || {body('key', 'b0', 'shape')} || ' }}' ELSE {_lhs} || ' = {{ ' || {body('key', 'b0', 'shape')} || ' , if ' || ({condition_expression('key', 'shape')}) || ' ; ' || {body('key', 'b1', 'shape')} || ' , else }}' END AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders)",
-    "definition_parse": "SELECT * FROM (VALUES ('s1', true, 2::INT, 2::INT), ('b1', true, 1, 3), ('bad', false, 0, 0)) t(func_id, ok, n_params, n_calls)",
+    "definition_gen": f"SELECT key, shape, definition_type, {_lhs} || ' = {{ ' || CASE WHEN definition_type = 'simple_definition' THEN {body('key', 'b0', 'shape')} ELSE {branches('key', 'shape')} END || ' }}' AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders)",
+    "definition_parse": "SELECT 'd' || o_orderkey AS func_id, o_orderkey % 9 <> 0 AS ok, o_orderkey % 9 <> 0 AS compiled FROM orders",
+    "decompile": f"SELECT 'd' || key AS func_id, regexp_replace({body('key', 'b0', 'shape')}, ' ', '', 'g') AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape FROM orders WHERE {bits('o_orderkey', 'type')} % 2 = 0)",
+    "decompile_flat": f"SELECT 'd' || key AS func_id, regexp_replace(regexp_replace(regexp_replace({branches('key', 'shape')}, '(\\([ab]) (\\S+) (\\d+\\))', '\\1\\2\\3', 'g'), '\\(((?:\\([^()]*\\)|[^()])* (?:and|or) (?:\\([^()]*\\)|[^()])*)\\)( ;| and| or)', '\\1\\2', 'g'), ' +', ' ', 'g') AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0)",
+    "definition_roundtrip": "SELECT 'd' || o_orderkey AS func_id, true AS same FROM orders",
+    "compile_branches": f"SELECT 'd' || o_orderkey AS func_id, (1 + n)::INT AS returns, 1::INT AS ifs, (n - 1)::INT AS elifs FROM (SELECT o_orderkey, {between('o_orderkey', 'branches', 1, 2)} AS n FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0)",
     "eval_simple": f"SELECT *, ((a + b) * 2)::VARCHAR AS value, 2::BIGINT AS cost FROM ({LINE})",
     "eval_branch": f"SELECT *, CASE WHEN a > 10 AND a % 2 = 0 THEN a * a ELSE a + 1 END::VARCHAR AS value, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS cost FROM ({LINE})",
     "eval_loop": f"SELECT l_orderkey, l_linenumber, a, b, {_text('s')} AS sum_value, greatest(abs(b), 1)::BIGINT AS sum_cost, {_text('p')} AS power_value, greatest(abs(b), 1)::BIGINT AS power_cost FROM (SELECT *, {_loop('r + a', '0')} AS s, {_loop('r * a', 'a')} AS p FROM ({LINE}))",
@@ -271,8 +322,8 @@ ORACLES: dict[str, str] = _RULES | {
     "body_hash": f"WITH {CAT_X} SELECT func_id, sha256({_bodies}) AS hash FROM cat WHERE op_compute_func IS NOT NULL",
     "body_dedupe": f"WITH {CAT_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL GROUP BY {_bodies}",
     "order_match": "SELECT * FROM (VALUES ('l1'), ('l2')) t(func_id)",
-    "accept_pipeline": f"WITH {CAT_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND ({_uses}) AND NOT ({_wrapper}) AND len(list_distinct({_returns})) = len({_returns}) GROUP BY {_bodies}",
-    "property_check": "SELECT * FROM (VALUES ('p1', true), ('m1', true), ('s1', true)) t(func_id, ok)",
+    "accept_pipeline": f"WITH {CAT_X} SELECT min(func_id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 AND n_order = 1 AND ({_uses}) AND NOT ({_wrapper}) AND len(list_distinct({_returns})) = len({_returns}) GROUP BY {_bodies}",
+    "property_check": f"WITH {CAT_X} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 UNION ALL SELECT 't9', false",
     "layer_sizes": "SELECT * FROM (VALUES (1::INT, 43372::BIGINT), (2, 26023), (3, 15614), (4, 9368), (5, 5623)) t(layer, size)",
     "order_histogram": f"WITH {CAT} SELECT i::INT AS n_order, count(n_order) AS n FROM range(1, 6) t(i) LEFT JOIN cat ON n_order = i GROUP BY i",
     "layer_deficit": f"WITH {CAT}, s(layer, size) AS (VALUES (1, 43), (2, 26), (3, 15), (4, 9), (5, 7)) SELECT layer::INT AS layer, greatest(size - (SELECT count(*) FROM cat WHERE n_order = layer), 0)::BIGINT AS missing FROM s",
@@ -289,7 +340,7 @@ ORACLES: dict[str, str] = _RULES | {
     "valid_syntax": f"WITH {CAT} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
     "expr_str": f"{fold(True)} SELECT expr_id, t AS expression, length(t)::BIGINT AS n_chars FROM u0",
     "cot_info_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, info, depth AS layer FROM u",
-    "branch_gen": f"SELECT o_orderkey AS key, 2::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
+    "branch_gen": f"SELECT o_orderkey AS key, (1 + {between('o_orderkey', 'branches', 1, 2)})::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
     "operator_gen": "SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT o_orderkey AS key, substr(" + " || ".join(pick(("+", "-", "*", "/", "%"), bits("o_orderkey", f"sign{k}") + " % 5") for k in range(3)) + f", 1, ({between('o_orderkey', 'length', 1, 3)})::INT) AS symbol, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders) WHERE symbol NOT IN ('+', '-', '*', '/', '%')",
     "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || {spelled('v')} AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
 }

@@ -23,9 +23,12 @@ POSTFIX = X.records()[6] | {"id": 14, "func_id": "q1", "symbol": "‰", "unary_p
 #: What trees are drawn from: all operators that SQL can evaluate too; loops are left to eval_tree_loops.
 POOLS = (("p1", "m1", "t1", "d1", "r1", "s1"), ("b1",), ("q1",))
 BODIES = X.BODIES | {"q1": L.parse("a‰ = { (a*a) }", X.SYMBOLS)}
+SYMBOLS = X.SYMBOLS | {("‰", "postfix"): "q1"}
+SHAPES = X.SHAPES | {"q1": ("‰", "postfix")}
 WRAPPER = POSTFIX | {"id": 15, "func_id": "w1", "symbol": "¤", "op_compute_func": "def op_w1(a):\n    return op_b1(a)", "dependencies": ["b1"]}
 TWIN = POSTFIX | {"id": 16, "func_id": "v1", "symbol": "¥", "op_compute_func": "def op_v1(a):\n    if a > 3:\n        return op_t1(a, a)\n    else:\n        return op_t1(a, a)"}
 EXTRA = [DUPLICATE, POSTFIX, WRAPPER, TWIN]
+SYMBOL_POOLS = generation.Pools(("∇",), ("‰",), ("+", "-", "*", "/", "%", "⊕"))
 #: Expression ids of a row of the inverted index, so that an operator in every expression is no single array.
 INDEX_BUCKET = 4096
 BAD_LINES = ("", "   ", "{not json", '{"func_id":"u1","symbol":"#","n_ary":2,"colour":"red"}', '{"symbol":"#","n_ary":2}', '{"func_id":"ok1","symbol":"#","n_ary":2}')
@@ -186,10 +189,8 @@ def _(spark, sf_dir):
 
 @query("recursive_call_pool")
 def _(spark, sf_dir):
-    pool = cat(spark).where("n_order = 2").select("func_id")
-    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    ids = F.array(F.lit("l1"), F.lit("l2"))
-    return asked.select("key", F.get(ids, F.pmod(draws.bits(F.col("key"), "callee"), F.lit(2)).cast("int")).alias("func_id")).join(pool, "func_id", "left_semi").select("key", "func_id")
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit(3).alias("n_order"))
+    return generation.callees(cat(spark), asked).select("key", F.col("called").alias("func_id"))
 
 
 # Mutation and graph
@@ -381,7 +382,21 @@ def _(spark, sf_dir):
 
 @query("cond_atom")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", generation.condition(F.col("o_orderkey"), "c0", F.lit("binary")).alias("condition"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", generation.condition(F.col("o_orderkey"), "c0", F.lit("binary"), pools=SYMBOL_POOLS).alias("condition"))
+
+
+@query("cond_operand")
+def _(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", generation.operand(k, "c0", generation.variable(k, "c0/var", F.lit("binary")), SYMBOL_POOLS).alias("operand"))
+
+
+@query("recursive_operator_gen")
+def _(spark, sf_dir):
+    """Loops of order 2 and 3 over the catalog, unary callees included."""
+    order = F.when(F.pmod(draws.bits(F.col("key"), "order"), F.lit(2)) == 0, 2).otherwise(3)
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("⊛").alias("symbol")).withColumn("n_order", order)
+    return generation.recursive_operators(keys, cat(spark, [POSTFIX]))
 
 
 @query("cond_count")
@@ -397,50 +412,53 @@ def _(spark, sf_dir):
 @query("definition_gen")
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("⊛").alias("symbol"))
-    return generation.definitions(keys).select("key", "shape", "definition_type", "definition")
+    return generation.definitions(keys, pools=SYMBOL_POOLS).select("key", "shape", "definition_type", "definition")
 
 
 @query("cond_expr")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", generation.condition_expression(F.col("o_orderkey"), F.lit("binary")).alias("condition"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", generation.condition_expression(F.col("o_orderkey"), F.lit("binary"), pools=SYMBOL_POOLS).alias("condition"))
 
 
 # Language
 
 
-@query("definition_parse")
-def _(spark, sf_dir):
-    rows = [(r["func_id"], *_parsed(r["definition"])) for r in X.records() if r["definition_type"] in ("simple_definition", "branch_definition")] + [("bad", *_parsed("a⊕b = { (a+ }"))]
-    return spark.createDataFrame(rows, "func_id string, ok boolean, n_params int, n_calls int")
+def _generated(spark, sf_dir):
+    """Generated definitions, numbered d0, d1, ... by their orders."""
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("⊛").alias("symbol"))
+    return generation.definitions(keys, pools=SYMBOL_POOLS).withColumn("func_id", F.concat(F.lit("d"), F.col("key").cast("string")))
+
 
+def _compiled(spark, sf_dir):
+    return generation.compiled(_generated(spark, sf_dir), SYMBOLS, SHAPES)
 
-def _parsed(text):
-    try:
-        params, body = L.parse(text, X.SYMBOLS)
-        return True, len(params), len(L.calls(body))
-    except L.DefinitionError:
-        return False, 0, 0
+
+@query("definition_parse")
+def _(spark, sf_dir):
+    """Generated definitions, and one in nine of them without its last bracket."""
+    rows = _generated(spark, sf_dir)
+    broken = F.when(F.col("key") % 9 == 0, F.regexp_replace("definition", r"\)([^)]*)$", "$1")).otherwise(F.col("definition"))
+    return generation.compiled(rows.withColumn("definition", broken), SYMBOLS, SHAPES).select("func_id", "ok", F.col("op_compute_func").isNotNull().alias("compiled"))
 
 
 @query("decompile")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(f, L.show(X.BODIES[f][1], X.SHAPES)) for f in ("s1", "b1")], "func_id string, definition string")
+    """What the compiled text of simple definitions reads back as."""
+    return _compiled(spark, sf_dir).where("definition_type = 'simple_definition'").select("func_id", F.col("again").alias("definition"))
 
 
 @query("decompile_flat")
 def _(spark, sf_dir):
-    both = L.Branches(((L.Num(1), L.Logic("or", (L.Logic("and", (L.Cmp(">", L.Var("a"), L.Num(1)), L.Cmp("<", L.Var("a"), L.Num(5)))), L.Cmp("==", L.Var("a"), L.Num(9))))), (L.Num(0), None)))
-    return spark.createDataFrame([("nested", L.show(both, X.SHAPES), L.show(both, X.SHAPES, flat=True))], "func_id string, definition string, flat string")
+    """The same of branches, without boolean brackets."""
+    return _compiled(spark, sf_dir).where("definition_type = 'branch_definition'").select("func_id", F.col("flat").alias("definition"))
 
 
 @query("definition_roundtrip")
 def _(spark, sf_dir):
-    rows = []
-    for f in ("s1", "b1"):
-        params, body = X.BODIES[f]
-        again = L.parse(f"{'a⊕b' if f == 's1' else '∇a'} = {{ {L.show(body, X.SHAPES)} }}", X.SYMBOLS)
-        rows.append((f, again == (params, body)))
-    return spark.createDataFrame(rows, "func_id string, same boolean")
+    """Read back, printed and parsed again, a definition compiles to the same text."""
+    once = _compiled(spark, sf_dir).select("func_id", "op_compute_func", F.concat(F.regexp_extract("definition", r"^(.*?= \{ )", 1), "again", F.lit(" }")).alias("definition"))
+    twice = generation.compiled(once.withColumnRenamed("op_compute_func", "before"), SYMBOLS, SHAPES)
+    return twice.select("func_id", F.col("before").eqNullSafe(F.col("op_compute_func")).alias("same"))
 
 
 # Evaluation
@@ -634,20 +652,24 @@ def _(spark, sf_dir):
 
 @query("accept_pipeline")
 def _(spark, sf_dir):
-    rows = cat(spark, EXTRA).where("op_compute_func IS NOT NULL")
-    src, n = F.col("op_compute_func"), F.col("n_ary")
-    fine = rows.where(generation.uses_arguments(src, n) & ~generation.is_wrapper(src, n) & generation.distinct_returns(src)).withColumn("hash", generation.body_hash(src))
-    return fine.groupBy("hash").agg(F.min_by("func_id", "id").alias("func_id")).select("func_id")
+    """Rows that repeat, wrap or waste, and those of the catalog itself as candidates of order 1, against the catalog without them."""
+    every = cat(spark, EXTRA)
+    return generation.accept(every.where("op_compute_func IS NOT NULL").select("func_id", "n_ary", "op_compute_func", "dependencies"), cat(spark).withColumn("op_compute_func", F.lit(None).cast("string")), BODIES, 1)
+
+
+@query("accept_generated")
+def _(spark, sf_dir):
+    """Generated definitions, compiled, that pass all filters."""
+    rows = _compiled(spark, sf_dir).where("ok").select("func_id", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), "op_compute_func", "dependencies")
+    return generation.accept(rows, cat(spark, [POSTFIX]), BODIES, 1)
 
 
 @query("property_check")
 def _(spark, sf_dir):
-    inputs = spark.range(5).select(*[(draws.between(F.col("id"), f"prop{v}", 0, 2**32 - 2) - (2**31 - 1)).alias(v) for v in ("a", "b")])
-    out = None
-    for f in ("p1", "m1", "s1"):
-        one = evaluation.apply_operator(inputs, f, X.BODIES, F.col("a"), F.col("b")).agg(F.bool_and(F.col("value").rlike(r"^(-?\d+|NaN|-?Inf)$")).alias("ok")).select(F.lit(f).alias("func_id"), "ok")
-        out = one if out is None else out.unionAll(one)
-    return out
+    """Every operator of the catalog that has a function; one that returns no number is not among them."""
+    bad = POSTFIX | {"id": 21, "func_id": "t9", "op_compute_func": "def op_t9(a):\n    return op_none(a, a)"}
+    rows = cat(spark, [*EXTRA, bad]).where("op_compute_func IS NOT NULL AND size(dependencies) > 0").select("func_id", "op_compute_func")
+    return generation.holds_up(rows, BODIES).select("func_id", F.col("holds").alias("ok"))
 
 
 # Drivers
@@ -741,7 +763,10 @@ def _(spark, sf_dir):
 
 @query("compile_branches")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(f, L.source(f, *X.BODIES[f])) for f in ("s1", "b1")], "func_id string, source string")
+    """How many returns and conditions the compiled text of generated branches has."""
+    src = F.col("op_compute_func")
+    rows = _compiled(spark, sf_dir).where("definition_type = 'branch_definition'")
+    return rows.select("func_id", F.regexp_count(src, F.lit("return ")).alias("returns"), F.regexp_count(src, F.lit(r"\bif ")).alias("ifs"), F.regexp_count(src, F.lit(r"elif ")).alias("elifs"))
 
 
 @query("valid_syntax")
@@ -762,7 +787,7 @@ def _(spark, sf_dir):
 @query("branch_gen")
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit("⊛").alias("symbol"))
-    return generation.definitions(keys).where("definition_type = 'branch_definition'").select("key", F.size(F.split("definition", ";")).alias("branches"))
+    return generation.definitions(keys, pools=SYMBOL_POOLS).where("definition_type = 'branch_definition'").select("key", F.size(F.split("definition", ";")).alias("branches"))
 
 
 @query("operator_gen")
@@ -770,7 +795,7 @@ def _(spark, sf_dir):
     """Operator rows with drawn symbols, shapes and definitions; symbols of the catalog are not drawn again."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     named = generation.symbols(keys, ["+", "-", "*", "/", "%"], cat(spark).select("symbol"))
-    return generation.definitions(named).select("key", "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type")
+    return generation.definitions(named, pools=SYMBOL_POOLS).select("key", "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type")
 
 
 @query("combo_expr")

@@ -1,25 +1,18 @@
 """Record types of operators and expressions."""
 
-from pyspark.sql import types as T
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-_NAMES = {"BIGINT": T.LongType(), "STRING": T.StringType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRINGS": T.ArrayType(T.StringType())}
-_STEPS = T.ArrayType(T.StructType([T.StructField("info", T.StringType()), T.StructField("layer", T.IntegerType())]))
-_LONGER = T.StructType([T.StructField("target_base", T.IntegerType()), T.StructField("flag", T.BooleanType())])
+TEXT, INT, LONG, TEXTS = StringType(), IntegerType(), LongType(), ArrayType(StringType())
+STEPS = ArrayType(StructType([StructField("info", TEXT), StructField("layer", INT)]))
+LONGER = StructType([StructField("target_base", INT), StructField("flag", BooleanType())])
 
-
-def _fields(text: str) -> T.StructType:
-    kinds = _NAMES | {"STEPS": _STEPS, "LONGER": _LONGER}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.split() for x in text.split(","))])
-
-
-OPERATOR = _fields(
-    "id BIGINT, func_id STRING, symbol STRING, n_ary INT, unary_position STRING, n_order INT, is_base INT, definition STRING, definition_type STRING, "
-    "priority INT, associativity_direction STRING, op_compute_func STRING, op_count_func STRING, dependencies STRINGS"
-)
+OPERATOR = StructType([
+    StructField("id", LONG), StructField("func_id", TEXT), StructField("symbol", TEXT), StructField("n_ary", INT), StructField("unary_position", TEXT), StructField("n_order", INT), StructField("is_base", INT),
+    StructField("definition", TEXT), StructField("definition_type", TEXT), StructField("priority", INT), StructField("associativity_direction", TEXT), StructField("op_compute_func", TEXT), StructField("op_count_func", TEXT), StructField("dependencies", TEXTS),
+])
 REQUIRED = ("func_id", "symbol", "n_ary")
-NODE = _fields("expr_id BIGINT, node_id INT, parent_id INT, side STRING, depth INT, post INT, kind STRING, func_id STRING, value BIGINT, base INT")
-EXPRESSION = _fields(
-    "id BIGINT, expression_no_base_symbol STRING, expression STRING, highest_n_order INT, priority_hierarchical_complexity INT, normalized_expansion_degree STRING, "
-    "operation_count INT, complexity_ratio DOUBLE, tree STRING, used_operators STRINGS, dependent_operators STRINGS, result STRING, "
-    "longer_result_info LONGER, cot_info STEPS, base INT, result_base INT, text STRING, cot STEPS"
-)
+EXPRESSION = StructType([
+    StructField("id", LONG), StructField("expression_no_base_symbol", TEXT), StructField("expression", TEXT), StructField("highest_n_order", INT), StructField("priority_hierarchical_complexity", INT), StructField("normalized_expansion_degree", TEXT),
+    StructField("operation_count", INT), StructField("complexity_ratio", DoubleType()), StructField("tree", TEXT), StructField("used_operators", TEXTS), StructField("dependent_operators", TEXTS), StructField("result", TEXT),
+    StructField("longer_result_info", LONGER), StructField("cot_info", STEPS), StructField("base", INT), StructField("result_base", INT), StructField("text", TEXT), StructField("cot", STEPS),
+])

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, label: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir; under a temporary folder only where that is unset (tests)."""
+    """A new path under the cluster's spark.checkpoint.dir. Unset, it is a temporary one in a single-machine session, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillon-{uuid.uuid4().hex}/{label}"
