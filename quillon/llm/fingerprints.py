@@ -82,12 +82,19 @@ def similar_pairs(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Equal sets are one class, standing at its smallest key. Partition k holds lengths from
     r^k to r^(k+1) with r = 1/threshold; a set also visits the partition after its own, and
-    lengths beyond the threshold's reach are pruned before sets are compared.
+    lengths beyond the threshold's reach are pruned before sets are compared. Sets meet by the rarest of their signatures (their
+    heads), so that common ones bring few together; classes that differ but share a rare signature are compared each with each.
+
+    Cases: an empty set is like none; repeated rows and equal sets are one class; null keys are a class's key only where it has no other; no rows, no pairs.
     """
     classes = save(sets.where(F.size("sigs") > 0).groupBy("sigs").agg(F.min("key").alias("key")).withColumn("n", F.size("sigs")), "spot-classes")
     part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
-    head = F.slice("sigs", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
-    at = classes.select("key", "n", part.alias("part"), F.explode(head).alias("sig"))
+    held = classes.select("key", "n", F.explode("sigs").alias("sig"))
+    shared = held.groupBy("sig").agg(F.count("*").alias("sets")).where("sets > 1")
+    ranked = held.join(shared, "sig").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "sig"))).alias("common"))
+    # Signatures of one set alone come first and bring it nowhere.
+    most = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - (F.col("n") - F.size("common"))
+    at = ranked.where(most > 0).select("key", "n", part.alias("part"), F.explode(F.slice("common", F.lit(1), F.greatest(most, F.lit(1)))).alias("c")).select("key", "n", "part", "c.sig")
     small, large = at.toDF("a", "na", "part", "sig"), at.select("key", "n", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"), "sig").toDF("b", "nb", "part", "sig")
     near = ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") >= threshold * F.col("nb") - 1e-9)
     pairs = small.join(large, ["part", "sig"]).where(near).select("a", "b").distinct()
