@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read
+from .common import read, save
 
 ORDERS = (1, 2, 3)
 SLOTS_LOG2, ODD = 20, np.uint64(0x9E3779B97F4A7C15)
@@ -134,8 +134,12 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER
     each = max(1, min(per_language, sample // max(1, languages)))
     # Ranks are taken over narrow rows, of which only the first leave a task; the last one of a language then selects the texts.
     ranked = keyed.select("lang", "place").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= each)
-    last = ranked.groupBy("lang").agg(F.max("place").alias("last"))
-    rows = keyed.join(last, "lang").where(F.col("place") <= F.col("last")).dropDuplicates(["lang", "place"]).select("lang", "text", "place").collect()
+    last = ranked.groupBy("lang").agg(F.max("place").alias("last")).collect()  # a row for each language, as the model has
+    if not last:
+        return []
+    # Looked up in the expression, so that no text is shuffled.
+    bound = F.create_map(*[x for r in last for x in (F.lit(r["lang"]), F.struct(F.lit(r["last"]["long"]).alias("long"), F.lit(r["last"]["draw"]).alias("draw"), F.lit(r["last"]["other"]).alias("other")))])
+    rows = keyed.where(F.col("place") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "place"]).select("lang", "text", "place").collect()
     return sorted(rows, key=lambda r: (r["lang"], r["place"]))
 
 
@@ -181,6 +185,7 @@ def predict(docs: DataFrame, model: Model | None, label: str = "lang_pred", scor
 
 def op6_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    found = predict(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    model = train(docs.select("doc_id", "text", "lang"))
+    found = save(predict(docs.select("doc_id", "text"), model).drop("text"), "languages")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
