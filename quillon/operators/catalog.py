@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..sources.scratch import save
 
 
-
 def shape() -> Column:
     return F.coalesce("unary_position", F.lit("binary"))
 
@@ -134,3 +133,16 @@ def assign_priorities(rows: list[tuple], seed: str = "quillon") -> list[tuple[st
             sides.append(want or ("left", "right")[draw(f"{func_id}:side", 2)])
         out.append((func_id, level, sides[level - 1]))
     return out
+
+
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with place, from 1 in order: ranges are numbered inside and shifted by the sizes of those before, so no task holds all rows.
+
+    Rows that tie in order are numbered in any order. The window over ranges has as many rows as there are partitions.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = save(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranged.groupBy("__range").agg(F.count("*").alias("rows")).select("__range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__shift"))
+    inside = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
+    return inside.join(shift, "__range").select(*rows.columns, (F.col("__shift") + F.col("__nth")).alias("place"))

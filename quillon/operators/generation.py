@@ -21,13 +21,29 @@ def alphabet(spark: SparkSession) -> DataFrame:
     return codes.select("code", F.decode(F.unhex(F.lpad(F.hex("code"), 4, "0")), "UTF-16BE").alias("symbol"))
 
 
-def symbols(keys: DataFrame, signs: list[str], used: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(key, symbol): a random symbol for each key; those in use already are left out."""
+#: All signs of operator symbols, in the order of their ranges.
+SIGNS = [chr(c) for a, b in SYMBOL_RANGES for c in range(a, b + 1)] + list(BASIC_SYMBOLS)
+#: Draws of a symbol before a key gets one that no draw can give.
+DRAWS = 3
+
+
+def symbols(keys: DataFrame, signs: Sequence[str], used: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(key, symbol): a symbol of its own for each distinct key: the first of DRAWS drawn ones that used (symbol) doesn't have.
+
+    Of keys that get the same one the smallest has it. Others, and keys all of whose draws are taken, get their number written in
+    signs, which is longer than any drawn one. Keys are whole numbers; a null one is left out.
+    """
     lo, hi = settings.symbol_lengths
-    pool = F.array(*[F.lit(s) for s in signs])
-    sign = lambda k: F.get(pool, F.pmod(draws.bits(F.col("key"), f"sign{k}"), F.lit(len(signs))).cast("int"))
-    drawn = keys.select("key", F.substring(F.concat(*[sign(k) for k in range(hi)]), F.lit(1), draws.between(F.col("key"), "length", lo, hi).cast("int")).alias("symbol"))
-    return drawn.join(used, "symbol", "left_anti").select("key", "symbol")
+    pool, n = F.array(*[F.lit(s) for s in signs]), len(signs)
+    sign = lambda t, k: F.get(pool, F.pmod(draws.bits(F.col("key"), f"sign{t}/{k}"), F.lit(n)).cast("int"))
+    drawn = lambda t: F.substring(F.concat(*[sign(t, k) for k in range(hi)]), F.lit(1), draws.between(F.col("key"), f"length{t}", lo, hi).cast("int"))
+    keys = keys.where("key IS NOT NULL").select("key").distinct()
+    tried = keys.select("key", F.posexplode(F.array(*[drawn(t) for t in range(DRAWS)])).alias("t", "symbol"))
+    free = tried.join(used.select("symbol").distinct(), "symbol", "left_anti").groupBy("key").agg(F.min_by("symbol", "t").alias("symbol"))
+    won = free.groupBy("symbol").agg(F.min("key").alias("key"))
+    digit = lambda k: F.get(pool, F.pmod(F.floor(F.col("key") / F.lit(n**k)), F.lit(n)).cast("int"))
+    number = F.concat(*[digit(k) for k in range(max(hi + 1, 6))])
+    return keys.join(won, "key", "left").select("key", F.coalesce("symbol", number).alias("symbol"))
 
 
 def shapes(key: Column) -> Column:

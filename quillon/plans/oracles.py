@@ -219,6 +219,15 @@ _wrapper = f"CASE WHEN n_ary = 1 THEN regexp_matches({_bodies}, '^\\s*return op_
 _returns = "regexp_extract_all(op_compute_func, 'return ([^\\n]*)', 1)"
 _prop = {v: f"({between('id', f'prop{v}', 0, 2**32 - 2)} - {2**31 - 1})" for v in "ab"}
 
+_drawn = lambda t: "substr(" + " || ".join(f"s[({bits('key', f'sign{t}/{k}')} % 629)::INT + 1]" for k in range(3)) + f", 1, ({between('key', f'length{t}', 1, 3)})::INT)"
+_number = " || ".join(f"s[((key // {629**k}) % 629)::INT + 1]" for k in range(6))
+SYMBOLS = (
+    f"WITH {CAT}, a AS (SELECT list(chr(code::INT) ORDER BY nth) AS s FROM (SELECT unnest(list_concat(list_concat(range(8704, 8960), range(10752, 11008)), list_concat(range(8592, 8704), [43, 45, 42, 47, 37]))) AS code, unnest(range(629)) AS nth)), "
+    f"tried AS (SELECT o_orderkey AS key, 0 AS t, d0 AS symbol FROM (SELECT *, {_drawn(0).replace('key', 'o_orderkey')} AS d0 FROM orders, a) UNION ALL SELECT o_orderkey, 1, {_drawn(1).replace('key', 'o_orderkey')} FROM orders, a UNION ALL SELECT o_orderkey, 2, {_drawn(2).replace('key', 'o_orderkey')} FROM orders, a), "
+    "free AS (SELECT key, arg_min(symbol, t) AS symbol FROM tried WHERE symbol NOT IN (SELECT symbol FROM cat) GROUP BY key), won AS (SELECT symbol, min(key) AS key FROM free GROUP BY symbol), "
+    f"named AS (SELECT o.key, coalesce(won.symbol, o.number) AS symbol FROM (SELECT key, {_number} AS number FROM (SELECT o_orderkey AS key, s FROM orders, a)) o LEFT JOIN won ON won.key = o.key)"
+)
+
 ORACLES: dict[str, str] = _RULES | {
     "catalog_load": f"WITH {CAT} SELECT {FIELDS} FROM cat UNION ALL SELECT NULL, 'ok1', '#', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
     "operator_record_parse": "SELECT i AS line, i = 5 AS ok, CASE WHEN i = 5 THEN 'ok1' END AS func_id FROM range(6) t(i)",
@@ -268,7 +277,7 @@ ORACLES: dict[str, str] = _RULES | {
     "tree_gen": f"WITH {TREE} SELECT expr_id, node_id, parent_id, side, depth, kind, func_id, value FROM nodes",
     "order_tree_gen": f"WITH {TREE}, s AS (SELECT expr_id, arg_min(func_id, node_id) AS old FROM nodes WHERE kind = 'binary' GROUP BY 1) SELECT expr_id, node_id, CASE WHEN func_id = old THEN 'l1' ELSE func_id END AS func_id FROM nodes JOIN s USING (expr_id)",
     "single_op_expr": f"SELECT id, x || '⊕' || y AS expression, ((x + y) * 2)::VARCHAR AS value, 2::BIGINT AS cost, x || '⊕' || y || '=' || ((x + y) * 2)::VARCHAR AS text FROM (SELECT o_orderkey AS id, {skewed('o_orderkey', 'left', 0, 1000)} AS x, {skewed('o_orderkey', 'right', 0, 1000)} AS y FROM orders)",
-    "symbol_gen": "SELECT key, symbol FROM (SELECT o_orderkey AS key, substr(" + " || ".join(pick(("+", "-", "*", "/", "%"), bits("o_orderkey", f"sign{k}") + " % 5") for k in range(3)) + f", 1, ({between('o_orderkey', 'length', 1, 3)})::INT) AS symbol FROM orders) WHERE symbol NOT IN ('+', '-', '*', '/', '%')",
+    "symbol_gen": f"{SYMBOLS} SELECT key, symbol FROM named",
     "symbol_alphabet": "SELECT code::INT AS code, chr(code::INT) AS symbol FROM (SELECT unnest(range(8704, 8960)) AS code UNION ALL SELECT unnest(range(10752, 11008)) UNION ALL SELECT unnest(range(8592, 8704)) UNION ALL SELECT unnest([43, 45, 42, 47, 37]))",
     "op_shape_gen": f"SELECT o_orderkey, {_sh} AS shape FROM orders",
     "cond_atom": f"SELECT o_orderkey, {condition('o_orderkey', 'c0', chr(39) + 'binary' + chr(39))} AS condition FROM orders",
@@ -341,6 +350,6 @@ ORACLES: dict[str, str] = _RULES | {
     "expr_str": f"{fold(True)} SELECT expr_id, t AS expression, length(t)::BIGINT AS n_chars FROM u0",
     "cot_info_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, info, depth AS layer FROM u",
     "branch_gen": f"SELECT o_orderkey AS key, (1 + {between('o_orderkey', 'branches', 1, 2)})::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
-    "operator_gen": "SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT o_orderkey AS key, substr(" + " || ".join(pick(("+", "-", "*", "/", "%"), bits("o_orderkey", f"sign{k}") + " % 5") for k in range(3)) + f", 1, ({between('o_orderkey', 'length', 1, 3)})::INT) AS symbol, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders) WHERE symbol NOT IN ('+', '-', '*', '/', '%')",
+    "operator_gen": f"{SYMBOLS} SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT key, symbol, {shape('key')} AS shape, CASE WHEN {bits('key', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM named)",
     "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || {spelled('v')} AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
 }

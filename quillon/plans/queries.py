@@ -367,7 +367,7 @@ def _(spark, sf_dir):
 @query("symbol_gen")
 def _(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    return generation.symbols(keys, ["+", "-", "*", "/", "%"], cat(spark).select("symbol"))
+    return generation.symbols(keys, generation.SIGNS, cat(spark).select("symbol"))
 
 
 @query("symbol_alphabet")
@@ -694,10 +694,10 @@ def _(spark, sf_dir):
 
 @query("type_mix")
 def _(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").count()
-    place = F.row_number().over(Window.orderBy("o_orderkey"))
-    kind = F.when(F.col("place") <= int(n * 0.2), "simple_definition").when(F.col("place") <= 2 * int(n * 0.2), "branch_definition").when(F.pmod(draws.bits(F.col("o_orderkey"), "mix"), F.lit(2)) == 0, "simple_definition").otherwise("branch_definition")
-    return table(spark, sf_dir, "orders").select("o_orderkey", place.alias("place")).select("o_orderkey", kind.alias("definition_type"))
+    rows = C.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"))
+    share = int(rows.count() * 0.2)
+    kind = F.when(F.col("place") <= share, "simple_definition").when(F.col("place") <= 2 * share, "branch_definition").when(F.pmod(draws.bits(F.col("o_orderkey"), "mix"), F.lit(2)) == 0, "simple_definition").otherwise("branch_definition")
+    return rows.select("o_orderkey", kind.alias("definition_type"))
 
 
 @query("sequence_ids")
@@ -794,7 +794,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Operator rows with drawn symbols, shapes and definitions; symbols of the catalog are not drawn again."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    named = generation.symbols(keys, ["+", "-", "*", "/", "%"], cat(spark).select("symbol"))
+    named = generation.symbols(keys, generation.SIGNS, cat(spark).select("symbol"))
     return generation.definitions(named, pools=SYMBOL_POOLS).select("key", "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type")
 
 
