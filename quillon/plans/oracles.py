@@ -234,7 +234,7 @@ ORACLES: dict[str, str] = _RULES | {
     "operator_to_json": f"WITH {CAT} SELECT func_id, to_json({{{', '.join(f'{c!r}: {c}' for c in FIELDS.split(', '))}}})::VARCHAR AS json FROM cat",
     "operator_project": f"WITH {CAT} SELECT {FIELDS} FROM cat",
     "catalog_save": f"WITH {CAT} SELECT {FIELDS} FROM cat",
-    "op_source_dump": f"WITH {CAT} SELECT func_id, '# operator functions' || chr(10) || chr(10) || op_compute_func || chr(10) || chr(10) || op_count_func AS text FROM cat WHERE op_compute_func IS NOT NULL",
+    "op_source_dump": f"WITH {CAT} SELECT id AS place, func_id, '# Operator ID: ' || func_id || ' - op_compute_func' || chr(10) || op_compute_func || chr(10) || chr(10) || '# Operator ID: ' || func_id || ' - op_count_func' || chr(10) || op_count_func || chr(10) || chr(10) AS text FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 0, NULL, 'thres = 2147483647' || chr(10) || chr(10)",
     "catalog_read_keyed": "SELECT 'f' || l_partkey AS func_id, max(l_orderkey * 8 + l_linenumber) AS line, arg_max(l_suppkey, l_orderkey * 8 + l_linenumber) AS payload FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey",
     "nonbase_func_ids": f"WITH {CAT} SELECT func_id FROM cat WHERE is_base IS NULL",
     "existing_count": f"SELECT {len(X.records()) + len(BAD_LINES)}::BIGINT AS there, 0::BIGINT AS absent",

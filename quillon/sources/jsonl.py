@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import CLAMP
 from ..schema import OPERATOR, REQUIRED
 
 
@@ -31,9 +32,25 @@ def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(*[f.name for f in OPERATOR.fields]).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def sources_text(df: DataFrame, header: str = "# operator functions") -> DataFrame:
-    """One text value per operator: its value and cost functions."""
-    return df.where("op_compute_func IS NOT NULL").select("func_id", F.concat_ws("\n\n", F.lit(header), "op_compute_func", "op_count_func").alias("text"))
+# The first line of a file of functions, and the line above each function.
+SOURCE_HEADER = f"thres = {CLAMP}\n\n"
+SOURCE_TITLE = "# Operator ID: {func_id} - {name}\n"
+
+
+def sources_text(df: DataFrame) -> DataFrame:
+    """(place, func_id, text): the pieces of a file of functions in order: its header at place 0, then each operator's value and cost functions by id.
+
+    Operators without both functions are left out.
+    """
+    titled = lambda name: F.concat(F.lit(SOURCE_TITLE.split("{func_id}")[0]), F.col("func_id"), F.lit(SOURCE_TITLE.split("{func_id}")[1].format(name=name)), F.col(name), F.lit("\n\n"))
+    functions = df.where("op_compute_func IS NOT NULL AND op_count_func IS NOT NULL").select(F.col("id").alias("place"), "func_id", F.concat(titled("op_compute_func"), titled("op_count_func")).alias("text"))
+    header = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(None).cast("string").alias("func_id"), F.lit(SOURCE_HEADER).alias("text"))
+    return header.unionByName(functions)
+
+
+def save_sources(df: DataFrame, path: str) -> None:
+    """The same as text files whose lines are in order. A catalog is small beside corpora: one ordered file, as it is compiled as one."""
+    sources_text(df).coalesce(1).sortWithinPartitions("place").select(F.expr("left(text, length(text) - 1)").alias("text")).write.mode("overwrite").text(path)  # the writer ends each line
 
 
 def last_wins(lines: DataFrame) -> DataFrame:

@@ -33,3 +33,17 @@ def test_base_operators_and_layers(spark):
     sizes = QUERIES["layer_sizes"](spark, "").collect()
     assert [r["size"] for r in sorted(sizes)] == [43372, 26023, 15614, 9368, 5623]
     assert QUERIES["symbol_alphabet"](spark, "").count() == 629
+
+
+def test_a_file_of_functions_is_one_module(spark, tmp_path):
+    """The header comes once and first; what is written is valid as a whole."""
+    import ast
+
+    from quillon.plans import queries as Q
+    from quillon.sources import jsonl
+
+    jsonl.save_sources(Q.cat(spark), f"file://{tmp_path}/functions")
+    (part,) = tmp_path.glob("functions/part-*")
+    text = part.read_text()
+    assert text.startswith("thres = 2147483647\n\n# Operator ID: p1 - op_compute_func\ndef op_p1(a, b):") and text.count("thres =") == 1
+    assert sum(isinstance(x, ast.FunctionDef) for x in ast.parse(text).body) == 2 * 10
