@@ -106,8 +106,12 @@ def blocks(queries: DataFrame) -> DataFrame:
     return queries.mapInArrow(run, "query_ids binary, queries binary")
 
 
-def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int) -> DataFrame:
-    """(query_id, vec_id, approx): the best by lookup tables in each block of codes, then of all."""
+def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int, total: int) -> DataFrame:
+    """(query_id, vec_id): the keep best by lookup tables of all, from the best in each block of codes.
+
+    Vectors are dealt to blocks by hash, so a block with a share f of all has keep * f of the best on average, and
+    six standard deviations more leave with it: what leaves in all is in proportion to keep, not to the blocks.
+    """
     spark = coded.sparkSession
     shared, lanes, dim, m = spark.sparkContext.broadcast(books), int(spark.conf.get("spark.sql.shuffle.partitions")), books.shape[2], books.shape[0]
     dealt = blocks(queries).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
@@ -119,14 +123,16 @@ def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int
                 ids, codes, norms, qids, q = (batch.column(k)[i].as_buffer() for k in range(5))
                 ids, codes, norms = np.frombuffer(ids, np.int64), np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(norms, np.float64)
                 qids, q = np.frombuffer(qids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim)
+                mean = keep * len(ids) / max(1, total)
+                most = min(keep, int(mean + 6 * mean**0.5 + 10))
                 for one, row in zip(qids, q):
                     table = -2 * b @ row
                     d = norms.copy()
                     for k in range(m):
                         d += table[k][codes[:, k]]
                     d[np.isnan(d)] = np.inf
-                    at = np.flatnonzero(d <= np.partition(d, keep - 1)[keep - 1]) if len(d) > keep else np.arange(len(d))
-                    at = at[np.lexsort((ids[at], d[at]))[:keep]]
+                    at = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if len(d) > most else np.arange(len(d))
+                    at = at[np.lexsort((ids[at], d[at]))[:most]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), one)), pa.array(ids[at]), pa.array(d[at])], names=["query_id", "vec_id", "approx"])
 
     found = coded.join(dealt, "lane").select("ids", "codes", "norms", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, approx double")
@@ -155,7 +161,7 @@ def search_alike(table: DataFrame, queries: DataFrame, k: int, keep: int, sample
     if not head:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     books = train(np.array([r[0] for r in head]))
-    near = shortlist(save(index(distinct, books), "codes"), wanted, books, keep)
+    near = shortlist(save(index(distinct, books), "codes"), wanted, books, keep, distinct.count())
     ids = near.withColumnRenamed("vec_id", "stands").join(members, "stands").where("vec_id <> query_id")
     exact = ids.join(wanted.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id")
     gap = F.sqrt(F.aggregate(F.zip_with("vector", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
