@@ -228,6 +228,18 @@ SYMBOLS = (
     f"named AS (SELECT o.key, coalesce(won.symbol, o.number) AS symbol FROM (SELECT key, {_number} AS number FROM (SELECT o_orderkey AS key, s FROM orders, a)) o LEFT JOIN won ON won.key = o.key)"
 )
 
+SINGLES = (*POOL, "b1", "q1")
+_PER_OP = "(SELECT *, f || '/' || i AS op_key FROM (SELECT i, [" + ", ".join(f"'{f}'" for f in SINGLES) + "][(i // 1000)::INT + 1] AS f FROM range(8000) t(i)))"
+
+
+def _single(id_: str, key: str, func: str, source: str) -> str:
+    """(id, func_id, expression, value, cost) of one operator over drawn numbers."""
+    drawn = f"SELECT {id_} AS id, {{'func_id': {func}}} AS p, {{'v': {skewed(key, 'left', 0, 1000)}::DOUBLE}} AS l, {{'v': {skewed(key, 'right', 0, 1000)}::DOUBLE}} AS r FROM {source}"
+    sym, x, y = SYMBOL.format(f="p.func_id"), spelled("l.v"), spelled("r.v")
+    shown = f"CASE p.func_id WHEN 'b1' THEN '(' || {sym} || {x} || ')' WHEN 'q1' THEN '(' || {x} || {sym} || ')' ELSE {x} || {sym} || {y} END"
+    return f"SELECT id, p.func_id AS func_id, {shown} AS expression, {spelled(VALUE)} AS value, ({COST})::BIGINT AS cost FROM ({drawn})"
+
+
 ORACLES: dict[str, str] = _RULES | {
     "catalog_load": f"WITH {CAT} SELECT {FIELDS} FROM cat UNION ALL SELECT NULL, 'ok1', '#', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
     "operator_record_parse": "SELECT i AS line, i = 5 AS ok, CASE WHEN i = 5 THEN 'ok1' END AS func_id FROM range(6) t(i)",
@@ -276,7 +288,7 @@ ORACLES: dict[str, str] = _RULES | {
     "atom_gen": f"SELECT o_orderkey, CASE WHEN {unit('o_orderkey', 'atom')} < 0.3::DOUBLE THEN CASE WHEN {bits('o_orderkey', 'name')} % 2 = 0 THEN 'a' ELSE 'b' END ELSE {skewed('o_orderkey', 'value', 0, 1000)}::VARCHAR END AS atom FROM orders",
     "tree_gen": f"WITH {TREE} SELECT expr_id, node_id, parent_id, side, depth, kind, func_id, value FROM nodes",
     "order_tree_gen": f"WITH {TREE}, s AS (SELECT expr_id, arg_min(func_id, node_id) AS old FROM nodes WHERE kind = 'binary' GROUP BY 1) SELECT expr_id, node_id, CASE WHEN func_id = old THEN 'l1' ELSE func_id END AS func_id FROM nodes JOIN s USING (expr_id)",
-    "single_op_expr": f"SELECT id, x || '⊕' || y AS expression, ((x + y) * 2)::VARCHAR AS value, 2::BIGINT AS cost, x || '⊕' || y || '=' || ((x + y) * 2)::VARCHAR AS text FROM (SELECT o_orderkey AS id, {skewed('o_orderkey', 'left', 0, 1000)} AS x, {skewed('o_orderkey', 'right', 0, 1000)} AS y FROM orders)",
+    "single_op_expr": f"SELECT id, expression, value, cost, expression || '=' || value AS text FROM ({_single('o_orderkey', 'o_orderkey', pick(SINGLES, bits('o_orderkey', 'single') + ' % 8'), 'orders')})",
     "symbol_gen": f"{SYMBOLS} SELECT key, symbol FROM named",
     "symbol_alphabet": "SELECT code::INT AS code, chr(code::INT) AS symbol FROM (SELECT unnest(range(8704, 8960)) AS code UNION ALL SELECT unnest(range(10752, 11008)) UNION ALL SELECT unnest(range(8592, 8704)) UNION ALL SELECT unnest([43, 45, 42, 47, 37]))",
     "op_shape_gen": f"SELECT o_orderkey, {_sh} AS shape FROM orders",
@@ -302,8 +314,9 @@ ORACLES: dict[str, str] = _RULES | {
     "bool_or": f"SELECT l_orderkey, l_linenumber, a > 100 OR b < 2 AS either FROM ({LINE})",
     "bool_not": f"SELECT l_orderkey, l_linenumber, b <= 0 AS negated FROM ({LINE})",
     "lit_nan": f"SELECT l_orderkey, l_linenumber, CASE WHEN a > 1000 THEN 'NaN' ELSE a::VARCHAR END AS value FROM ({LINE})",
-    "loop_limit": "SELECT * FROM (VALUES (0::BIGINT, 1000001::BIGINT, 'NaN', 1::BIGINT), (0, -1000001, 'NaN', 1), (2, 2, '4', 4), (3, 0, '1', 1)) t(a, b, value, cost)",
-    "loop_text": f"WITH {CAT} SELECT func_id, definition FROM cat WHERE func_id IN ('l1', 'l2', 'l3')",
+    "loop_limit": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"CASE WHEN l_linenumber > 4 THEN 'NaN' ELSE '0' END AS value{k}, CASE WHEN l_linenumber > 4 THEN 1 ELSE l_linenumber - 4 + {n} END::BIGINT AS cost{k}" for k, n in ((3, 1_000_000), (4, 1_000), (5, 100))) + " FROM lineitem",
+    "loop_text": "SELECT * FROM (VALUES ('l1', 'a⇑b = { 0 , if b == 0 ; (a⇑(abs(b)-1))+a , if b > 0 ; -((a⇑(abs(b)-1))+a) , if b < 0 ; NaN , else }'), ('l2', 'a⤊b = { a , if b == 0 ; (a⤊(abs(b)-1))*a , if b > 0 ; -((a⤊(abs(b)-1))*a) , if b < 0 ; NaN , else }'), "
+    "('l3', 'a⊗b = { 1 , if b == 0 ; (a⊗(abs(b)-1))⇑a , if b > 0 and abs(b) <= 1000000 ; -((a⊗(abs(b)-1))⇑a) , if b < 0 and abs(b) <= 1000000 ; NaN , else }')) t(func_id, definition)",
     "render_expr": f"{fold()} SELECT expr_id, t AS expression FROM u0",
     "render_brackets": f"{fold(True)} SELECT expr_id, t AS expression FROM u0",
     "render_no_base": f"{fold()} SELECT expr_id, nb AS expression FROM u0",
@@ -329,7 +342,7 @@ ORACLES: dict[str, str] = _RULES | {
     "not_wrapper": f"WITH {CAT_X} SELECT func_id, NOT ({_wrapper}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
     "distinct_returns": f"WITH {CAT_X} SELECT func_id, len(list_distinct({_returns})) = len({_returns}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
     "body_hash": f"WITH {CAT_X} SELECT func_id, sha256({_bodies}) AS hash FROM cat WHERE op_compute_func IS NOT NULL",
-    "body_dedupe": f"WITH {CAT_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL GROUP BY {_bodies}",
+    "body_dedupe": f"WITH {CAT_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND {_bodies} NOT IN (SELECT {_bodies} FROM cat WHERE op_compute_func IS NOT NULL AND id <= 12 AND func_id <> 's1') GROUP BY {_bodies}",
     "order_match": "SELECT * FROM (VALUES ('l1'), ('l2')) t(func_id)",
     "accept_pipeline": f"WITH {CAT_X} SELECT min(func_id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 AND n_order = 1 AND ({_uses}) AND NOT ({_wrapper}) AND len(list_distinct({_returns})) = len({_returns}) GROUP BY {_bodies}",
     "property_check": f"WITH {CAT_X} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 UNION ALL SELECT 't9', false",
@@ -338,18 +351,19 @@ ORACLES: dict[str, str] = _RULES | {
     "layer_deficit": f"WITH {CAT}, s(layer, size) AS (VALUES (1, 43), (2, 26), (3, 15), (4, 9), (5, 7)) SELECT layer::INT AS layer, greatest(size - (SELECT count(*) FROM cat WHERE n_order = layer), 0)::BIGINT AS missing FROM s",
     "type_mix": f"SELECT o_orderkey, CASE WHEN k <= n * 0.2::DOUBLE // 1 THEN 'simple_definition' WHEN k <= 2 * (n * 0.2::DOUBLE // 1) THEN 'branch_definition' WHEN {bits('o_orderkey', 'mix')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders)".replace("n * 0.2::DOUBLE // 1", "floor(n * 0.2::DOUBLE)"),
     "sequence_ids": f"WITH {CAT} SELECT func_id, row_number() OVER (ORDER BY func_id) + 100 AS id FROM cat",
-    "resume_topup": f"SELECT i AS id, {skewed('i', 'value', 0, 1000)} AS value FROM range({len(X.records()) + len(BAD_LINES) + 1}, 101) t(i)",
-    "per_op_corpus": f"WITH {CAT} SELECT func_id, i AS id, {skewed('key', 'left', 0, 1000)} || symbol || {skewed('key', 'right', 0, 1000)} AS expression FROM (SELECT func_id, symbol, i, func_id || '/' || i AS key FROM cat, range(1, 1001) t(i) WHERE is_base IS NULL AND n_ary = 2 AND n_order = 1)",
+    "resume_topup": "SELECT i AS id, 1::BIGINT AS times FROM range(1, 101) t(i)",
+    "per_op_corpus": f"SELECT id, func_id, expression || '=' || value AS text FROM ({_single('i', 'op_key', 'f', _PER_OP)})",
     "base_record": f"SELECT l_orderkey, l_linenumber, v::VARCHAR AS value, c AS cost, '⊠' || to_base(v, 16) AS literal, '(∇' || a || ')=' || v AS text FROM (SELECT *, CASE WHEN a > 10 AND a % 2 = 0 THEN a * a ELSE a + 1 END AS v, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS c FROM ({LINE}))",
     "count_branch": f"SELECT l_orderkey, l_linenumber, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS cost FROM ({LINE})",
     "count_loop": f"SELECT l_orderkey, l_linenumber, greatest(abs(b), 1)::BIGINT AS cost FROM ({LINE})",
     "call_prefix": f"SELECT l_orderkey, l_linenumber, (b + 1)::VARCHAR AS value FROM ({LINE})",
     "call_postfix": f"SELECT l_orderkey, l_linenumber, (b * b)::VARCHAR AS value FROM ({LINE})",
-    "loop_args": f"SELECT l_orderkey, l_linenumber, a, b, {_text('x1')} AS rr, {_text('x2')} AS ra, {_text('x3')} AS rb, {_text('x2')} AS ar, {_text('x3')} AS br FROM (SELECT *, {_loop('r + r', 'a')} AS x1, {_loop('r + a', 'a')} AS x2, {_loop('r + b', 'a')} AS x3 FROM ({LINE}))",
+    "loop_args": f"SELECT l_orderkey, l_linenumber, a, b, {_text('x1')} AS rr, {_text('x2')} AS ra, {_text('x3')} AS rb, {_text('x2')} AS ar, {_text('x3')} AS br, {_text('y1')} AS rr_product, {_text('y2')} AS ra_product, {_text('y3')} AS rb_product, {_text('y2')} AS ar_product, {_text('y3')} AS br_product "
+    f"FROM (SELECT *, {_loop('r + r', 'a')} AS x1, {_loop('r + a', 'a')} AS x2, {_loop('r + b', 'a')} AS x3, {_loop('r * r', 'a')} AS y1, {_loop('r * a', 'a')} AS y2, {_loop('r * b', 'a')} AS y3 FROM ({LINE}))",
     "valid_syntax": f"WITH {CAT} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
     "expr_str": f"{fold(True)} SELECT expr_id, t AS expression, length(t)::BIGINT AS n_chars FROM u0",
     "cot_info_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, info, depth AS layer FROM u",
     "branch_gen": f"SELECT o_orderkey AS key, (1 + {between('o_orderkey', 'branches', 1, 2)})::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",
-    "operator_gen": f"{SYMBOLS} SELECT key, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type FROM (SELECT key, symbol, {shape('key')} AS shape, CASE WHEN {bits('key', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM named)",
+    "operator_gen": f"{SYMBOLS} SELECT key, 'g' || key AS func_id, symbol, CASE shape WHEN 'binary' THEN 2 ELSE 1 END::INT AS n_ary, CASE WHEN shape <> 'binary' THEN shape END AS unary_position, definition_type, {_lhs.replace(chr(39) + 'a⊛b' + chr(39), chr(39) + 'a' + chr(39) + ' || symbol || ' + chr(39) + 'b' + chr(39)).replace(chr(39) + '⊛a' + chr(39), 'symbol || ' + chr(39) + 'a' + chr(39)).replace(chr(39) + 'a⊛' + chr(39), chr(39) + 'a' + chr(39) + ' || symbol')} || ' = {{ ' || CASE WHEN definition_type = 'simple_definition' THEN {body('key', 'b0', 'shape')} ELSE {branches('key', 'shape')} END || ' }}' AS definition FROM (SELECT key, symbol, {shape('key')} AS shape, CASE WHEN {bits('key', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM named)",
     "combo_expr": f"{ROOT}, {USED} SELECT id, t || '=' || {spelled('v')} AS text, len(fs)::INT AS n_used FROM rt JOIN used ON used.expr_id = rt.id",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, NAN, SYMBOL_RANGES
+from ..config import DEFAULT, LOOP_LIMITS, NAN, SYMBOL_RANGES
 from ..functions import bases, draws
 from ..functions import language as L
 from ..functions.compiler import Compiler, compare
@@ -356,12 +356,21 @@ def _(spark, sf_dir):
     return nodes.join(swap, "expr_id").select("expr_id", "node_id", F.when(F.col("func_id") == F.col("old"), "l1").otherwise(F.col("func_id")).alias("func_id"))
 
 
+def _one_operator(rows, key):
+    """Trees of one operator (func_id, n_ary) over drawn numbers, for rows (expr_id, func_id, n_ary)."""
+    number = lambda k, side, what: F.struct(F.lit(k).alias("node_id"), F.lit(1).alias("parent_id"), F.lit(side).alias("side"), F.lit(1).alias("depth"), F.lit(what).alias("path"), F.lit("num").alias("kind"), F.lit(None).cast("string").alias("func_id"), draws.skewed(key, what, *DEFAULT.value_range).alias("value"))
+    none = F.lit(None)
+    root = F.struct(F.lit(1).alias("node_id"), none.cast("int").alias("parent_id"), none.cast("string").alias("side"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.when(F.col("n_ary") == 2, "binary").otherwise("unary").alias("kind"), F.col("func_id"), none.cast("long").alias("value"))
+    return rows.select("expr_id", F.when(F.col("n_ary") == 2, F.array(root, number(2, "left", "left"), number(3, "right", "right"))).otherwise(F.array(root, number(2, "unary", "left"))).alias("nodes"))
+
+
 @query("single_op_expr")
 def _(spark, sf_dir):
-    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), draws.skewed(F.col("o_orderkey"), "left", 0, 1000).alias("x"), draws.skewed(F.col("o_orderkey"), "right", 0, 1000).alias("y"))
-    out = evaluation.apply_operator(ids, "s1", X.BODIES, F.col("x"), F.col("y"))
-    text = F.concat(F.col("x").cast("string"), F.lit("⊕"), F.col("y").cast("string"))
-    return out.select("id", text.alias("expression"), "value", "cost", F.concat(text, F.lit("="), "value").alias("text"))
+    """One operator of the pools an expression, drawn evenly."""
+    names = [f for pool in POOLS for f in pool]
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"), generation.one_of(names, F.col("o_orderkey"), "single").alias("func_id"))
+    rows = _one_operator(ids.withColumn("n_ary", F.when(F.col("func_id").isin(*POOLS[0]), 2).otherwise(1)), F.col("expr_id"))
+    return expressions.records(rows, cat(spark, [POSTFIX]), BODIES).select("id", "expression", F.col("result").alias("value"), F.col("normalized_expansion_degree").cast("long").alias("cost"), "text")
 
 
 @query("symbol_gen")
@@ -529,8 +538,13 @@ def _(spark, sf_dir):
 
 @query("loop_limit")
 def _(spark, sf_dir):
-    rows = spark.createDataFrame([(0, 1_000_001), (0, -1_000_001), (2, 2), (3, 0)], "a long, b long")
-    return evaluation.apply_operator(rows, "l3", X.BODIES, F.col("a"), F.col("b"))
+    """Loops of each limited order on both sides of their limit."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    for order, most in LOOP_LIMITS.items():
+        bodies = X.BODIES | {"deep": (("a", "b"), L.Loop("l1", L.Num(1), ("r", "a"), most))}
+        b = (F.col("l_linenumber") - 4 + most) * F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise(-1)
+        rows = evaluation.apply_operator(rows, "deep", bodies, F.lit(0), b).withColumnsRenamed({"value": f"value{order}", "cost": f"cost{order}"})
+    return rows
 
 
 @query("loop_text")
@@ -641,8 +655,11 @@ def _(spark, sf_dir):
 
 @query("body_dedupe")
 def _(spark, sf_dir):
-    hashed = cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("id", "func_id", generation.body_hash(F.col("op_compute_func")).alias("hash"))
-    return hashed.groupBy("hash").agg(F.min_by("func_id", "id").alias("func_id")).select("func_id")
+    """By text, with the catalog's own bodies left out."""
+    body = F.regexp_replace("op_compute_func", r"^[^\n]*\n", "")
+    have = cat(spark).where("op_compute_func IS NOT NULL AND func_id <> 's1'").select(body.alias("body"))
+    rows = cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("id", "func_id", body.alias("body")).join(have, "body", "left_anti")
+    return rows.groupBy("body").agg(F.min_by("func_id", "id").alias("func_id")).select("func_id")
 
 
 @query("order_match")
@@ -707,17 +724,21 @@ def _(spark, sf_dir):
 
 @query("resume_topup")
 def _(spark, sf_dir):
-    have = jsonl.count_lines(spark, _written(spark))
-    return spark.range(have + 1, 101).select("id", draws.skewed(F.col("id"), "value", 0, 1000).alias("value"))
+    """A run that was cut short after 37 expressions writes the rest of its 100."""
+    at, target = scratch.path(spark, "expressions"), 100
+    make = lambda ids: expressions.records(expressions.grow_rows(ids.select(F.col("id").alias("expr_id")), *POOLS), cat(spark, [POSTFIX]), BODIES)
+    make(spark.range(1, 38)).write.json(at)
+    make(spark.range(jsonl.count_lines(spark, at) + 1, target + 1)).write.mode("append").json(at)
+    return spark.read.schema(EXPRESSION).json(at).groupBy("id").agg(F.count("*").alias("times"))
 
 
 @query("per_op_corpus")
 def _(spark, sf_dir):
-    ops = cat(spark).where("is_base IS NULL AND n_ary = 2 AND n_order = 1").select("func_id", "symbol")
-    per = F.sequence(F.lit(1), F.lit(1000))
-    rows = ops.select("func_id", "symbol", F.explode(per).alias("id"))
-    key = F.concat_ws("/", "func_id", F.col("id").cast("string"))
-    return rows.select("func_id", F.col("id").cast("long").alias("id"), F.concat(draws.skewed(key, "left", 0, 1000).cast("string"), "symbol", draws.skewed(key, "right", 0, 1000).cast("string")).alias("expression"))
+    """Expressions of each operator without loops, evaluated; their ids number all of them."""
+    names, per = [f for pool in POOLS for f in pool], 1000
+    ops = cat(spark, [POSTFIX]).where(F.col("func_id").isin(*names)).select("func_id", "n_ary", (F.array_position(F.array(*[F.lit(f) for f in names]), F.col("func_id")) - 1).alias("nth"))
+    rows = ops.select("func_id", "n_ary", F.explode(F.sequence(F.col("nth") * per, F.col("nth") * per + per - 1)).alias("expr_id"))
+    return expressions.records(_one_operator(rows, F.concat_ws("/", "func_id", F.col("expr_id").cast("string"))), cat(spark, [POSTFIX]), BODIES).select("id", F.get("used_operators", F.lit(0)).alias("func_id"), "text")
 
 
 @query("base_record")
@@ -753,11 +774,12 @@ def _(spark, sf_dir):
 
 @query("loop_args")
 def _(spark, sf_dir):
-    """Each argument pattern of a loop over addition, from a."""
+    """Each argument pattern of loops over addition and multiplication, from a."""
     rows = operands(spark, sf_dir)
-    for name, args in (("rr", ("r", "r")), ("ra", ("r", "a")), ("rb", ("r", "b")), ("ar", ("a", "r")), ("br", ("b", "r"))):
-        bodies = X.BODIES | {"loop": (("a", "b"), L.Loop("p1", L.Var("a"), args))}
-        rows = evaluation.apply_operator(rows, "loop", bodies, F.col("a"), F.col("b")).drop("cost").withColumnRenamed("value", name)
+    for callee, mark in (("p1", ""), ("t1", "_product")):
+        for args in generation.PATTERNS:
+            bodies = X.BODIES | {"loop": (("a", "b"), L.Loop(callee, L.Var("a"), args))}
+            rows = evaluation.apply_operator(rows, "loop", bodies, F.col("a"), F.col("b")).drop("cost").withColumnRenamed("value", "".join(args) + mark)
     return rows
 
 
@@ -795,7 +817,8 @@ def _(spark, sf_dir):
     """Operator rows with drawn symbols, shapes and definitions; symbols of the catalog are not drawn again."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     named = generation.symbols(keys, generation.SIGNS, cat(spark).select("symbol"))
-    return generation.definitions(named, pools=SYMBOL_POOLS).select("key", "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type")
+    rows = generation.definitions(named, pools=SYMBOL_POOLS)
+    return rows.select("key", F.concat(F.lit("g"), F.col("key").cast("string")).alias("func_id"), "symbol", F.when(F.col("shape") == "binary", 2).otherwise(1).alias("n_ary"), F.when(F.col("shape") != "binary", F.col("shape")).alias("unary_position"), "definition_type", "definition")
 
 
 @query("combo_expr")
