@@ -26,8 +26,8 @@ INFO_UNARY = "compute unary expreesion, input={left}, op_id = {op}, unary_op_def
 INFO_BINARY = "compute binary expreesion, left_input={left}, right_input={right}, op_id = {op} binary_op_definition= '{definition}', output={value}"
 
 
-def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:
-    """(expr_id, nodes): a random tree for each expr_id, its nodes (see NODE) by level.
+def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT, attempt: int = 0, name: str = "nodes") -> DataFrame:
+    """ids (expr_id, ...) with a random tree for each expr_id as name: its nodes (see NODE) by level. Attempts give different trees.
 
     Nodes are numbered as in a heap; roots are operators, nodes at the last depth numbers. Every
     draw hangs on (expr_id, node_id), so a tree is a projection. An empty pool is never drawn from; three empty ones are an error.
@@ -38,7 +38,7 @@ def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], post
     weights = {k: settings.node_weights[k] for k in pools}
 
     def drawn(node: int, parent: Column | None, d: int) -> Column:
-        key = F.concat_ws("/", F.col("expr_id").cast("string"), F.lit(str(node)))
+        key = F.concat_ws("/", F.col("expr_id").cast("string"), *[F.lit(str(x)) for x in (node, *[attempt] * bool(attempt))])
         kind = F.lit("num") if d == depth else draws.weighted(draws.unit(key, "kind"), {k: w for k, w in (weights | ({"num": 0.3} if d else {})).items() if w})
         there = None if parent is None else (parent["kind"] != "num") if node % 2 == 0 else (parent["kind"] == "binary")
         func = None
@@ -53,10 +53,41 @@ def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], post
         )
         return struct if there is None else F.when(there, struct)
 
-    rows = ids.select(F.col("expr_id").cast("long").alias("expr_id")).withColumn("n1", drawn(1, None, 0))
+    others = [c for c in ids.columns if c != "expr_id"]
+    rows = ids.select(F.col("expr_id").cast("long").alias("expr_id"), *others).withColumn("n1", drawn(1, None, 0))
     for d in range(1, depth + 1):
         rows = rows.select("*", *[drawn(k, F.col(f"n{k // 2}"), d).alias(f"n{k}") for k in range(1 << d, 2 << d)])
-    return rows.select("expr_id", F.array_compact(F.array(*[f"n{k}" for k in range(1, 2 << depth)])).alias("nodes"))
+    return rows.select("expr_id", *others, F.array_compact(F.array(*[f"n{k}" for k in range(1, 2 << depth)])).alias(name))
+
+
+def single(func: Column, arity: Column, key: Column, settings: Settings = DEFAULT) -> Column:
+    """The nodes of one operator over drawn numbers."""
+    none = F.lit(None)
+
+    def node(k: int, side, path: str, kind: Column, func_id: Column, value: Column) -> Column:
+        return F.struct(F.lit(k).alias("node_id"), F.lit(None if k == 1 else 1).cast("int").alias("parent_id"), F.lit(side).cast("string").alias("side"), F.lit(int(k > 1)).alias("depth"), F.lit(path).alias("path"), kind.alias("kind"), func_id.alias("func_id"), value.cast("long").alias("value"))
+
+    number = lambda k, side, path, what: node(k, side, path, F.lit("num"), none.cast("string"), draws.skewed(key, what, *settings.value_range))
+    root = node(1, None, "", F.when(arity == 2, "binary").otherwise("unary"), func, none)
+    return F.when(arity == 2, F.array(root, number(2, "left", "l", "left"), number(3, "right", "r", "right"))).otherwise(F.array(root, number(2, "unary", "l", "left")))
+
+
+#: Trees drawn for an expression before it becomes the target alone.
+ATTEMPTS = 2
+
+
+def force(ids: DataFrame, target: str, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:
+    """(expr_id, nodes): trees that hold the binary operator target, for corpora of its order.
+
+    The first tree drawn that has a binary operator is taken, and its topmost one becomes the target wherever it stands. Where
+    ATTEMPTS trees have none, the expression is the target over two numbers. No expression is left out.
+    """
+    rows, has = ids.select("expr_id"), lambda c: F.exists(c, lambda n: n["kind"] == "binary")
+    for t in range(ATTEMPTS):
+        rows = grow_rows(rows, binary, prefix, postfix, depth, settings, t, f"nodes{t}")
+    taken = F.coalesce(*[F.when(has(f"nodes{t}"), F.col(f"nodes{t}")) for t in range(ATTEMPTS)], single(F.lit(target), F.lit(2), F.col("expr_id"), settings))
+    rows = rows.select("expr_id", taken.alias("nodes")).withColumn("old", F.get(F.filter("nodes", lambda n: n["kind"] == "binary"), F.lit(0))["func_id"])
+    return rows.select("expr_id", F.transform("nodes", lambda n: F.when(n["func_id"] == F.col("old"), n.withField("func_id", F.lit(target))).otherwise(n)).alias("nodes"))
 
 
 def grow(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT) -> DataFrame:

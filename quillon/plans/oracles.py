@@ -109,8 +109,8 @@ def recursive_operators(key: str) -> str:
 POOL = ("p1", "m1", "t1", "d1", "r1", "s1")
 
 
-def _level(select: str, last: bool, root: bool) -> str:
-    key = "(expr_id::VARCHAR || '/' || node_id::VARCHAR)"
+def _level(select: str, last: bool, root: bool, attempt: int = 0) -> str:
+    key = "(expr_id::VARCHAR || '/' || node_id::VARCHAR" + f" || '/{attempt}'" * bool(attempt) + ")"
     w = {"binary": 0.7, "prefix": 0.2, "postfix": 0.1} | ({} if root else {"num": 0.3})
     total, acc, arms = sum(w.values()), 0.0, []
     for k, v in list(w.items())[:-1]:
@@ -124,9 +124,19 @@ def _kids(parent: str, depth: int) -> str:
     return f"SELECT expr_id, (node_id * 2)::INT AS node_id, node_id AS parent_id, CASE WHEN kind = 'binary' THEN 'left' ELSE 'unary' END AS side, {depth}::INT AS depth FROM {parent} WHERE kind <> 'num' UNION ALL SELECT expr_id, (node_id * 2 + 1)::INT, node_id, 'right', {depth}::INT FROM {parent} WHERE kind = 'binary'"
 
 
-TREE = (
-    f"d0 AS ({_level('SELECT o_orderkey AS expr_id, 1::INT AS node_id, NULL::INT AS parent_id, NULL::VARCHAR AS side, 0::INT AS depth FROM orders', False, True)}), "
-    f"d1 AS ({_level(_kids('d0', 1), False, False)}), d2 AS ({_level(_kids('d1', 2), True, False)}), nodes AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2)"
+def _tree(attempt: int = 0, mark: str = "") -> str:
+    return (
+        f"d0{mark} AS ({_level('SELECT o_orderkey AS expr_id, 1::INT AS node_id, NULL::INT AS parent_id, NULL::VARCHAR AS side, 0::INT AS depth FROM orders', False, True, attempt)}), "
+        f"d1{mark} AS ({_level(_kids(f'd0{mark}', 1), False, False, attempt)}), d2{mark} AS ({_level(_kids(f'd1{mark}', 2), True, False, attempt)}), nodes{mark} AS (SELECT * FROM d0{mark} UNION ALL SELECT * FROM d1{mark} UNION ALL SELECT * FROM d2{mark})"
+    )
+
+
+TREE = _tree()
+FORCED = (
+    "WITH " + ", ".join(_tree(t, f"_{t}") for t in range(2)) + ", every AS (" + " UNION ALL ".join(f"SELECT {t} AS t, * FROM nodes_{t}" for t in range(2)) + "), has AS (SELECT expr_id, min(t) AS t FROM every WHERE kind = 'binary' GROUP BY 1), "
+    "picked AS (SELECT every.* FROM every JOIN has USING (expr_id, t)), s AS (SELECT expr_id, arg_min(func_id, node_id) AS old FROM picked WHERE kind = 'binary' GROUP BY 1) "
+    "SELECT expr_id, node_id, CASE WHEN func_id = old THEN 'l1' ELSE func_id END AS func_id FROM picked JOIN s USING (expr_id) "
+    "UNION ALL SELECT o_orderkey, unnest([1, 2, 3])::INT, unnest(['l1', NULL, NULL]) FROM orders WHERE o_orderkey NOT IN (SELECT expr_id FROM has)"
 )
 SYMBOL = "CASE {f} WHEN 'p1' THEN '+' WHEN 'm1' THEN '-' WHEN 't1' THEN '*' WHEN 'd1' THEN '/' WHEN 'r1' THEN '%' WHEN 's1' THEN '⊕' WHEN 'b1' THEN '∇' WHEN 'q1' THEN '‰' END"
 PRIORITY = "CASE {f} WHEN 'p1' THEN 1 WHEN 'm1' THEN 1 WHEN 't1' THEN 2 WHEN 'd1' THEN 2 WHEN 'r1' THEN 2 WHEN 's1' THEN 3 WHEN 'b1' THEN 4 WHEN 'q1' THEN 4 END"
@@ -287,7 +297,7 @@ ORACLES: dict[str, str] = _RULES | {
     "random_base": f"SELECT o_orderkey, {between('o_orderkey', 'base', 2, 16)} AS base FROM orders",
     "atom_gen": f"SELECT o_orderkey, CASE WHEN {unit('o_orderkey', 'atom')} < 0.3::DOUBLE THEN CASE WHEN {bits('o_orderkey', 'name')} % 2 = 0 THEN 'a' ELSE 'b' END ELSE {skewed('o_orderkey', 'value', 0, 1000)}::VARCHAR END AS atom FROM orders",
     "tree_gen": f"WITH {TREE} SELECT expr_id, node_id, parent_id, side, depth, kind, func_id, value FROM nodes",
-    "order_tree_gen": f"WITH {TREE}, s AS (SELECT expr_id, arg_min(func_id, node_id) AS old FROM nodes WHERE kind = 'binary' GROUP BY 1) SELECT expr_id, node_id, CASE WHEN func_id = old THEN 'l1' ELSE func_id END AS func_id FROM nodes JOIN s USING (expr_id)",
+    "order_tree_gen": FORCED,
     "single_op_expr": f"SELECT id, expression, value, cost, expression || '=' || value AS text FROM ({_single('o_orderkey', 'o_orderkey', pick(SINGLES, bits('o_orderkey', 'single') + ' % 8'), 'orders')})",
     "symbol_gen": f"{SYMBOLS} SELECT key, symbol FROM named",
     "symbol_alphabet": "SELECT code::INT AS code, chr(code::INT) AS symbol FROM (SELECT unnest(range(8704, 8960)) AS code UNION ALL SELECT unnest(range(10752, 11008)) UNION ALL SELECT unnest(range(8592, 8704)) UNION ALL SELECT unnest([43, 45, 42, 47, 37]))",

@@ -350,18 +350,14 @@ def _(spark, sf_dir):
 
 @query("order_tree_gen")
 def _(spark, sf_dir):
-    """Expressions that hold an operator of the target's arity get the target instead of the first such one, everywhere."""
-    nodes = tree(spark, sf_dir)
-    swap = nodes.where("kind = 'binary'").groupBy("expr_id").agg(F.min_by("func_id", "node_id").alias("old"))
-    return nodes.join(swap, "expr_id").select("expr_id", "node_id", F.when(F.col("func_id") == F.col("old"), "l1").otherwise(F.col("func_id")).alias("func_id"))
+    """Every expression with an operator of order 2."""
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"))
+    return expressions.force(ids, "l1", *POOLS).select("expr_id", F.explode("nodes").alias("n")).select("expr_id", "n.node_id", "n.func_id")
 
 
 def _one_operator(rows, key):
-    """Trees of one operator (func_id, n_ary) over drawn numbers, for rows (expr_id, func_id, n_ary)."""
-    number = lambda k, side, what: F.struct(F.lit(k).alias("node_id"), F.lit(1).alias("parent_id"), F.lit(side).alias("side"), F.lit(1).alias("depth"), F.lit(what).alias("path"), F.lit("num").alias("kind"), F.lit(None).cast("string").alias("func_id"), draws.skewed(key, what, *DEFAULT.value_range).alias("value"))
-    none = F.lit(None)
-    root = F.struct(F.lit(1).alias("node_id"), none.cast("int").alias("parent_id"), none.cast("string").alias("side"), F.lit(0).alias("depth"), F.lit("").alias("path"), F.when(F.col("n_ary") == 2, "binary").otherwise("unary").alias("kind"), F.col("func_id"), none.cast("long").alias("value"))
-    return rows.select("expr_id", F.when(F.col("n_ary") == 2, F.array(root, number(2, "left", "left"), number(3, "right", "right"))).otherwise(F.array(root, number(2, "unary", "left"))).alias("nodes"))
+    """Trees of one operator for rows (expr_id, func_id, n_ary)."""
+    return rows.select("expr_id", expressions.single(F.col("func_id"), F.col("n_ary"), key).alias("nodes"))
 
 
 @query("single_op_expr")

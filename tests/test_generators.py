@@ -116,3 +116,13 @@ def test_empty_inputs(spark):
     assert expressions.records(expressions.grow_rows(none, *Q.POOLS), Q.cat(spark), X.BODIES).count() == 0
     with pytest.raises(ValueError):
         expressions.grow(none, (), ())
+
+
+def test_every_forced_tree_holds_the_target(spark):
+    """Whatever the pools: trees of unary operators alone become the target over two numbers."""
+    ids = spark.range(50).select(F.col("id").alias("expr_id"))
+    for binary, prefix in ((("p1", "t1"), ("b1",)), ((), ("b1",))):
+        rows = expressions.force(ids, "l1", binary, prefix).collect()
+        assert len(rows) == 50 and all("l1" in [n["func_id"] for n in r["nodes"]] for r in rows)
+        assert all((n["kind"] == "num") == (n["func_id"] is None) for r in rows for n in r["nodes"])
+    assert expressions.records(expressions.force(ids, "l1", *Q.POOLS), Q.cat(spark, [Q.POSTFIX]), Q.BODIES).where("highest_n_order <> 2").count() == 0
