@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, save
+from .common import lean, read, save
 
 CODE_BLOCK, QUERY_BLOCK = 16384, 256
 
@@ -93,7 +93,7 @@ def index(vectors: DataFrame, books: np.ndarray, beam: int = 4) -> DataFrame:
         if ids and sum(map(len, ids)):
             yield out()
 
-    return vectors.mapInArrow(run, "lane int, ids binary, codes binary, norms binary")
+    return vectors.mapInArrow(lean(run), "lane int, ids binary, codes binary, norms binary")
 
 
 def blocks(queries: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def blocks(queries: DataFrame) -> DataFrame:
                 part = batch.slice(at, QUERY_BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0), dtype=np.int64).tobytes()], pa.binary()), pa.array([np.asarray(part.column(1).flatten(), dtype=np.float64).tobytes()], pa.binary())], names=["query_ids", "queries"])
 
-    return queries.mapInArrow(run, "query_ids binary, queries binary")
+    return queries.mapInArrow(lean(run), "query_ids binary, queries binary")
 
 
 def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int, total: int) -> DataFrame:
@@ -135,7 +135,7 @@ def shortlist(coded: DataFrame, queries: DataFrame, books: np.ndarray, keep: int
                     at = at[np.lexsort((ids[at], d[at]))[:most]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), one)), pa.array(ids[at]), pa.array(d[at])], names=["query_id", "vec_id", "approx"])
 
-    found = coded.join(dealt, "lane").select("ids", "codes", "norms", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, approx double")
+    found = coded.join(dealt, "lane").select("ids", "codes", "norms", "query_ids", "queries").mapInArrow(lean(run), "query_id long, vec_id long, approx double")
     best = Window.partitionBy("query_id").orderBy("approx", "vec_id")
     # A query's id with several vectors, and an id that stands for several, are found once each.
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).select("query_id", "vec_id").distinct()

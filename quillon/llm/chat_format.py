@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[ROLE]", "[SAY]", "[END]")
 START = r"([<\[])(?=" + "|".join(re.escape(c[1:]) for c in CONTROLS) + ")"
@@ -140,7 +140,7 @@ def digests(rendered: DataFrame) -> DataFrame:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     order = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "tie").select(F.col("conv_id").cast("long"), "segment", "loss_start", "loss_chars")
-    return order.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return order.mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def events_of(conversations: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: While a table is written: the shuffles behind it are read no more and removed; texts go to Python a few at a time.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+#: glibc's number of the size from which memory is mapped, and so given back, by itself.
+M_MMAP_THRESHOLD = -3
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,6 +76,29 @@ def discard(saved: DataFrame) -> None:
     remove(saved.sparkSession, saved._quillon_path)
 
 
+def lean(run):
+    """An Arrow function whose worker gives memory back: large arrays as they are freed, the rest when its task ends.
+
+    A worker outlives its task, and what it keeps counts against its executor.
+    """
+
+    def inner(batches):
+        libc = None
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(M_MMAP_THRESHOLD, 4 << 20)
+        except (OSError, AttributeError):  # another C library, which has its own ways
+            pass
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None and hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return inner
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find over (u, v): alternating large-star and small-star rounds.
 

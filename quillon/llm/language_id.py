@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, save
+from .common import lean, read, save
 
 ORDERS = (1, 2, 3)
 SLOTS_LOG2, ODD = 20, np.uint64(0x9E3779B97F4A7C15)
@@ -180,7 +180,7 @@ def predict(docs: DataFrame, model: Model | None, label: str = "lang_pred", scor
                 settle()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores)], names=[*batch.schema.names, label, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def op6_language_id(spark, sf_dir):

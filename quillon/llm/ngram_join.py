@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, read, save
+from .common import connected_components, discard, lean, read, save
 
 M1, M2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -53,7 +53,7 @@ BLOOM_BITS = 12
 GROUP_BYTES = 1 << 18
 PAGE = 1 << 14
 #: n-grams that a task sorts at once; sets and n-grams of a block of a group, at most (but for a set that is larger alone); cells of a dense slice.
-CHUNK, ROWS, BLOCK, CELLS = 1 << 20, 1024, 1 << 18, 1 << 21
+CHUNK, ROWS, BLOCK, CELLS = 1 << 19, 1024, 1 << 18, 1 << 21
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, n: int, t: Fraction, buckets: int) -> DataFrame:
     def rows(kind, a, b, key):
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.binary())], names=["kind", "a", "b", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, a long, b long, key binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "kind int, a long, b long, key binary")
 
 
 def frequent_of(counts: DataFrame, short: int) -> DataFrame:
@@ -200,7 +200,7 @@ def frequent_of(counts: DataFrame, short: int) -> DataFrame:
         if held:
             yield close()
 
-    return counts.select("a", "b", "key").repartition("a").sortWithinPartitions("a").mapInArrow(run, "gram long")
+    return counts.select("a", "b", "key").repartition("a").sortWithinPartitions("a").mapInArrow(lean(run), "gram long")
 
 
 def head_of(s: np.ndarray, t: Fraction, bits: np.ndarray) -> np.ndarray:
@@ -229,7 +229,7 @@ def heads(docs: DataFrame, n: int, t: Fraction, frequent) -> DataFrame:
             key, size, head = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.array(head, pa.binary())], names=["key", "n", "head"])
 
-    return docs.select("text").mapInArrow(run, "key binary, n int, head binary")
+    return docs.select("text").mapInArrow(lean(run), "key binary, n int, head binary")
 
 
 def postings(classes: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
@@ -267,7 +267,7 @@ def postings(classes: DataFrame, buckets: int, short: int = SHORT) -> DataFrame:
         binary = lambda x, more: pa.array([*x, more], pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([*at.tolist(), None], pa.int64()), *(binary(x, None) for x in raw), binary([None] * len(at), ties.tobytes())], names=["bucket", "grams", "nodes", "sizes", "ties"])
 
-    return classes.select("node", "n", "head").mapInArrow(run, "bucket long, grams binary, nodes binary, sizes binary, ties binary")
+    return classes.select("node", "n", "head").mapInArrow(lean(run), "bucket long, grams binary, nodes binary, sizes binary, ties binary")
 
 
 def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
@@ -304,7 +304,7 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
         for k in np.unique(length[~long & (length > 1)]):
             lists_of = start[~long & (length == k)]
             i, j = np.triu_indices(k, 1)
-            step = max(1, CHUNK // len(i))
+            step = max(1, CHUNK // (2 * len(i)))
             for at in range(0, len(lists_of), step):
                 here = lists_of[at : at + step, None]
                 x, y = (here + i).ravel(), (here + j).ravel()
@@ -326,7 +326,7 @@ def product(lists: DataFrame, t: Fraction, short: int = SHORT) -> DataFrame:
 
     # Rows of ties alone have no bucket; they needn't meet and are spread.
     spread = lists.withColumn("at", F.coalesce("bucket", -1 - F.pmod(F.xxhash64("ties"), F.lit(1 << 20))))
-    return spread.repartition("at").sortWithinPartitions("at").drop("at").mapInArrow(run, "a long, b long, na long, nb long, c long")
+    return spread.repartition("at").sortWithinPartitions("at").drop("at").mapInArrow(lean(run), "a long, b long, na long, nb long, c long")
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
@@ -341,7 +341,7 @@ def bloom_of(ids: DataFrame) -> np.ndarray:
         for i in np.flatnonzero(bits.reshape(-1, PAGE).any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([int(i)]), pa.array([bits[i * PAGE : (i + 1) * PAGE].tobytes()], pa.binary())], names=["part", "bits"])
 
-    merged = ids.coalesce(4).mapInArrow(run, "part long, bits binary").toArrow()
+    merged = ids.coalesce(4).mapInArrow(lean(run), "part long, bits binary").toArrow()
     bits = np.zeros(1 << log2 >> 3, np.uint8)
     for i, b in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
         bits[i * PAGE : (i + 1) * PAGE] |= np.frombuffer(b, np.uint8)
@@ -449,7 +449,7 @@ def linked(docs: DataFrame, dealt: DataFrame, n: int, t: Fraction) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "set"])
 
     # A class's set is read from the rows of its own document, so copies aren't even hashed.
-    sets = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(wanted, "key binary, set binary")
+    sets = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(wanted), "key binary, set binary")
     tile = ["component", "s", "i", "s2", "j"]
     rows = sets.dropDuplicates(["key"]).join(need, "key").select(*tile, "side", "node", "set")
 
@@ -482,7 +482,7 @@ def linked(docs: DataFrame, dealt: DataFrame, n: int, t: Fraction) -> DataFrame:
         a, b = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return save(rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(compare, "a long, b long"), "links")
+    return save(rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(lean(compare), "a long, b long"), "links")
 
 
 def enough(t: Fraction) -> F.Column:

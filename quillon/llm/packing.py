@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, save
+from .common import lean, read, save
 from .tokens import encoded, encoder, vocabulary
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 #: Bytes of ids after which a task hands on a batch.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Room:
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048,
 
     arrow = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
     frame = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(cut), PIECES)
 
 
 def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -146,7 +146,7 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             seen += np.bincount(lengths, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), task, np.int32)), pa.array(local)], names=[*batch.schema.names, "__pk_task", "__pk_local"])
 
-    rows = save(items.mapInArrow(number, numbered), "pieces")
+    rows = save(items.mapInArrow(lean(number), numbered), "pieces")
     per_task = rows.groupBy("length", "__pk_task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("__pk_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = save(per_task.withColumn("__pk_base", F.coalesce(F.sum("n").over(before), F.lit(0))), "bases")
@@ -175,9 +175,13 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
 
     # A task and length pair holds a task's rows of one length at most, so the join has no hot key beyond a task's size.
     ranked = rows.join(bases.select("length", "__pk_task", "__pk_base"), ["length", "__pk_task"]).select(*items.columns, (F.col("__pk_base") + F.col("__pk_local")).alias("__pk_rank"))
-    return ranked.mapInArrow(place, placed)
+    return ranked.mapInArrow(lean(place), placed)
+
+
+def checked(cut: DataFrame) -> DataFrame:
+    """pieces() with a checksum for their ids, written, so that tokenising and numbering don't share a task's memory."""
+    return save(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "checked")
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    cut = pieces(read(spark, sf_dir, "documents"))
-    return pack(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pack(checked(pieces(read(spark, sf_dir, "documents"))))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, read, save
+from .common import lean, new_path, read, save
 from .tokens import encoded, encoder, vocabulary
 
 #: Ids are stored one higher than the vocabulary's, which leaves 0 for the end of a document.
@@ -61,7 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], names=["file", "ordinal", "doc_id"])
                 ordinal += n
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(write, "file string, ordinal long, doc_id long"), "manifest")
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(write), "file string, ordinal long, doc_id long"), "manifest")
 
 
 def count_tokens(spark: SparkSession, folder: str, dtype: str = "<u2", end: int = END, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -90,7 +90,7 @@ def count_tokens(spark: SparkSession, folder: str, dtype: str = "<u2", end: int
             yield from search([b.to_pandas()])
 
     dealt = blocks.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path", "block")
-    found = save(dealt.mapInArrow(by_arrow, "file string, block int, first long, ids long, ends long, after long, at array<int>"), "blocks")
+    found = save(dealt.mapInArrow(lean(by_arrow), "file string, block int, first long, ids long, ends long, after long, at array<int>"), "blocks")
     # The scan: ends before a block, and where the last of them is, first over groups of blocks and then inside a group.
     marks = found.select("file", "block", F.floor(F.col("block") / GROUP).alias("grp"), "ends", F.when(F.col("ends") > 0, F.col("first") + F.col("ids") - F.col("after")).alias("next"), (F.col("first") + F.col("ids")).alias("stop"))
     upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
