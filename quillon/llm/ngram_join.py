@@ -513,6 +513,7 @@ def join(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), shor
     discard(found)
     pairs = counted.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(enough(threshold)).select("a", "b")
     groups = save(connected_components(pairs.unionAll(counted.where("c = 0").select("a", "b")).toDF("u", "v")), "groups")
+    discard(counted)
     links = linked(docs, blocks(groups, classes, threshold), n, threshold)
     at = save(connected_components(links.toDF("u", "v").unionAll(again)), "components")
     named = classes.join(at, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
