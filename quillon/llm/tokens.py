@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+#: Runs of white space from which on a text is read by tokenizers: the pattern of the other reader steps back over a whole run, and gives up on one of a million.
+LONG_RUN = re.compile(r"\s{20000}")
+
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -20,7 +24,8 @@ def encoder(path: str):
     """text -> list of ids, as the tokenizers library gives them (special tokens in a text are ordinary text).
 
     A vocabulary that also lies beside the file as ranks is read by tiktoken, which gives the
-    same ids about five times as fast; tests hold the two against each other. Built once a worker.
+    same ids about five times as fast; tests hold the two against each other. Texts with very long runs of white space go to
+    tokenizers all the same. Built once a worker.
     """
     ranks = path.removesuffix(".json") + ".tiktoken"
     try:
@@ -32,7 +37,14 @@ def encoder(path: str):
         import public_tokenizers
         import tiktoken
 
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        return lambda text: plain(path)(text) if len(text) > 20000 and LONG_RUN.search(text) else fast(text)
+    return plain(path)
+
+
+@lru_cache(maxsize=4)
+def plain(path: str):
+    """The same by the tokenizers library alone."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
