@@ -74,7 +74,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_tables(spark, tmp_path):
     rows = [(k, "an idiot speaks" if k % 3 == 0 else "a calm day", "x") for k in range(60)]
-    rows += [(100, None, "x"), (101, "", "x"), (102, "... 123", "x"), (None, "idiot", "x"), (0, "an idiot speaks", "x"), (103, "idiot " * 200000, "x")]
+    rows += [(100, None, "x"), (101, "", "x"), (102, "... 123", "x"), (None, "idiot", "x"), (0, "an idiot speaks", "x"), (103, "an idiot speaks " * 100000, "x")]
     spark.createDataFrame(rows, "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")
     labels = [(k, int(k % 3 == 0)) for k in range(60)] + [(0, 0), (1, None), (None, 1), (100, 0), (999, 1)]
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
