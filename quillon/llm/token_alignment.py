@@ -17,10 +17,13 @@ doc_id stays; no rows, no counts. Columns beside doc_id and text aren't read.
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +37,7 @@ from .token_counts import opened
 from .tokens import encoder, vocabulary
 
 #: Pairs that are expanded at once; distinct keys that a task holds before it hands them on; rows of a batch that it makes.
-LINKS, HELD, ROWS = 1 << 21, 1 << 22, 1 << 16
+LINKS, HELD, ROWS = 1 << 19, 1 << 21, 1 << 16
 ALIGNED = "doc_id long, a array<int>, b array<int>, a_of array<int>, b_of array<int>"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 #: Printable bytes stand for themselves in a byte-level vocabulary; the others, in order, for the code points from 256 on.
@@ -67,18 +70,81 @@ def pieces(path: str):
     return model, table, np.array([len(x) for x in table], np.int64)
 
 
-def align_text(text: str, encode, a_table, model, b_table):
-    """(a, b, a_of, b_of): the ids of both, and how many of each are in each group; None where the bytes aren't the text's."""
-    spaced = " " + text
-    a, b = encode(spaced), model.encode(text)
-    whole = spaced.encode("utf-8", "surrogatepass")
-    if b"".join([a_table[0][i] for i in a]) != whole or b"".join([b_table[0][i] for i in b]) != whole:
-        return None
-    a, b = np.array(a, np.int64), np.array(b, np.int64)
-    a_ends, b_ends = np.cumsum(a_table[1][a]), np.cumsum(b_table[1][b])
-    at = np.searchsorted(b_ends, a_ends)
-    both = np.flatnonzero(b_ends[at] == a_ends)
-    return a, b, np.diff(both, prepend=-1), np.diff(at[both], prepend=-1)
+class Segments:
+    """Aligned parts of texts, each kept once, in flat arrays with where each part's values start.
+
+    Where neither vocabulary has a token across a space that stands alone between other characters, texts are cut there and each distinct
+    part is aligned once; the texts' ids are the same. Other vocabularies align whole texts. Parts are forgotten when they are many.
+    """
+
+    #: Parts that are kept, and the longest that are looked up again.
+    KEPT, LONGEST = 1 << 18, 48
+    SPLIT = re.compile(r"(?<=\S) (?=\S)")
+
+    def __init__(self, path_a: str, path_b: str):
+        self.encode, self.a_table, (self.model, *self.b_table) = encoder(path_a), byte_level(path_a), pieces(path_b)
+        # The pattern of vocabularies that lie beside their ranks begins a piece at such a space; a piece model does if no piece has one after another character.
+        self.cut = Path(path_a.removesuffix(".json") + ".tiktoken").exists() and not any(re.search(b"[^ ] ", x) for x in self.b_table[0])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.bad = [array("i") for _ in range(4)], [array("q", [0]) for _ in range(4)], array("b")
+
+    def add(self, parts: list[str]) -> None:
+        """Align new parts, all as one stream: the ends of parts are ends of tokens of both. A part whose bytes aren't those of its tokens is bad, and has none."""
+        spaced = [" " + x for x in parts]
+        tokens = [list(map(self.encode, spaced)), self.model.encode(parts, num_threads=1)]
+        good, a_bytes, b_bytes = [], self.a_table[0].__getitem__, self.b_table[0].__getitem__
+        for k, x in enumerate(spaced):
+            whole = x.encode("utf-8", "surrogatepass")
+            fits = b"".join(map(a_bytes, tokens[0][k])) == whole and b"".join(map(b_bytes, tokens[1][k])) == whole
+            good.append(fits)
+            if not fits:
+                tokens[0][k] = tokens[1][k] = ()
+        self.bad.extend(not x for x in good)
+        flat = [np.fromiter(chain.from_iterable(own), np.int64) for own in tokens]
+        counts = [np.fromiter(map(len, own), np.int64, len(own)) for own in tokens]
+        a_ends, b_ends = np.cumsum(self.a_table[1][flat[0]]), np.cumsum(self.b_table[1][flat[1]])
+        at = np.searchsorted(b_ends, a_ends)
+        both = np.flatnonzero(b_ends[at] == a_ends)
+        groups = np.diff(np.searchsorted(both, np.append(0, np.cumsum(counts[0]))))
+        for k, (values, each) in enumerate(((flat[0], counts[0]), (flat[1], counts[1]), (np.diff(both, prepend=-1), groups), (np.diff(at[both], prepend=-1), groups))):
+            ends = self.start[k][-1] + np.cumsum(each)
+            self.flat[k].frombytes(values.astype(np.int32).tobytes())
+            self.start[k].frombytes(ends.astype(np.int64).tobytes())
+
+    def columns(self, texts: list[str | None]) -> list[pa.Array]:
+        """(a, b, a_of, b_of) of each text as lists; empty ones where it has no tokens."""
+        if len(self.bad) > self.KEPT:
+            self.forget()
+        placed, new = [], []
+        get, known = self.known.get, len(self.bad)
+        for text in texts:
+            parts = (self.SPLIT.split(text) if self.cut else [text]) if text else []
+            own = list(map(get, parts))
+            for k, n in enumerate(own):
+                if n is None and (n := get(part := parts[k])) is None:  # a part may come twice in a text
+                    n = known + len(new)
+                    new.append(part)
+                    if len(part) <= self.LONGEST:
+                        self.known[part] = n
+                own[k] = n
+            placed.append(own)
+        if new:
+            self.add(new)
+        which, sizes = np.fromiter(chain.from_iterable(placed), np.int64), np.fromiter(map(len, placed), np.int64, len(placed))
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        without = np.bincount(text_of, np.frombuffer(self.bad, np.int8)[which], len(texts)) > 0 if len(which) else np.zeros(len(texts), bool)
+        which, sizes, out = which[~without[text_of]], np.where(without, 0, sizes), []
+        ends = np.append(0, np.cumsum(sizes))
+        for flat, start in zip(self.flat, self.start):
+            at = np.frombuffer(start, np.int64)
+            first, count = at[which], at[which + 1] - at[which]
+            upto = np.append(0, np.cumsum(count))
+            values = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pa.array(values[np.repeat(first - upto[:-1], count) + np.arange(upto[-1])])))
+        return out
 
 
 def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | None = None) -> DataFrame:
@@ -86,21 +152,13 @@ def align(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | No
     path_a, path_b = tokenizer_a or vocabulary("byte_bpe_50k.json"), tokenizer_b or vocabulary("piece_bpe_32k.model")
 
     def run(batches):
-        encode, a_table, (model, *b_table) = encoder(path_a), byte_level(path_a), pieces(path_b)
-        none = (np.empty(0, np.int64),) * 4
+        segments = Segments(path_a, path_b)
         for batch in batches:
-            texts = batch.column(1)
-            found = [(align_text(x, encode, a_table, model, b_table) if (x := texts[i].as_py()) else None) or none for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[lists([f[k] for f in found]) for k in range(4)]], names=["doc_id", "a", "b", "a_of", "b_of"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *segments.columns(batch.column(1).to_pylist())], names=["doc_id", "a", "b", "a_of", "b_of"])
 
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), ALIGNED), "aligned")
 
 
-def lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.empty(0, np.int64)]).astype(np.int32)))
-
-
 def read_lists(column: pa.Array) -> list[np.ndarray]:
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64)
     return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
