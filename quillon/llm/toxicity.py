@@ -198,7 +198,7 @@ def minimise(f, x: np.ndarray, rounds: int = 200, memory: int = 10, close: float
 def fit(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], scale: np.ndarray, ridge: float = RIDGE, fair: float = FAIR) -> tuple[np.ndarray, float]:
     """(weights, bias) for presence features of the given scale; pairs are columns of texts and of their swapped versions."""
     d, lengths = len(scale), [len(r) for r in rows]
-    at, cols = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
+    at, cols = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.empty(0, np.int32), *rows])
     value = scale[cols]
     gone, new = [np.setdiff1d(x, y) for x, y in pairs], [np.setdiff1d(y, x) for x, y in pairs]
     pair_at = np.concatenate([np.repeat(np.arange(len(pairs)), [len(g) for g in side]) for side in (gone, new)]).astype(np.int64)
@@ -267,16 +267,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary:
             out = []
             for i in range(batch.num_rows):
                 text = batch.column(1)[i].as_py() or ""
-                own = words.columns(hasher, text).tolist()
-                out.append((batch.column(0)[i].as_py(), own, [words.columns(hasher, s).tolist() for s in swapped(text, identities)]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32()))))], names=["toxic", "own", "swapped"])
+                packed = lambda t: words.columns(hasher, t).astype("<i4").tobytes()
+                out.append((batch.column(0)[i].as_py(), packed(text), [packed(s) for s in swapped(text, identities)]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.bool_(), pa.binary(), pa.list_(pa.binary())))], names=["toxic", "own", "swapped"])
 
-    held = save(texts.mapInArrow(lean(present), "toxic boolean, own array<int>, swapped array<array<int>>"), "labelled-features")
+    held = save(texts.mapInArrow(lean(present), "toxic boolean, own binary, swapped array<binary>"), "labelled-features")
     found = sorted(held.collect(), key=lambda r: (r["toxic"], r["own"], r["swapped"]))
     for done in (chosen, texts, held):
         discard(done)
-    columns = [np.array(r["own"], np.int64) for r in found]
-    pairs = [(x, np.array(s, np.int64)) for x, r in zip(columns, found) for s in r["swapped"]]
+    columns = [np.frombuffer(r["own"], "<i4") for r in found]
+    pairs = [(x, np.frombuffer(s, "<i4")) for x, r in zip(columns, found) for s in r["swapped"]]
     toxic = np.array([r["toxic"] for r in found])
     weight = np.where(toxic, sizes[True] / n[True], sizes[False] / n[False])
     scale = np.repeat(np.abs(np.array([r["ratio"] for r in rows], float)), len(LEVELS))
