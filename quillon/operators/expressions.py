@@ -1,7 +1,7 @@
-"""Expression trees: grown as one array of nodes a row, and evaluated row by row into full records.
+"""Expression trees: grown as one array of nodes a row, and made into full records.
 
-Growing is one projection of draws. Evaluation needs integers without bounds and loops, which columns do not
-have, so each Arrow batch of trees is walked by the exact interpreter; nothing is shuffled.
+Growing is one projection of draws, and records are folds over the nodes (see folds). Integers without bounds and loops, which columns do not
+have, are the exact interpreter's, in Arrow batches of the trees that need it. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,51 +13,77 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, DIGITS, INF, NAN, NEG_INF, Settings
 from ..functions import draws
+from ..functions.compiler import once
 from ..functions.language import evaluate
 from ..schema import EXPRESSION
+from . import folds
+from .folds import INFO_BINARY, INFO_NUMBER, INFO_UNARY
 
 NODE = "node_id int, parent_id int, side string, depth int, path string, kind string, func_id string, value long"
-# How the verbose trace spells its steps.
-INFO_NUMBER = "number node, value={value}"
-INFO_UNARY = "compute unary expreesion, input={left}, op_id = {op}, unary_op_definition = '{definition}', output={value}"
-INFO_BINARY = "compute binary expreesion, left_input={left}, right_input={right}, op_id = {op} binary_op_definition= '{definition}', output={value}"
+
+
+def spread(ids: DataFrame) -> DataFrame:
+    """ids dealt to all cores: a row of a few bytes becomes a tree, so what is shuffled is small beside what is made."""
+    spark = ids.sparkSession
+    return ids.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def grow_rows(ids: DataFrame, binary: Sequence[str], prefix: Sequence[str], postfix: Sequence[str] = (), depth: int = 2, settings: Settings = DEFAULT, attempt: int = 0, name: str = "nodes") -> DataFrame:
     """ids (expr_id, ...) with a random tree for each expr_id as name: its nodes (see NODE) by level. Attempts give different trees.
 
     Nodes are numbered as in a heap; roots are operators, nodes at the last depth numbers. Every
-    draw hangs on (expr_id, node_id), so a tree is a projection. An empty pool is never drawn from; three empty ones are an error.
+    draw hangs on (expr_id, node_id), and a level is an array made of the one above, so a tree is a projection whose size grows with the
+    depth and not with the nodes. An empty pool is never drawn from; three empty ones are an error.
     """
     pools = {k: F.array(*[F.lit(x) for x in v]) for k, v in (("binary", binary), ("prefix", prefix), ("postfix", postfix)) if v}
     if not pools:
         raise ValueError("no operators to draw from")
     weights = {k: settings.node_weights[k] for k in pools}
 
-    def drawn(node: int, parent: Column | None, d: int) -> Column:
-        key = F.concat_ws("/", F.col("expr_id").cast("string"), *[F.lit(str(x)) for x in (node, *[attempt] * bool(attempt))])
-        kind = F.lit("num") if d == depth else draws.weighted(draws.unit(key, "kind"), {k: w for k, w in (weights | ({"num": 0.3} if d else {})).items() if w})
-        there = None if parent is None else (parent["kind"] != "num") if node % 2 == 0 else (parent["kind"] == "binary")
-        func = None
-        for k, pool in pools.items():
-            one = F.get(pool, F.pmod(draws.bits(key, "func"), F.size(pool)).cast("int"))
-            func = F.when(kind == k, one) if func is None else func.when(kind == k, one)
-        side = F.lit(None).cast("string") if parent is None else F.lit("right") if node % 2 else F.when(parent["kind"] == "binary", "left").otherwise("unary")
-        path = "".join("r" if int(b) else "l" for b in bin(node)[3:])
-        struct = F.struct(
-            F.lit(node).alias("node_id"), F.lit(None if parent is None else node // 2).cast("int").alias("parent_id"), side.alias("side"), F.lit(d).alias("depth"), F.lit(path).alias("path"), kind.alias("kind"), func.alias("func_id"),
-            F.when(kind == "num", draws.skewed(key, "value", *settings.value_range)).cast("long").alias("value"),
-        )
-        return struct if there is None else F.when(there, struct)
+    def drawn(node: Column, parent: Column | None, side: Column, path: Column, d: Column | None = None) -> Column:
+        def made(key: Column) -> Column:
+            kind = draws.weighted(draws.unit(key, "kind"), {k: w for k, w in (weights | ({} if d is None else {"num": 0.3})).items() if w})
+            kind = kind if d is None else F.when(d == depth, "num").otherwise(kind)
+
+            def of(kind: Column) -> Column:
+                func = None
+                for k, pool in pools.items():
+                    one = F.get(pool, F.pmod(draws.bits(key, "func"), F.size(pool)).cast("int"))
+                    func = F.when(kind == k, one) if func is None else func.when(kind == k, one)
+                return F.struct(
+                    node.cast("int").alias("node_id"), (F.lit(None) if parent is None else parent["node_id"]).cast("int").alias("parent_id"), side.alias("side"), (F.lit(0) if d is None else d).alias("depth"), path.alias("path"), kind.alias("kind"), func.alias("func_id"),
+                    F.when(kind == "num", draws.skewed(key, "value", *settings.value_range)).cast("long").alias("value"),
+                )
+
+            return once(kind, of)
+
+        return once(F.concat_ws("/", F.col("expr_id").cast("string"), node.cast("string"), *[F.lit(str(attempt))] * bool(attempt)), made)
+
+    def children(d: Column):
+        return lambda p: both_of(p, p["kind"] == "binary", d)
+
+    def both_of(p: Column, two: Column, d: Column) -> Column:
+        left = drawn(p["node_id"] * 2, p, F.when(two, "left").otherwise("unary"), F.concat(p["path"], F.lit("l")), d)
+        right = drawn(p["node_id"] * 2 + 1, p, F.lit("right"), F.concat(p["path"], F.lit("r")), d)
+        return F.when(two, F.array(left, right)).otherwise(F.array(left))
 
     others = [c for c in ids.columns if c != "expr_id"]
-    rows = ids.select(F.col("expr_id").cast("long").alias("expr_id"), *others).withColumn("n1", drawn(1, None, 0))
-    for d in range(1, depth + 1):
-        rows = rows.select("*", *[drawn(k, F.col(f"n{k // 2}"), d).alias(f"n{k}") for k in range(1 << d, 2 << d)])
-    return rows.select("expr_id", *others, F.array_compact(F.array(*[f"n{k}" for k in range(1, 2 << depth)])).alias(name))
+    rows = spread(ids).select(F.col("expr_id").cast("long").alias("expr_id"), *others)
+    # One fold over the depths, the state being the last level and all of them: the plan is the same for any depth.
+    root = F.array(drawn(F.lit(1), None, F.lit(None).cast("string"), F.lit("")))
+    kind = f"array<struct<{NODE.replace(' ', ':').replace(',:', ',')}>>"
+
+    def below(s: Column, d: Column) -> Column:
+        new = F.flatten(F.transform(F.filter(s["level"], lambda p: p["kind"] != "num"), children(d)))
+        return once(new, lambda x: F.struct(x.alias("level"), F.concat(s["nodes"], x).alias("nodes")).cast(f"struct<level:{kind},nodes:{kind}>"))
+
+    start = once(root, lambda r: F.struct(r.alias("level"), r.alias("nodes")).cast(f"struct<level:{kind},nodes:{kind}>"))
+    depths = F.sequence(F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
+    return rows.withColumn(name, F.aggregate(depths, start, below)["nodes"])
 
 
 def single(func: Column, arity: Column, key: Column, settings: Settings = DEFAULT) -> Column:
@@ -175,17 +201,45 @@ class Records:
         }
 
 
-def records(rows: DataFrame, cat: DataFrame, bodies: dict, base: int = DEFAULT.base, result_base: int = DEFAULT.result_base, longer_base: int = DEFAULT.longer_result_base, brackets: bool = False) -> DataFrame:
+#: Operators of a catalog that go to every task; a generated catalog has no more.
+CATALOG = 100_000
+
+
+def records(rows: DataFrame, cat: DataFrame, bodies: dict, base: int = DEFAULT.base, result_base: int = DEFAULT.result_base, longer_base: int = DEFAULT.longer_result_base, brackets: bool = False, largest: int | None = None, depth: int | None = None, fields: Sequence[str] | None = None) -> DataFrame:
     """The 18-field records (schema.EXPRESSION) of trees (expr_id, nodes). Numbers are in base, results in result_base.
 
-    The catalog's rows go to every task; it is small beside a corpus (a generated one has at most 100,000 operators).
+    Records are columns (see folds); fields names those that are wanted, all unless given. Trees that could leave what doubles hold exactly are the
+    interpreter's, in a column of its own that is handed null for all others; it isn't in the plan where largest and depth, bounds on the
+    trees' numbers and height, show that there are none. Trees of loops, or of very many operators, are all the interpreter's.
+    The catalog's rows are on the driver, CATALOG at most.
     """
-    operators = {r["func_id"]: r.asDict() for r in cat.collect()}
-    names = [f.name for f in EXPRESSION.fields]
+    operators = {r["func_id"]: r.asDict() for r in cat.limit(CATALOG + 1).collect()}
+    if len(operators) > CATALOG:
+        raise ValueError(f"a catalog of more than {CATALOG} operators")
+    every = [f.name for f in EXPRESSION.fields]
+    names = every if fields is None else list(fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         make = Records(operators, bodies, base, result_base, longer_base, brackets)
         for frame in frames:
-            yield pd.DataFrame([{"id": i, **make.of(list(nodes))} for i, nodes in zip(frame["expr_id"], frame["nodes"])], columns=names)
+            yield pd.DataFrame([{"id": i, **make.of(list(nodes))} for i, nodes in zip(frame["expr_id"], frame["nodes"])], columns=every)
+
+    if not folds.compiles(operators, bodies):
+        return rows.mapInPandas(run, EXPRESSION).select(*names)
+    signs = {r["is_base"]: r["symbol"] for r in sorted(operators.values(), key=lambda r: -(r["id"] or 0)) if r["is_base"] is not None}
+    fold = folds.Folds(operators, bodies, signs)
+    known = rows.select("expr_id", "nodes", fold.evaluated(F.col("nodes")).alias("ev"))
+    made = fold.record(F.col("nodes"), F.col("ev"), base, result_base, longer_base, brackets)
+    own = lambda n: F.col("expr_id").cast("long") if n == "id" else made[n]().cast(EXPRESSION[n].dataType)
+    if largest is not None and depth is not None and folds.always_near(operators, bodies, largest, depth):
+        return known.select(*[own(n).alias(n) for n in names])
+
+    @F.pandas_udf(T.StructType([EXPRESSION[n] for n in names]))
+    def exact(ids: pd.Series, trees: pd.Series) -> pd.DataFrame:
+        make = Records(operators, bodies, base, result_base, longer_base, brackets)
+        found = [{"id": i, **make.of(list(nodes))} if nodes is not None else dict.fromkeys(names) for i, nodes in zip(ids, trees)]
+        return pd.DataFrame({n: pd.Series([f[n] for f in found], dtype=object) for n in names})
 
-    return rows.mapInPandas(run, EXPRESSION)
+    exact = exact.asNondeterministic()  # so that it is called once a row, wherever its fields are used
+    known = known.withColumn("far", made["far"]()).withColumn("exact", exact("expr_id", F.when(F.col("far"), F.transform("nodes", lambda n: n.withField("value", n["value"].cast("string"))))))
+    return known.select(*[F.when(F.col("far"), F.col(f"exact.{n}")).otherwise(own(n)).alias(n) for n in names])

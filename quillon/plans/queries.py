@@ -65,7 +65,12 @@ def tree(spark, sf_dir):
 
 
 def record_table(spark, sf_dir, **how):
-    return expressions.records(tree_rows(spark, sf_dir), cat(spark, [POSTFIX]), BODIES, **how)
+    return expressions.records(tree_rows(spark, sf_dir), tree_operators(spark), BODIES, largest=DEFAULT.value_range[1], depth=2, **how)
+
+
+def tree_operators(spark):
+    """What trees of the pools are made of, and the operators that write numbers in bases."""
+    return cat(spark, [POSTFIX]).where(F.col("func_id").isin(*[f for pool in POOLS for f in pool]) | F.col("is_base").isNotNull())
 
 
 # Sources and sinks
@@ -366,7 +371,7 @@ def _(spark, sf_dir):
     names = [f for pool in POOLS for f in pool]
     ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("expr_id"), generation.one_of(names, F.col("o_orderkey"), "single").alias("func_id"))
     rows = _one_operator(ids.withColumn("n_ary", F.when(F.col("func_id").isin(*POOLS[0]), 2).otherwise(1)), F.col("expr_id"))
-    return expressions.records(rows, cat(spark, [POSTFIX]), BODIES).select("id", "expression", F.col("result").alias("value"), F.col("normalized_expansion_degree").cast("long").alias("cost"), "text")
+    return expressions.records(rows, tree_operators(spark), BODIES, largest=DEFAULT.value_range[1], depth=1, fields=["id", "expression", "result", "normalized_expansion_degree", "text"]).select("id", "expression", F.col("result").alias("value"), F.col("normalized_expansion_degree").cast("long").alias("cost"), "text")
 
 
 @query("symbol_gen")
@@ -553,27 +558,27 @@ def _(spark, sf_dir):
 
 @query("render_expr")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "expression")
+    return record_table(spark, sf_dir, fields=["id", "expression"]).select(F.col("id").alias("expr_id"), "expression")
 
 
 @query("render_brackets")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir, brackets=True).select(F.col("id").alias("expr_id"), "expression")
+    return record_table(spark, sf_dir, brackets=True, fields=["id", "expression"]).select(F.col("id").alias("expr_id"), "expression")
 
 
 @query("render_no_base")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), F.col("expression_no_base_symbol").alias("expression"))
+    return record_table(spark, sf_dir, fields=["id", "expression_no_base_symbol"]).select(F.col("id").alias("expr_id"), F.col("expression_no_base_symbol").alias("expression"))
 
 
 @query("tree_json")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "tree")
+    return record_table(spark, sf_dir, fields=["id", "tree"]).select(F.col("id").alias("expr_id"), "tree")
 
 
 @query("eval_tree")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), "result", F.col("normalized_expansion_degree").cast("long").alias("degree"))
+    return record_table(spark, sf_dir, fields=["id", "result", "normalized_expansion_degree"]).select(F.col("id").alias("expr_id"), "result", F.col("normalized_expansion_degree").cast("long").alias("degree"))
 
 
 @query("eval_tree_loops")
@@ -586,11 +591,11 @@ def _(spark, sf_dir):
 
 @query("longer_result")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select(F.col("id").alias("expr_id"), F.col("longer_result_info.flag").alias("flag"))
+    return record_table(spark, sf_dir, fields=["id", "longer_result_info"]).select(F.col("id").alias("expr_id"), F.col("longer_result_info.flag").alias("flag"))
 
 
 def _from_records(name, *columns):
-    QUERIES[name] = lambda spark, sf_dir: record_table(spark, sf_dir).select("id", *columns)
+    QUERIES[name] = lambda spark, sf_dir: record_table(spark, sf_dir, fields=["id", *columns])
 
 
 _from_records("expansion_degree", "normalized_expansion_degree")
@@ -606,7 +611,7 @@ _from_records("used_ops", "used_operators")
 
 @query("cot_trace")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select("id", F.posexplode("cot").alias("step", "c")).select("id", F.col("step").cast("long").alias("step"), "c.info", "c.layer")
+    return record_table(spark, sf_dir, fields=["id", "cot"]).select("id", F.posexplode("cot").alias("step", "c")).select("id", F.col("step").cast("long").alias("step"), "c.info", "c.layer")
 
 
 @query("number_count")
@@ -722,7 +727,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A run that was cut short after 37 expressions writes the rest of its 100."""
     at, target = scratch.path(spark, "expressions"), 100
-    make = lambda ids: expressions.records(expressions.grow_rows(ids.select(F.col("id").alias("expr_id")), *POOLS), cat(spark, [POSTFIX]), BODIES)
+    make = lambda ids: expressions.records(expressions.grow_rows(ids.select(F.col("id").alias("expr_id")), *POOLS), tree_operators(spark), BODIES, largest=DEFAULT.value_range[1], depth=2)
     make(spark.range(1, 38)).write.json(at)
     make(spark.range(jsonl.count_lines(spark, at) + 1, target + 1)).write.mode("append").json(at)
     return spark.read.schema(EXPRESSION).json(at).groupBy("id").agg(F.count("*").alias("times"))
@@ -734,7 +739,7 @@ def _(spark, sf_dir):
     names, per = [f for pool in POOLS for f in pool], 1000
     ops = cat(spark, [POSTFIX]).where(F.col("func_id").isin(*names)).select("func_id", "n_ary", (F.array_position(F.array(*[F.lit(f) for f in names]), F.col("func_id")) - 1).alias("nth"))
     rows = ops.select("func_id", "n_ary", F.explode(F.sequence(F.col("nth") * per, F.col("nth") * per + per - 1)).alias("expr_id"))
-    return expressions.records(_one_operator(rows, F.concat_ws("/", "func_id", F.col("expr_id").cast("string"))), cat(spark, [POSTFIX]), BODIES).select("id", F.get("used_operators", F.lit(0)).alias("func_id"), "text")
+    return expressions.records(_one_operator(rows, F.concat_ws("/", "func_id", F.col("expr_id").cast("string"))), tree_operators(spark), BODIES, largest=DEFAULT.value_range[1], depth=1, fields=["id", "used_operators", "text"]).select("id", F.get("used_operators", F.lit(0)).alias("func_id"), "text")
 
 
 @query("base_record")
@@ -794,12 +799,12 @@ def _(spark, sf_dir):
 
 @query("expr_str")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir, brackets=True).select(F.col("id").alias("expr_id"), "expression", F.length("expression").cast("long").alias("n_chars"))
+    return record_table(spark, sf_dir, brackets=True, fields=["id", "expression"]).select(F.col("id").alias("expr_id"), "expression", F.length("expression").cast("long").alias("n_chars"))
 
 
 @query("cot_info_trace")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select("id", F.posexplode("cot_info").alias("step", "c")).select("id", F.col("step").cast("long").alias("step"), "c.info", "c.layer")
+    return record_table(spark, sf_dir, fields=["id", "cot_info"]).select("id", F.posexplode("cot_info").alias("step", "c")).select("id", F.col("step").cast("long").alias("step"), "c.info", "c.layer")
 
 
 @query("branch_gen")
@@ -819,4 +824,4 @@ def _(spark, sf_dir):
 
 @query("combo_expr")
 def _(spark, sf_dir):
-    return record_table(spark, sf_dir).select("id", "text", F.size("used_operators").alias("n_used"))
+    return record_table(spark, sf_dir, fields=["id", "text", "used_operators"]).select("id", "text", F.size("used_operators").alias("n_used"))
