@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import save
+from ..sources.scratch import discard, save
 
 
 def shape() -> Column:
@@ -52,24 +52,67 @@ def edges(cat: DataFrame) -> DataFrame:
     return cat.select(F.explode("dependencies").alias("src"), F.col("func_id").alias("dst"))
 
 
-def levels(cat: DataFrame, weight: Column | None = None, max_rounds: int = 200) -> DataFrame:
+def chains(step: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(func_id, head, dist, tail): runs of nodes that hang on one another alone, found by pointer doubling; other nodes are runs of one.
+
+    step: (src, dst, w). A node follows the one before it in a run if it is that one's only dependent and depends on nothing else. dist is the sum of w from the
+    head on. Rounds are logarithmic in the longest run; a ring, in which no node is a head, is an error.
+    """
+    alone = step.groupBy("src").agg(F.count("*").alias("outs"), F.first("dst").alias("dst"), F.first("w").alias("w")).where("outs = 1").select(F.col("src").alias("at"), F.col("dst").alias("func_id"), "w")
+    single = step.groupBy("dst").agg(F.count("*").alias("ins")).where("ins = 1").select(F.col("dst").alias("func_id"))
+    links = alone.join(single, "func_id").select("func_id", F.col("at").alias("head"), F.col("w").cast("long").alias("dist"))
+    at = save(nodes.join(links, "func_id", "left").select("func_id", F.coalesce("head", "func_id").alias("head"), F.coalesce("dist", F.lit(0)).alias("dist"), F.col("head").isNotNull().alias("inner")), "chains")
+    first, jumped = at, 1
+    total = nodes.count()
+    while True:
+        up = at.select(F.col("func_id").alias("head"), F.col("head").alias("above"), F.col("dist").alias("more"), F.col("inner").alias("on"))
+        new = save(at.where("inner").join(up, "head").select("func_id", F.col("above").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), "on").withColumnRenamed("on", "inner").unionByName(at.where("NOT inner")), "chains")
+        open_ = new.where("inner")
+        if at is not first:
+            discard(at)
+        at, jumped = new, jumped * 2
+        if open_.isEmpty():
+            break
+        if jumped > 2 * total:
+            raise ValueError("the dependencies have a cycle")
+    tails = first.where("inner").select(F.col("head").alias("func_id")).distinct()  # these have a follower
+    return at.select("func_id", "head", "dist").join(tails.withColumn("followed", F.lit(True)), "func_id", "left").select("func_id", "head", "dist", F.col("followed").isNull().alias("tail"))
+
+
+def levels(cat: DataFrame, weight: Column | None = None) -> DataFrame:
     """(func_id, level): the longest path that ends at an operator; weight(dst) is what a step adds (1 unless given).
 
-    Each round relaxes all edges at once and is a written table; a cycle shows as a level that
-    keeps rising past the number of operators.
+    Runs of operators that hang on one another alone are one node each (see chains), so a long chain takes a logarithm of
+    its length in rounds. What is left is peeled: in a round go all nodes whose predecessors are gone. Each round is a written table of
+    the nodes that remain, and nodes that never go are a cycle.
     """
-    step = save(edges(cat).join(cat.select(F.col("func_id").alias("dst"), (weight if weight is not None else F.lit(1)).alias("w")), "dst"), "edges")
-    n = cat.count()
-    at = save(cat.select("func_id", F.lit(0).alias("level")), "levels")
-    for k in range(max_rounds):
-        up = step.join(at.select(F.col("func_id").alias("src"), "level"), "src").groupBy("dst").agg(F.max(F.col("level") + F.col("w")).alias("up"))
-        new = save(at.join(up, at["func_id"] == up["dst"], "left").select("func_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), "levels")
-        if new.join(at.withColumnRenamed("level", "was"), "func_id").where("level <> was").isEmpty():
-            return new
-        if k > n:
+    nodes = save(cat.select("func_id", (weight if weight is not None else F.lit(1)).alias("w")), "nodes")
+    step = save(edges(cat).distinct().join(nodes.select(F.col("func_id").alias("dst"), "w"), "dst").join(nodes.select(F.col("func_id").alias("src")), "src"), "edges")
+    runs = save(chains(step, nodes), "runs")
+    place = runs.select(F.col("func_id").alias("src"), F.col("head").alias("from"), "dist")
+    to = runs.where("head = func_id").select(F.col("func_id").alias("dst"))
+    between = save(step.join(to, "dst").join(place, "src").select("from", "dst", (F.col("dist") + F.col("w")).alias("gain")), "between")  # into heads alone
+    ins = between.groupBy("dst").agg(F.count("*").alias("left"))
+    left = save(to.join(ins, "dst", "left").select("dst", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("long").alias("level")), "left")
+    gone = []
+    while True:
+        ready = save(left.where("left = 0").select("dst", "level"), "ready")
+        if ready.isEmpty():
             break
-        at = new
-    raise ValueError("the dependencies have a cycle")
+        gone.append(ready)
+        given = between.join(ready.select(F.col("dst").alias("from"), "level"), "from").groupBy("dst").agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("gain")).alias("up"))
+        before, left = left, save(left.where("left > 0").join(given, "dst", "left").select("dst", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), "left")
+        discard(before)
+    if not left.isEmpty():
+        raise ValueError("the dependencies have a cycle")
+    if not gone:
+        return runs.select("func_id", F.col("dist").alias("level"))
+    heads = gone[0]
+    for part in gone[1:]:
+        heads = heads.unionAll(part)
+    out = save(runs.join(heads.select(F.col("dst").alias("head"), "level"), "head").select("func_id", (F.col("level") + F.col("dist")).alias("level")), "levels")
+    discard(nodes, step, runs, between, left, *gone)
+    return out
 
 
 def orders(cat: DataFrame) -> DataFrame:
@@ -79,21 +122,35 @@ def orders(cat: DataFrame) -> DataFrame:
     return levels(plain, recursive).select("func_id", (F.col("level") + 1).alias("n_order"))
 
 
-def closure(cat: DataFrame, roots: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """func_id of roots and of all that depends on them: a frontier grown until nothing is new, so a cycle ends too."""
-    step, seen = save(edges(cat), "edges"), save(roots.select("func_id").distinct(), "closure")
+def closure(cat: DataFrame, roots: DataFrame) -> DataFrame:
+    """func_id of roots and of all that depends on them: a frontier grown until nothing is new, so a cycle ends too.
+
+    A frontier passes a run of operators that hang on one another alone at once (see chains); rings have no heads and are walked.
+    """
+    step = save(edges(cat).distinct().select("src", "dst", F.lit(1).alias("w")), "edges")
+    nodes = step.select(F.explode(F.array("src", "dst")).alias("func_id")).unionAll(roots.select("func_id")).distinct()
+    try:
+        runs = save(chains(step, nodes), "runs")
+    except ValueError:  # a ring
+        runs = save(nodes.select("func_id", F.col("func_id").alias("head"), F.lit(0).cast("long").alias("dist"), F.lit(True).alias("tail")), "runs")
+    tails = runs.where("tail").select("head", F.col("func_id").alias("src"))
+    seen = save(roots.select("func_id").distinct(), "closure")
     front = seen
-    for _ in range(max_rounds):
-        new = save(step.join(front.select(F.col("func_id").alias("src")), "src").select(F.col("dst").alias("func_id")).distinct().join(seen, "func_id", "left_anti"), "front")
+    while True:
+        reached = front.join(runs.select("func_id", "head"), "func_id").join(tails, "head").join(step, "src").select(F.col("dst").alias("func_id"))
+        new = save(reached.distinct().join(seen, "func_id", "left_anti"), "front")
         if new.isEmpty():
-            return seen
-        seen, front = save(seen.unionAll(new), "closure"), new
-    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
+            break
+        before, seen, front = seen, save(seen.unionAll(new), "closure"), new
+        if before is not front:
+            discard(before)
+    entries = seen.join(runs, "func_id").groupBy("head").agg(F.min("dist").alias("least"))
+    return save(runs.join(entries, "head").where("dist >= least").select("func_id").unionAll(roots.select("func_id")).distinct(), "closed")
 
 
 def renumber(cat: DataFrame) -> DataFrame:
-    """(func_id, new_id, new_dependencies): dense numbers by func_id, the references following. Catalogs are small beside corpora; the one ordering is inherent."""
-    ids = cat.select("func_id", F.row_number().over(Window.orderBy("func_id")).cast("long").alias("new_id"))
+    """(func_id, new_id, new_dependencies): dense numbers by func_id, the references following."""
+    ids = numbered(cat.select("func_id"), F.col("func_id")).select("func_id", F.col("place").cast("long").alias("new_id"))
     deps = cat.select("func_id", F.posexplode("dependencies").alias("pos", "dep")).join(ids.select(F.col("func_id").alias("dep"), F.col("new_id").alias("to")), "dep")
     lists = deps.groupBy("func_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: x["to"]).alias("deps"))
     return ids.join(lists, "func_id", "left").select("func_id", "new_id", F.coalesce("deps", F.array().cast("array<bigint>")).alias("new_dependencies"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import INF, NAN, NEG_INF
 from ..functions.bases import value_text
-from ..functions.compiler import Compiler, within
+from ..functions.compiler import Compiler, once, within
 from ..functions.language import evaluate, loops
 
 #: Results that a task remembers, by their operands.
@@ -27,21 +27,66 @@ def number(text: str):
     return float(x) if x.is_nan() or x.is_infinite() else int(x)
 
 
-def apply_operator(rows: DataFrame, func_id: str, bodies: dict, *operands: Column) -> DataFrame:
-    """rows with value (text) and cost, which replace columns of these names. Operands are whole numbers; a null one gives null and null.
+def apply_operators(rows: DataFrame, calls: dict[str, str], bodies: dict, *operands: Column) -> DataFrame:
+    """rows with a column (value, cost) for each name of calls, which maps names to func_ids. Operands are whole numbers; a null one gives null and null.
 
-    Loops are interpreted. Other operators are compiled, but for rows whose operands could lead to a magnitude past 2**53:
-    the two kinds of rows are two narrow branches of the plan, told apart by the operands alone.
+    All calls are one projection over one scan. Calls whose operands could lead to a magnitude past 2**53 are the exact
+    interpreter's: one function for all of them, which is handed nulls where none is needed. Loops are interpreted throughout.
     """
-    if loops(func_id, bodies):
-        return apply_exact(rows, func_id, bodies, *operands)
+    args, texts = [o.cast("double") for o in operands], [o.cast("string") for o in operands]
+    there, kept = F.greatest(F.lit(0), *[o.isNull().cast("int") for o in operands]) == 0, [c for c in rows.columns if c not in calls]
+    size, far, near = F.greatest(F.lit(0.0), *[F.abs(o) for o in args]), {}, {}
+    for name, f in calls.items():
+        if loops(f, bodies):
+            far[name] = there
+        else:
+            far[name] = there & F.coalesce(size > float(within(f, bodies)), F.lit(False))
+            near[name] = Compiler(bodies).both(f, *args)
+    which = sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(far.values())), F.lit(0))
+    exact = exactly(list(calls.values()), bodies)(F.nullif(which, F.lit(0)), *[F.when(which > 0, t) for t in texts])
+    found = rows.withColumn("__far", exact)
+    answer = lambda v, c: F.struct(v.alias("value"), c.alias("cost"))
+
+    def of(k: int, name: str) -> Column:
+        slow = answer(F.col(f"__far.v{k}"), F.col(f"__far.c{k}"))
+        if name not in near:
+            return slow
+        quick = once(near[name], lambda s: answer(value_text(s["v"]), s["c"]))
+        return F.when(far[name], slow).when(there, quick).otherwise(answer(F.lit(None).cast("string"), F.lit(None).cast("long")))
+
+    return found.select(*kept, *[of(k, name).alias(name) for k, name in enumerate(calls)])
+
+
+def apply_operator(rows: DataFrame, func_id: str, bodies: dict, *operands: Column) -> DataFrame:
+    """rows with value (text) and cost of one operator, which replace columns of these names."""
     kept = [c for c in rows.columns if c not in ("value", "cost")]
-    bound, args = within(func_id, bodies), [o.cast("double") for o in operands]
-    there = F.greatest(F.lit(0), *[o.isNull().cast("int") for o in operands]) == 0
-    near = F.coalesce(F.greatest(F.lit(0.0), *[F.abs(o) for o in args]) <= float(bound), F.lit(True))
-    known = rows.where(near).withColumn("__r", F.when(there, Compiler(bodies).both(func_id, *args)))
-    compiled = known.select(*kept, F.when(F.col("__r").isNotNull(), value_text(F.col("__r.v"))).alias("value"), F.col("__r.c").alias("cost"))
-    return compiled.unionByName(apply_exact(rows.where(~near), func_id, bodies, *operands))
+    return apply_operators(rows, {"__r": func_id}, bodies, *operands).select(*kept, "__r.value", "__r.cost")
+
+
+def exactly(func_ids: list[str], bodies: dict):
+    """A function of (which, operands as text) by the interpreter: which has a bit for each operator that is wanted. A cost stays at the largest long."""
+    seen: dict = {}
+    kind = ", ".join(f"v{k} string, c{k} long" for k in range(len(func_ids)))
+
+    def one(k: int, row: tuple):
+        if (k, row) not in seen:
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            v, c = evaluate(func_ids[k], tuple(map(number, row)), bodies)
+            seen[k, row] = spelled(v), min(c, (1 << 63) - 1)
+        return seen[k, row]
+
+    @F.pandas_udf(kind)
+    def run(which: pd.Series, *columns: pd.Series) -> pd.DataFrame:
+        empty = (None, None)
+        found = [[one(k, row) if w == w and int(w) >> k & 1 else empty for k in range(len(func_ids))] for w, row in zip(which, zip(*columns))]
+        out = {}
+        for k in range(len(func_ids)):
+            out[f"v{k}"] = pd.Series([f[k][0] for f in found], dtype=object)
+            out[f"c{k}"] = pd.array([f[k][1] for f in found], dtype="Int64")
+        return pd.DataFrame(out)
+
+    return run.asNondeterministic()
 
 
 def apply_exact(rows: DataFrame, func_id: str, bodies: dict, *operands: Column | str) -> DataFrame:

@@ -486,9 +486,8 @@ def _(spark, sf_dir):
 
 @query("eval_loop")
 def _(spark, sf_dir):
-    rows = operands(spark, sf_dir)
-    one = evaluation.apply_operator(rows, "l1", X.BODIES, F.col("a"), F.col("b")).withColumnsRenamed({"value": "sum_value", "cost": "sum_cost"})
-    return evaluation.apply_operator(one, "l2", X.BODIES, F.col("a"), F.col("b")).withColumnsRenamed({"value": "power_value", "cost": "power_cost"})
+    rows = evaluation.apply_operators(operands(spark, sf_dir), {"sum": "l1", "power": "l2"}, X.BODIES, F.col("a"), F.col("b"))
+    return rows.select("l_orderkey", "l_linenumber", "a", "b", *[F.col(f"{n}.{part}").alias(f"{n}_{part}") for n in ("sum", "power") for part in ("value", "cost")])
 
 
 @query("eval_nested_loop")
@@ -499,10 +498,9 @@ def _(spark, sf_dir):
 
 @query("call_binary")
 def _(spark, sf_dir):
-    rows = operands(spark, sf_dir)
-    for f in ("p1", "m1", "t1", "d1", "r1"):
-        rows = evaluation.apply_operator(rows, f, X.BODIES, F.col("a"), F.col("b")).drop("cost").withColumnRenamed("value", f)
-    return rows
+    names = ("p1", "m1", "t1", "d1", "r1")
+    rows = evaluation.apply_operators(operands(spark, sf_dir), {f: f for f in names}, X.BODIES, F.col("a"), F.col("b"))
+    return rows.select("l_orderkey", "l_linenumber", "a", "b", *[F.col(f"{f}.value").alias(f) for f in names])
 
 
 @query("cmp")

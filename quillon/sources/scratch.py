@@ -23,4 +23,14 @@ def path(spark: SparkSession, label: str) -> str:
 def save(df: DataFrame, label: str) -> DataFrame:
     at = path(df.sparkSession, label)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._quillon_path = at
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete tables that save() wrote and nothing will read again."""
+    for df in saved:
+        spark = df.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quillon_path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
