@@ -96,20 +96,19 @@ def levels(cat: DataFrame, weight: Column | None = None) -> DataFrame:
     left = save(to.join(ins, "dst", "left").select("dst", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("long").alias("level")), "left")
     gone = []
     while True:
-        ready = save(left.where("left = 0").select("dst", "level"), "ready")
+        ready = left.where("left = 0").select("dst", "level")
         if ready.isEmpty():
             break
-        gone.append(ready)
+        gone.append(left)
         given = between.join(ready.select(F.col("dst").alias("from"), "level"), "from").groupBy("dst").agg(F.count("*").alias("n"), F.max(F.col("level") + F.col("gain")).alias("up"))
-        before, left = left, save(left.where("left > 0").join(given, "dst", "left").select("dst", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), "left")
-        discard(before)
+        left = save(left.where("left > 0").join(given, "dst", "left").select("dst", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")), "left")
     if not left.isEmpty():
         raise ValueError("the dependencies have a cycle")
     if not gone:
         return runs.select("func_id", F.col("dist").alias("level"))
-    heads = gone[0]
+    heads = gone[0].where("left = 0")
     for part in gone[1:]:
-        heads = heads.unionAll(part)
+        heads = heads.unionAll(part.where("left = 0"))
     out = save(runs.join(heads.select(F.col("dst").alias("head"), "level"), "head").select("func_id", (F.col("level") + F.col("dist")).alias("level")), "levels")
     discard(nodes, step, runs, between, left, *gone)
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import language as L
 from ..schema import OPERATOR
@@ -60,6 +61,37 @@ def catalog(spark: SparkSession, extra: list[dict] = ()) -> DataFrame:
     return spark.createDataFrame([tuple(r[f.name] for f in OPERATOR.fields) for r in [*records(), *extra]], OPERATOR)
 
 
+DERIVED_SIGNS = ("+", "-", "*", "/", "%", "⊕")
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator for each part: it calls addition and the operator of half its key, so that keys are a tree; even ones are recursive."""
+    k = F.col("p_partkey").cast("long")
+    key, half, binary = k.cast("string"), F.floor(k / 2).cast("string"), k % 3 == 0
+    shape = F.when(binary, F.lit(None)).when(k % 3 == 1, "prefix").otherwise("postfix")
+    args, sign = F.when(binary, "a, b").otherwise("a"), F.get(F.array(*map(F.lit, DERIVED_SIGNS)), F.pmod(F.floor(k / 3), F.lit(len(DERIVED_SIGNS))).cast("int"))
+    inner = F.when(k > 1, F.concat(F.lit("op_f"), half, F.lit("("), args, F.lit(")"))).otherwise("a")
+    source = lambda name: F.concat(F.lit(f"def {name}_f"), key, F.lit("("), args, F.lit("):\n    return op_p1("), inner, F.lit(", "), F.when(binary, "b").otherwise("a"), F.lit(")"))
+    bits = F.length(F.conv(key, 10, 2))
+    columns = {
+        "id": k + 1000, "func_id": F.concat(F.lit("f"), key), "symbol": sign, "n_ary": F.when(binary, 2).otherwise(1), "unary_position": shape, "n_order": bits - F.bit_count(k) + 1, "is_base": F.lit(None), "definition": F.concat(F.lit("part "), key),
+        "definition_type": F.when(k % 2 == 0, "recursive_definition").otherwise("simple_definition"), "priority": k % 7 + 1, "associativity_direction": F.when(k % 2 == 0, "right").otherwise("left"), "op_compute_func": source("op"), "op_count_func": source("op_count"),
+        "dependencies": F.when(k > 1, F.array(F.lit("p1"), F.concat(F.lit("f"), half))).otherwise(F.array(F.lit("p1"))),
+    }
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in OPERATOR.fields])
+
+
+def _source_sql(name: str) -> str:
+    args, last = "CASE WHEN k % 3 = 0 THEN 'a, b' ELSE 'a' END", "CASE WHEN k % 3 = 0 THEN 'b' ELSE 'a' END"
+    return f"'def {name}_f' || k || '(' || {args} || '):' || chr(10) || '    return op_p1(' || CASE WHEN k > 1 THEN 'op_f' || (k // 2) || '(' || {args} || ')' ELSE 'a' END || ', ' || {last} || ')'"
+
+
+DERIVED_SQL = f"""SELECT k + 1000 AS id, 'f' || k AS func_id, [{", ".join(f"'{x}'" for x in DERIVED_SIGNS)}][((k // 3) % {len(DERIVED_SIGNS)})::INT + 1] AS symbol, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS n_ary,
+  CASE k % 3 WHEN 0 THEN NULL WHEN 1 THEN 'prefix' ELSE 'postfix' END AS unary_position, (length(to_base(k, 2)) - bit_count(k) + 1)::INT AS n_order, NULL::INT AS is_base, 'part ' || k AS definition,
+  CASE WHEN k % 2 = 0 THEN 'recursive_definition' ELSE 'simple_definition' END AS definition_type, (k % 7 + 1)::INT AS priority, CASE WHEN k % 2 = 0 THEN 'right' ELSE 'left' END AS associativity_direction,
+  {_source_sql("op")} AS op_compute_func, {_source_sql("op_count")} AS op_count_func, CASE WHEN k > 1 THEN ['p1', 'f' || (k // 2)] ELSE ['p1'] END AS dependencies FROM (SELECT p_partkey::BIGINT AS k FROM part)"""
+
+
 def sql_value(v) -> str:
     if v is None:
         return "NULL"
@@ -71,8 +103,8 @@ def sql_value(v) -> str:
 CASTS = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER", "array<string>": "VARCHAR[]"}
 
 
-def catalog_sql(extra: list[dict] = ()) -> str:
-    """cat: the same rows as a common table expression."""
+def catalog_sql(extra: list[dict] = (), parts: bool = False) -> str:
+    """cat: the same rows as a common table expression; with parts, those of derived() too."""
     rows = ",\n".join("(" + ", ".join(sql_value(r[f.name]) for f in OPERATOR.fields) + ")" for r in [*records(), *extra])
     names = ", ".join(f.name for f in OPERATOR.fields)
-    return f"raw_cat({names}) AS (VALUES {rows}), cat AS (SELECT " + ", ".join(f"{f.name}::{CASTS[f.dataType.simpleString()]} AS {f.name}" for f in OPERATOR.fields) + " FROM raw_cat)"
+    return f"raw_cat({names}) AS (VALUES {rows}), cat AS (SELECT " + ", ".join(f"{f.name}::{CASTS[f.dataType.simpleString()]} AS {f.name}" for f in OPERATOR.fields) + f" FROM raw_cat{' UNION ALL ' + DERIVED_SQL if parts else ''})"

@@ -7,6 +7,7 @@ from . import fixtures as X
 from .queries import BAD_LINES, EXTRA, POSTFIX
 
 CAT, CAT_X = X.catalog_sql(), X.catalog_sql(EXTRA)
+WIDE, WIDE_X = X.catalog_sql(parts=True), X.catalog_sql(EXTRA, True)
 FIELDS = "id, func_id, symbol, n_ary, unary_position, n_order, is_base, definition, definition_type, priority, associativity_direction, op_compute_func, op_count_func, dependencies"
 LINE = "SELECT l_orderkey, l_linenumber, l_partkey AS a, (l_linenumber - 3)::BIGINT AS b FROM lineitem"
 
@@ -218,7 +219,7 @@ def _text(v: str) -> str:
 
 _floor_mod = lambda x, y: f"({x} - {y} * floor({x}::DOUBLE / {y})::BIGINT)"
 _RULES = {
-    "dependency_export": f"WITH {CAT}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat) SELECT func_id AS primitive_op_id, coalesce((SELECT list(DISTINCT dst ORDER BY dst) FROM e WHERE src = func_id), []::VARCHAR[]) AS derived_op_id_list, CASE func_id WHEN 'l3' THEN 2 WHEN 's1' THEN 1 WHEN 'b1' THEN 1 WHEN 'l1' THEN 1 WHEN 'l2' THEN 1 ELSE 0 END::INT AS level FROM cat",
+    "dependency_export": f"WITH RECURSIVE {WIDE}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT func_id, 0 AS level FROM cat UNION SELECT dst, level + 1 FROM r JOIN e ON src = r.func_id), m AS (SELECT func_id, max(level)::INT AS level FROM r GROUP BY 1), d AS (SELECT src, list(DISTINCT dst ORDER BY dst) AS derived FROM e GROUP BY src) SELECT m.func_id AS primitive_op_id, coalesce(derived, []::VARCHAR[]) AS derived_op_id_list, level FROM m LEFT JOIN d ON d.src = m.func_id",
 }
 _def_key, _sh = "o_orderkey", shape("o_orderkey")
 _lhs = "CASE shape WHEN 'binary' THEN 'a⊛b' WHEN 'prefix' THEN '⊛a' ELSE 'a⊛' END"
@@ -251,38 +252,38 @@ def _single(id_: str, key: str, func: str, source: str) -> str:
 
 
 ORACLES: dict[str, str] = _RULES | {
-    "catalog_load": f"WITH {CAT} SELECT {FIELDS} FROM cat UNION ALL SELECT NULL, 'ok1', '#', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    "catalog_load": f"WITH {WIDE} SELECT {FIELDS} FROM cat UNION ALL SELECT NULL, 'ok1', '#', 2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
     "operator_record_parse": "SELECT i AS line, i = 5 AS ok, CASE WHEN i = 5 THEN 'ok1' END AS func_id FROM range(6) t(i)",
-    "operator_to_json": f"WITH {CAT} SELECT func_id, to_json({{{', '.join(f'{c!r}: {c}' for c in FIELDS.split(', '))}}})::VARCHAR AS json FROM cat",
-    "operator_project": f"WITH {CAT} SELECT {FIELDS} FROM cat",
-    "catalog_save": f"WITH {CAT} SELECT {FIELDS} FROM cat",
-    "op_source_dump": f"WITH {CAT} SELECT id AS place, func_id, '# Operator ID: ' || func_id || ' - op_compute_func' || chr(10) || op_compute_func || chr(10) || chr(10) || '# Operator ID: ' || func_id || ' - op_count_func' || chr(10) || op_count_func || chr(10) || chr(10) AS text FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 0, NULL, 'thres = 2147483647' || chr(10) || chr(10)",
+    "operator_to_json": f"WITH {WIDE} SELECT func_id, to_json({{{', '.join(f'{c!r}: {c}' for c in FIELDS.split(', '))}}})::VARCHAR AS json FROM cat",
+    "operator_project": f"WITH {WIDE} SELECT {FIELDS} FROM cat",
+    "catalog_save": f"WITH {WIDE} SELECT {FIELDS} FROM cat",
+    "op_source_dump": f"WITH {WIDE} SELECT id AS place, func_id, '# Operator ID: ' || func_id || ' - op_compute_func' || chr(10) || op_compute_func || chr(10) || chr(10) || '# Operator ID: ' || func_id || ' - op_count_func' || chr(10) || op_count_func || chr(10) || chr(10) AS text FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 0, NULL, 'thres = 2147483647' || chr(10) || chr(10)",
     "catalog_read_keyed": "SELECT 'f' || l_partkey AS func_id, max(l_orderkey * 8 + l_linenumber) AS line, arg_max(l_suppkey, l_orderkey * 8 + l_linenumber) AS payload FROM lineitem WHERE l_partkey % 7 <> 0 GROUP BY l_partkey",
-    "nonbase_func_ids": f"WITH {CAT} SELECT func_id FROM cat WHERE is_base IS NULL",
+    "nonbase_func_ids": f"WITH {WIDE} SELECT func_id FROM cat WHERE is_base IS NULL",
     "existing_count": f"SELECT {len(X.records()) + len(BAD_LINES)}::BIGINT AS there, 0::BIGINT AS absent",
     "op2expr": f"WITH {TREE} SELECT func_id AS op_id, expr_id // 4096 AS bucket, list(DISTINCT expr_id ORDER BY expr_id) AS expr_id FROM nodes WHERE func_id IS NOT NULL GROUP BY 1, 2",
     "lookup_func_id": f"WITH {CAT}, w AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'p' ELSE 'l' END || l_linenumber AS func_id FROM lineitem) SELECT w.func_id, symbol IS NOT NULL AS found, symbol FROM w LEFT JOIN cat USING (func_id)",
-    "lookup_symbol": f"WITH {CAT_X} SELECT func_id, symbol FROM cat WHERE symbol = '⊕'",
-    "distinct_symbols": f"WITH {CAT_X} SELECT DISTINCT symbol FROM cat",
+    "lookup_symbol": f"WITH {WIDE_X} SELECT func_id, symbol FROM cat WHERE symbol = '⊕'",
+    "distinct_symbols": f"WITH {WIDE_X} SELECT DISTINCT symbol FROM cat",
     "resolve_overload": "SELECT * FROM (VALUES ('⊕', 2::INT, NULL::VARCHAR, 's1'), ('∇', 1, 'prefix', 'b1'), ('∇', 1, 'postfix', NULL), ('?', 2, NULL, NULL), ('‰', 1, 'postfix', 'q1')) t(symbol, n_ary, unary_position, func_id)",
-    "lookup_base": f"WITH {CAT} SELECT func_id, symbol, is_base FROM cat WHERE is_base = 16",
-    "arity_partition": f"WITH {CAT_X} SELECT coalesce(unary_position, 'binary') AS shape, list(func_id ORDER BY func_id) AS func_ids FROM cat GROUP BY 1",
-    "sort_by_priority": f"WITH {CAT} SELECT func_id, priority, row_number() OVER (ORDER BY priority, id) AS place FROM cat",
-    "generation_pool": f"WITH {CAT} SELECT func_id, coalesce(unary_position, 'binary') AS shape FROM cat WHERE is_base IS NULL",
-    "order_pool": f"WITH {CAT} SELECT func_id, n_order = 2 AS is_target FROM cat WHERE n_order <= 2",
+    "lookup_base": f"WITH {WIDE} SELECT func_id, symbol, is_base FROM cat WHERE is_base = 16",
+    "arity_partition": f"WITH {WIDE_X} SELECT coalesce(unary_position, 'binary') AS shape, list(func_id ORDER BY func_id) AS func_ids FROM cat GROUP BY 1",
+    "sort_by_priority": f"WITH {WIDE} SELECT func_id, priority, row_number() OVER (ORDER BY priority, id) AS place FROM cat",
+    "generation_pool": f"WITH {WIDE} SELECT func_id, coalesce(unary_position, 'binary') AS shape FROM cat WHERE is_base IS NULL",
+    "order_pool": f"WITH {WIDE} SELECT func_id, n_order = 2 AS is_target FROM cat WHERE n_order <= 2",
     "recursive_call_pool": f"SELECT o_orderkey AS key, {pick(('l1', 'l2'), bits('o_orderkey', 'callee') + ' % 2')} AS func_id FROM orders",
     "catalog_add": f"WITH {X.catalog_sql([POSTFIX])} SELECT func_id, symbol FROM cat",
-    "catalog_remove": f"WITH {CAT} SELECT func_id FROM cat WHERE func_id <> 's1'",
-    "catalog_update": f"WITH {CAT} SELECT func_id, CASE WHEN func_id = 's1' THEN '⊎' ELSE symbol END AS symbol, CASE WHEN func_id <> 's1' THEN n_order END AS n_order FROM cat",
-    "temporary_flag": f"WITH {CAT} SELECT func_id, func_id = 'b1' AS is_temporary FROM cat",
-    "cascade_closure": f"WITH RECURSIVE {CAT}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT 'p1' AS func_id UNION SELECT dst FROM e JOIN r ON src = r.func_id) SELECT func_id FROM r",
-    "cascade_delete": f"WITH RECURSIVE {CAT}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT 'p1' AS func_id UNION SELECT dst FROM e JOIN r ON src = r.func_id) SELECT func_id FROM cat WHERE func_id NOT IN (SELECT func_id FROM r)",
-    "renumber": f"WITH {CAT}, n AS (SELECT func_id, row_number() OVER (ORDER BY func_id) AS new_id, dependencies FROM cat) SELECT func_id, new_id, list_transform(dependencies, lambda d: (SELECT m.new_id FROM n m WHERE m.func_id = d)) AS new_dependencies FROM n".replace("list_transform(dependencies, lambda d: (SELECT m.new_id FROM n m WHERE m.func_id = d))", "coalesce((SELECT list(m.new_id ORDER BY list_position(n.dependencies, m.func_id)) FROM n m WHERE list_contains(n.dependencies, m.func_id)), []::BIGINT[])"),
+    "catalog_remove": f"WITH {WIDE} SELECT func_id FROM cat WHERE func_id <> 's1'",
+    "catalog_update": f"WITH {WIDE} SELECT func_id, CASE WHEN func_id = 's1' THEN '⊎' ELSE symbol END AS symbol, CASE WHEN func_id <> 's1' THEN n_order END AS n_order FROM cat",
+    "temporary_flag": f"WITH {WIDE} SELECT func_id, func_id = 'b1' AS is_temporary FROM cat",
+    "cascade_closure": f"WITH RECURSIVE {WIDE}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT 'p1' AS func_id UNION SELECT dst FROM e JOIN r ON src = r.func_id) SELECT func_id FROM r",
+    "cascade_delete": f"WITH RECURSIVE {WIDE}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT 'p1' AS func_id UNION SELECT dst FROM e JOIN r ON src = r.func_id) SELECT func_id FROM cat WHERE func_id NOT IN (SELECT func_id FROM r)",
+    "renumber": f"WITH {WIDE}, n AS (SELECT func_id, row_number() OVER (ORDER BY func_id) AS new_id, dependencies FROM cat) SELECT func_id, new_id, list_transform(dependencies, lambda d: (SELECT m.new_id FROM n m WHERE m.func_id = d)) AS new_dependencies FROM n".replace("list_transform(dependencies, lambda d: (SELECT m.new_id FROM n m WHERE m.func_id = d))", "coalesce((SELECT list(m.new_id ORDER BY list_position(n.dependencies, m.func_id)) FROM n m WHERE list_contains(n.dependencies, m.func_id)), []::BIGINT[])"),
     "symbol_dedupe": f"WITH {CAT_X} SELECT func_id, CASE func_id WHEN 'z9' THEN '∀' ELSE symbol END AS symbol FROM cat",
-    "extract_deps": f"WITH {CAT} SELECT func_id, coalesce(list_filter(list_distinct_ordered, lambda x: x <> func_id), []::VARCHAR[]) AS deps FROM (SELECT func_id, (SELECT list(d ORDER BY nth) FROM (SELECT d, min(nth) AS nth FROM (SELECT unnest(ds) AS d, generate_subscripts(ds, 1) AS nth FROM (SELECT regexp_extract_all(op_compute_func, 'op_(\\w+)\\(', 1) AS ds)) GROUP BY d)) AS list_distinct_ordered FROM cat)",
-    "calc_order": f"WITH {CAT} SELECT func_id, n_order FROM cat WHERE is_base IS NULL",
-    "dep_edges": f"WITH {CAT} SELECT func_id AS dst, len(dependencies)::BIGINT AS in_degree FROM cat WHERE len(dependencies) > 0",
-    "topo_sort": f"WITH RECURSIVE {CAT}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT func_id, 0 AS level FROM cat UNION SELECT dst, level + 1 FROM r JOIN e ON src = r.func_id), m AS (SELECT func_id, max(level)::INT AS level FROM r GROUP BY 1) SELECT func_id, level, row_number() OVER (ORDER BY level, func_id) AS place FROM m",
+    "extract_deps": f"WITH {WIDE} SELECT func_id, coalesce(list_filter(list_distinct_ordered, lambda x: x <> func_id), []::VARCHAR[]) AS deps FROM (SELECT func_id, (SELECT list(d ORDER BY nth) FROM (SELECT d, min(nth) AS nth FROM (SELECT unnest(ds) AS d, generate_subscripts(ds, 1) AS nth FROM (SELECT regexp_extract_all(op_compute_func, 'op_(\\w+)\\(', 1) AS ds)) GROUP BY d)) AS list_distinct_ordered FROM cat)",
+    "calc_order": f"WITH {WIDE} SELECT func_id, n_order FROM cat WHERE is_base IS NULL",
+    "dep_edges": f"WITH {WIDE} SELECT func_id AS dst, len(dependencies)::BIGINT AS in_degree FROM cat WHERE len(dependencies) > 0",
+    "topo_sort": f"WITH RECURSIVE {WIDE}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT func_id, 0 AS level FROM cat UNION SELECT dst, level + 1 FROM r JOIN e ON src = r.func_id), m AS (SELECT func_id, max(level)::INT AS level FROM r GROUP BY 1) SELECT func_id, level, row_number() OVER (ORDER BY level, func_id) AS place FROM m",
     "assign_priority": f"SELECT {len(X.records())}::BIGINT AS n, 0::BIGINT AS wrong_side, 1::BIGINT AS sides_per_priority, true AS dense",
     "op_usage": f"WITH {TREE} SELECT expr_id, func_id, count(*) AS n FROM nodes WHERE func_id IS NOT NULL GROUP BY 1, 2",
     "base_convert": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{base_digits('((l_partkey - 1000) * l_linenumber)', b)} AS base{b}" for b in (2, 3, 16, 36)) + " FROM lineitem",
@@ -308,7 +309,7 @@ ORACLES: dict[str, str] = _RULES | {
     "cond_operand": f"SELECT o_orderkey, {operand('o_orderkey', 'c0', variable('o_orderkey', 'c0/var', chr(39) + 'binary' + chr(39)))} AS operand FROM orders",
     "recursive_operator_gen": recursive_operators("o_orderkey"),
     "eval_nested_loop": f"SELECT *, (CASE WHEN b >= 0 OR b % 2 = 0 THEN 1 ELSE -1 END * power(a, abs(b)))::BIGINT::VARCHAR AS value, greatest(abs(b) * greatest(a, 1), 1)::BIGINT AS cost FROM (SELECT l_orderkey, l_linenumber, l_partkey % 9 AS a, (l_linenumber - 3)::BIGINT AS b FROM lineitem)",
-    "lhs_gen": f"WITH {CAT_X} SELECT func_id, CASE coalesce(unary_position, 'binary') WHEN 'binary' THEN 'a' || symbol || 'b' WHEN 'prefix' THEN symbol || 'a' ELSE 'a' || symbol END AS lhs FROM cat",
+    "lhs_gen": f"WITH {WIDE_X} SELECT func_id, CASE coalesce(unary_position, 'binary') WHEN 'binary' THEN 'a' || symbol || 'b' WHEN 'prefix' THEN symbol || 'a' ELSE 'a' || symbol END AS lhs FROM cat",
     "definition_gen": f"SELECT key, shape, definition_type, {_lhs} || ' = {{ ' || CASE WHEN definition_type = 'simple_definition' THEN {body('key', 'b0', 'shape')} ELSE {branches('key', 'shape')} END || ' }}' AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape, CASE WHEN {bits('o_orderkey', 'type')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM orders)",
     "definition_parse": "SELECT 'd' || o_orderkey AS func_id, o_orderkey % 9 <> 0 AS ok, o_orderkey % 9 <> 0 AS compiled FROM orders",
     "decompile": f"SELECT 'd' || key AS func_id, regexp_replace({body('key', 'b0', 'shape')}, ' ', '', 'g') AS definition FROM (SELECT o_orderkey AS key, {_sh} AS shape FROM orders WHERE {bits('o_orderkey', 'type')} % 2 = 0)",
@@ -347,20 +348,20 @@ ORACLES: dict[str, str] = _RULES | {
     "evaluate": f"{ROOT}, {USED}, tr AS (SELECT expr_id, to_json(list({{'info': info, 'layer': depth}} ORDER BY {POST}))::VARCHAR AS cot_info, to_json(list({{'info': step, 'layer': depth}} ORDER BY {POST}) FILTER (WHERE kind <> 'num'))::VARCHAR AS cot, bool_or(longer) AS longer FROM u GROUP BY expr_id) "
     f"SELECT id, nb AS expression_no_base_symbol, t AS expression, 1::INT AS highest_n_order, prs AS priority_hierarchical_complexity, degree::VARCHAR AS normalized_expansion_degree, ops AS operation_count, round(degree / ops::DOUBLE, 6) AS complexity_ratio, json AS tree, fs AS used_operators, "
     f"flatten(list_transform(fs, lambda f: {DEPS})) AS dependent_operators, {spelled('v')} AS result, '{{\"target_base\":10,\"flag\":' || longer || '}}' AS longer_result_info, cot_info, 10::INT AS base, 10::INT AS result_base, t || '=' || {spelled('v')} AS text, cot FROM rt JOIN used ON used.expr_id = id JOIN tr ON tr.expr_id = id",
-    "uses_both_args": f"WITH {CAT_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 2",
-    "uses_arg": f"WITH {CAT_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 1",
-    "not_wrapper": f"WITH {CAT_X} SELECT func_id, NOT ({_wrapper}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
-    "distinct_returns": f"WITH {CAT_X} SELECT func_id, len(list_distinct({_returns})) = len({_returns}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
-    "body_hash": f"WITH {CAT_X} SELECT func_id, sha256({_bodies}) AS hash FROM cat WHERE op_compute_func IS NOT NULL",
-    "body_dedupe": f"WITH {CAT_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND {_bodies} NOT IN (SELECT {_bodies} FROM cat WHERE op_compute_func IS NOT NULL AND id <= 12 AND func_id <> 's1') GROUP BY {_bodies}",
+    "uses_both_args": f"WITH {WIDE_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 2",
+    "uses_arg": f"WITH {WIDE_X} SELECT func_id, {_uses} AS ok FROM cat WHERE op_compute_func IS NOT NULL AND n_ary = 1",
+    "not_wrapper": f"WITH {WIDE_X} SELECT func_id, NOT ({_wrapper}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
+    "distinct_returns": f"WITH {WIDE_X} SELECT func_id, len(list_distinct({_returns})) = len({_returns}) AS ok FROM cat WHERE op_compute_func IS NOT NULL",
+    "body_hash": f"WITH {WIDE_X} SELECT func_id, sha256({_bodies}) AS hash FROM cat WHERE op_compute_func IS NOT NULL",
+    "body_dedupe": f"WITH {WIDE_X} SELECT arg_min(func_id, id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND {_bodies} NOT IN (SELECT {_bodies} FROM cat WHERE op_compute_func IS NOT NULL AND id <= 12 AND func_id <> 's1') GROUP BY {_bodies}",
     "order_match": "SELECT * FROM (VALUES ('l1'), ('l2')) t(func_id)",
     "accept_pipeline": f"WITH {CAT_X} SELECT min(func_id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 AND n_order = 1 AND ({_uses}) AND NOT ({_wrapper}) AND len(list_distinct({_returns})) = len({_returns}) GROUP BY {_bodies}",
     "property_check": f"WITH {CAT_X} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 UNION ALL SELECT 't9', false",
     "layer_sizes": "SELECT * FROM (VALUES (1::INT, 43372::BIGINT), (2, 26023), (3, 15614), (4, 9368), (5, 5623)) t(layer, size)",
-    "order_histogram": f"WITH {CAT} SELECT i::INT AS n_order, count(n_order) AS n FROM range(1, 6) t(i) LEFT JOIN cat ON n_order = i GROUP BY i",
-    "layer_deficit": f"WITH {CAT}, s(layer, size) AS (VALUES (1, 43), (2, 26), (3, 15), (4, 9), (5, 7)) SELECT layer::INT AS layer, greatest(size - (SELECT count(*) FROM cat WHERE n_order = layer), 0)::BIGINT AS missing FROM s",
+    "order_histogram": f"WITH {WIDE} SELECT i::INT AS n_order, count(n_order) AS n FROM range(1, 6) t(i) LEFT JOIN cat ON n_order = i GROUP BY i",
+    "layer_deficit": f"WITH {WIDE}, s(layer, size) AS (VALUES (1, 43), (2, 26), (3, 15), (4, 9), (5, 7)) SELECT layer::INT AS layer, greatest(size - (SELECT count(*) FROM cat WHERE n_order = layer), 0)::BIGINT AS missing FROM s",
     "type_mix": f"SELECT o_orderkey, CASE WHEN k <= n * 0.2::DOUBLE // 1 THEN 'simple_definition' WHEN k <= 2 * (n * 0.2::DOUBLE // 1) THEN 'branch_definition' WHEN {bits('o_orderkey', 'mix')} % 2 = 0 THEN 'simple_definition' ELSE 'branch_definition' END AS definition_type FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k, count(*) OVER () AS n FROM orders)".replace("n * 0.2::DOUBLE // 1", "floor(n * 0.2::DOUBLE)"),
-    "sequence_ids": f"WITH {CAT} SELECT func_id, row_number() OVER (ORDER BY func_id) + 100 AS id FROM cat",
+    "sequence_ids": f"WITH {WIDE} SELECT func_id, row_number() OVER (ORDER BY func_id) + 100 AS id FROM cat",
     "resume_topup": "SELECT i AS id, 1::BIGINT AS times FROM range(1, 101) t(i)",
     "per_op_corpus": f"SELECT id, func_id, expression || '=' || value AS text FROM ({_single('i', 'op_key', 'f', _PER_OP)})",
     "base_record": f"SELECT l_orderkey, l_linenumber, v::VARCHAR AS value, c AS cost, '⊠' || to_base(v, 16) AS literal, '(∇' || a || ')=' || v AS text FROM (SELECT *, CASE WHEN a > 10 AND a % 2 = 0 THEN a * a ELSE a + 1 END AS v, CASE WHEN a > 10 AND a % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS c FROM ({LINE}))",
@@ -370,7 +371,7 @@ ORACLES: dict[str, str] = _RULES | {
     "call_postfix": f"SELECT l_orderkey, l_linenumber, (b * b)::VARCHAR AS value FROM ({LINE})",
     "loop_args": f"SELECT l_orderkey, l_linenumber, a, b, {_text('x1')} AS rr, {_text('x2')} AS ra, {_text('x3')} AS rb, {_text('x2')} AS ar, {_text('x3')} AS br, {_text('y1')} AS rr_product, {_text('y2')} AS ra_product, {_text('y3')} AS rb_product, {_text('y2')} AS ar_product, {_text('y3')} AS br_product "
     f"FROM (SELECT *, {_loop('r + r', 'a')} AS x1, {_loop('r + a', 'a')} AS x2, {_loop('r + b', 'a')} AS x3, {_loop('r * r', 'a')} AS y1, {_loop('r * a', 'a')} AS y2, {_loop('r * b', 'a')} AS y3 FROM ({LINE}))",
-    "valid_syntax": f"WITH {CAT} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
+    "valid_syntax": f"WITH {WIDE} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL UNION ALL SELECT 'bad', false",
     "expr_str": f"{fold(True)} SELECT expr_id, t AS expression, length(t)::BIGINT AS n_chars FROM u0",
     "cot_info_trace": f"{fold()} SELECT expr_id AS id, row_number() OVER (PARTITION BY expr_id ORDER BY {POST}) - 1 AS step, info, depth AS layer FROM u",
     "branch_gen": f"SELECT o_orderkey AS key, (1 + {between('o_orderkey', 'branches', 1, 2)})::INT AS branches FROM orders WHERE {bits('o_orderkey', 'type')} % 2 <> 0",

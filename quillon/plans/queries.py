@@ -42,8 +42,10 @@ def query(name: str):
     return put
 
 
-def cat(spark, extra=()):
-    return X.catalog(spark, list(extra))
+def cat(spark, extra=(), parts=None):
+    """The fixture's catalog; with parts, a folder of tables, the operators of its parts too."""
+    rows = X.catalog(spark, list(extra))
+    return rows if parts is None else rows.unionByName(X.derived(spark, parts))
 
 
 def table(spark, sf_dir, name):
@@ -76,16 +78,16 @@ def tree_operators(spark):
 # Sources and sinks
 
 
-def _written(spark):
+def _written(spark, parts=None):
     at = scratch.path(spark, "catalog")
-    lines = jsonl.to_json(cat(spark))
-    cat(spark).select(lines.alias("value")).unionAll(spark.createDataFrame([(x,) for x in BAD_LINES], "value string")).write.text(at)
+    rows = cat(spark, parts=parts)
+    rows.select(jsonl.to_json(rows).alias("value")).unionAll(spark.createDataFrame([(x,) for x in BAD_LINES], "value string")).write.text(at)
     return at
 
 
 @query("catalog_load")
 def _(spark, sf_dir):
-    return jsonl.load(spark, _written(spark))
+    return jsonl.load(spark, _written(spark, sf_dir))
 
 
 @query("operator_record_parse")
@@ -96,24 +98,24 @@ def _(spark, sf_dir):
 
 @query("operator_to_json")
 def _(spark, sf_dir):
-    return cat(spark).select("func_id", jsonl.to_json(cat(spark)).alias("json"))
+    return cat(spark, parts=sf_dir).select("func_id", jsonl.to_json(cat(spark, parts=sf_dir)).alias("json"))
 
 
 @query("operator_project")
 def _(spark, sf_dir):
-    return cat(spark).select(*[f.name for f in OPERATOR.fields])
+    return cat(spark, parts=sf_dir).select(*[f.name for f in OPERATOR.fields])
 
 
 @query("catalog_save")
 def _(spark, sf_dir):
     at = scratch.path(spark, "saved")
-    jsonl.save(cat(spark), at)
+    jsonl.save(cat(spark, parts=sf_dir), at)
     return spark.read.schema(OPERATOR).json(at)
 
 
 @query("op_source_dump")
 def _(spark, sf_dir):
-    return jsonl.sources_text(cat(spark))
+    return jsonl.sources_text(cat(spark, parts=sf_dir))
 
 
 @query("catalog_read_keyed")
@@ -124,7 +126,7 @@ def _(spark, sf_dir):
 
 @query("nonbase_func_ids")
 def _(spark, sf_dir):
-    return cat(spark).where("is_base IS NULL").select("func_id")
+    return cat(spark, parts=sf_dir).where("is_base IS NULL").select("func_id")
 
 
 @query("existing_count")
@@ -134,7 +136,7 @@ def _(spark, sf_dir):
 
 @query("dependency_export")
 def _(spark, sf_dir):
-    return C.dependency_rows(cat(spark))
+    return C.dependency_rows(cat(spark, parts=sf_dir)).withColumn("level", F.col("level").cast("int"))
 
 
 @query("op2expr")
@@ -153,12 +155,12 @@ def _(spark, sf_dir):
 
 @query("lookup_symbol")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("symbol = '⊕'").select("func_id", "symbol")
+    return cat(spark, EXTRA, sf_dir).where("symbol = '⊕'").select("func_id", "symbol")
 
 
 @query("distinct_symbols")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).select("symbol").distinct()
+    return cat(spark, EXTRA, sf_dir).select("symbol").distinct()
 
 
 @query("resolve_overload")
@@ -169,27 +171,27 @@ def _(spark, sf_dir):
 
 @query("lookup_base")
 def _(spark, sf_dir):
-    return cat(spark).where("is_base = 16").select("func_id", "symbol", "is_base")
+    return cat(spark, parts=sf_dir).where("is_base = 16").select("func_id", "symbol", "is_base")
 
 
 @query("arity_partition")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).groupBy(C.shape().alias("shape")).agg(F.sort_array(F.collect_list("func_id")).alias("func_ids"))
+    return cat(spark, EXTRA, sf_dir).groupBy(C.shape().alias("shape")).agg(F.sort_array(F.collect_list("func_id")).alias("func_ids"))
 
 
 @query("sort_by_priority")
 def _(spark, sf_dir):
-    return cat(spark).select("func_id", "priority", F.row_number().over(Window.orderBy("priority", "id")).cast("long").alias("place"))
+    return cat(spark, parts=sf_dir).select("func_id", "priority", "id").transform(lambda t: C.numbered(t, F.col("priority"), F.col("id"))).select("func_id", "priority", F.col("place").cast("long").alias("place"))
 
 
 @query("generation_pool")
 def _(spark, sf_dir):
-    return cat(spark).where("is_base IS NULL").select("func_id", C.shape().alias("shape"))
+    return cat(spark, parts=sf_dir).where("is_base IS NULL").select("func_id", C.shape().alias("shape"))
 
 
 @query("order_pool")
 def _(spark, sf_dir):
-    return cat(spark).where("n_order <= 2").select("func_id", (F.col("n_order") == 2).alias("is_target"))
+    return cat(spark, parts=sf_dir).where("n_order <= 2").select("func_id", (F.col("n_order") == 2).alias("is_target"))
 
 
 @query("recursive_call_pool")
@@ -208,32 +210,32 @@ def _(spark, sf_dir):
 
 @query("catalog_remove")
 def _(spark, sf_dir):
-    return C.remove(cat(spark), spark.createDataFrame([("s1",), ("none",)], "func_id string")).select("func_id")
+    return C.remove(cat(spark, parts=sf_dir), spark.createDataFrame([("s1",), ("none",)], "func_id string")).select("func_id")
 
 
 @query("catalog_update")
 def _(spark, sf_dir):
-    return C.update(cat(spark), cat(spark).where("func_id = 's1'").withColumn("symbol", F.lit("⊎"))).select("func_id", "symbol", "n_order")
+    return C.update(cat(spark, parts=sf_dir), cat(spark, parts=sf_dir).where("func_id = 's1'").withColumn("symbol", F.lit("⊎"))).select("func_id", "symbol", "n_order")
 
 
 @query("temporary_flag")
 def _(spark, sf_dir):
-    return cat(spark).select("func_id", (F.col("func_id") == "b1").alias("is_temporary"))
+    return cat(spark, parts=sf_dir).select("func_id", (F.col("func_id") == "b1").alias("is_temporary"))
 
 
 @query("cascade_closure")
 def _(spark, sf_dir):
-    return C.closure(cat(spark), spark.createDataFrame([("p1",)], "func_id string"))
+    return C.closure(cat(spark, parts=sf_dir), spark.createDataFrame([("p1",)], "func_id string"))
 
 
 @query("cascade_delete")
 def _(spark, sf_dir):
-    return C.remove(cat(spark), C.closure(cat(spark), spark.createDataFrame([("p1",)], "func_id string"))).select("func_id")
+    return C.remove(cat(spark, parts=sf_dir), C.closure(cat(spark, parts=sf_dir), spark.createDataFrame([("p1",)], "func_id string"))).select("func_id")
 
 
 @query("renumber")
 def _(spark, sf_dir):
-    return C.renumber(cat(spark))
+    return C.renumber(cat(spark, parts=sf_dir))
 
 
 @query("symbol_dedupe")
@@ -244,23 +246,23 @@ def _(spark, sf_dir):
 
 @query("extract_deps")
 def _(spark, sf_dir):
-    return C.extract_dependencies(cat(spark))
+    return C.extract_dependencies(cat(spark, parts=sf_dir))
 
 
 @query("calc_order")
 def _(spark, sf_dir):
-    return C.orders(cat(spark)).select("func_id", F.col("n_order").cast("int").alias("n_order"))
+    return C.orders(cat(spark, parts=sf_dir)).select("func_id", F.col("n_order").cast("int").alias("n_order"))
 
 
 @query("dep_edges")
 def _(spark, sf_dir):
-    return C.edges(cat(spark)).groupBy("dst").agg(F.count("*").alias("in_degree"))
+    return C.edges(cat(spark, parts=sf_dir)).groupBy("dst").agg(F.count("*").alias("in_degree"))
 
 
 @query("topo_sort")
 def _(spark, sf_dir):
-    at = C.levels(cat(spark))
-    return at.select("func_id", F.col("level").cast("int").alias("level"), F.row_number().over(Window.orderBy("level", "func_id")).cast("long").alias("place"))
+    at = C.levels(cat(spark, parts=sf_dir))
+    return C.numbered(at, F.col("level"), F.col("func_id")).select("func_id", F.col("level").cast("int").alias("level"), F.col("place").cast("long").alias("place"))
 
 
 @query("assign_priority")
@@ -416,7 +418,7 @@ def _(spark, sf_dir):
 
 @query("lhs_gen")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).select("func_id", generation.left_side(F.col("symbol"), C.shape()).alias("lhs"))
+    return cat(spark, EXTRA, sf_dir).select("func_id", generation.left_side(F.col("symbol"), C.shape()).alias("lhs"))
 
 
 @query("definition_gen")
@@ -629,27 +631,27 @@ def _(spark, sf_dir):
 
 @query("uses_both_args")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("op_compute_func IS NOT NULL AND n_ary = 2").select("func_id", generation.uses_arguments(F.col("op_compute_func"), F.col("n_ary")).alias("ok"))
+    return cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL AND n_ary = 2").select("func_id", generation.uses_arguments(F.col("op_compute_func"), F.col("n_ary")).alias("ok"))
 
 
 @query("uses_arg")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("op_compute_func IS NOT NULL AND n_ary = 1").select("func_id", generation.uses_arguments(F.col("op_compute_func"), F.col("n_ary")).alias("ok"))
+    return cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL AND n_ary = 1").select("func_id", generation.uses_arguments(F.col("op_compute_func"), F.col("n_ary")).alias("ok"))
 
 
 @query("not_wrapper")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("func_id", (~generation.is_wrapper(F.col("op_compute_func"), F.col("n_ary"))).alias("ok"))
+    return cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL").select("func_id", (~generation.is_wrapper(F.col("op_compute_func"), F.col("n_ary"))).alias("ok"))
 
 
 @query("distinct_returns")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("func_id", generation.distinct_returns(F.col("op_compute_func")).alias("ok"))
+    return cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL").select("func_id", generation.distinct_returns(F.col("op_compute_func")).alias("ok"))
 
 
 @query("body_hash")
 def _(spark, sf_dir):
-    return cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("func_id", generation.body_hash(F.col("op_compute_func")).alias("hash"))
+    return cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL").select("func_id", generation.body_hash(F.col("op_compute_func")).alias("hash"))
 
 
 @query("body_dedupe")
@@ -657,7 +659,7 @@ def _(spark, sf_dir):
     """By text, with the catalog's own bodies left out."""
     body = F.regexp_replace("op_compute_func", r"^[^\n]*\n", "")
     have = cat(spark).where("op_compute_func IS NOT NULL AND func_id <> 's1'").select(body.alias("body"))
-    rows = cat(spark, EXTRA).where("op_compute_func IS NOT NULL").select("id", "func_id", body.alias("body")).join(have, "body", "left_anti")
+    rows = cat(spark, EXTRA, sf_dir).where("op_compute_func IS NOT NULL").select("id", "func_id", body.alias("body")).join(have, "body", "left_anti")
     return rows.groupBy("body").agg(F.min_by("func_id", "id").alias("func_id")).select("func_id")
 
 
@@ -698,13 +700,13 @@ def _(spark, sf_dir):
 
 @query("order_histogram")
 def _(spark, sf_dir):
-    have = cat(spark).groupBy("n_order").count()
+    have = cat(spark, parts=sf_dir).groupBy("n_order").count()
     return spark.range(1, 6).select(F.col("id").cast("int").alias("n_order")).join(have, "n_order", "left").select("n_order", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 @query("layer_deficit")
 def _(spark, sf_dir):
-    have = cat(spark).groupBy(F.col("n_order").alias("layer")).count()
+    have = cat(spark, parts=sf_dir).groupBy(F.col("n_order").alias("layer")).count()
     return generation.layer_sizes(spark, 100).join(have, "layer", "left").select("layer", F.greatest(F.col("size") - F.coalesce("count", F.lit(0)), F.lit(0)).alias("missing"))
 
 
@@ -718,7 +720,7 @@ def _(spark, sf_dir):
 
 @query("sequence_ids")
 def _(spark, sf_dir):
-    return cat(spark).select("func_id", (F.row_number().over(Window.orderBy("func_id")) + 100).cast("long").alias("id"))
+    return C.numbered(cat(spark, parts=sf_dir).select("func_id"), F.col("func_id")).select("func_id", (F.col("place") + 100).cast("long").alias("id"))
 
 
 @query("resume_topup")
@@ -792,7 +794,7 @@ def _(spark, sf_dir):
 
 @query("valid_syntax")
 def _(spark, sf_dir):
-    return cat(spark, [POSTFIX | {"id": 20, "func_id": "bad", "op_compute_func": "def op_bad(a:\n    return a"}]).where("op_compute_func IS NOT NULL").select("func_id", generation.parses(F.col("op_compute_func")).alias("ok"))
+    return cat(spark, [POSTFIX | {"id": 20, "func_id": "bad", "op_compute_func": "def op_bad(a:\n    return a"}], sf_dir).where("op_compute_func IS NOT NULL").select("func_id", generation.parses(F.col("op_compute_func")).alias("ok"))
 
 
 @query("expr_str")
