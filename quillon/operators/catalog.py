@@ -171,26 +171,6 @@ def dependency_rows(cat: DataFrame) -> DataFrame:
     return levels(cat).join(called, "func_id", "left").select(F.col("func_id").alias("primitive_op_id"), F.coalesce("derived", F.array().cast("array<string>")).alias("derived_op_id_list"), "level")
 
 
-def assign_priorities(rows: list[tuple], seed: str = "quillon") -> list[tuple[str, int, str]]:
-    """(func_id, shape, id) rows -> (func_id, priority, side). A fold: each draw depends on the levels opened so far.
-
-    Prefix operators take right-associative levels, postfix ones left-associative levels, binary ones any; each may open a level above the highest.
-    """
-    import hashlib
-
-    draw = lambda key, n: int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16) % n
-    sides: list[str] = []
-    out = []
-    for func_id, kind, _ in sorted(rows, key=lambda r: ({"prefix": 0, "postfix": 1, "binary": 2}[r[1]], r[2])):
-        want = {"prefix": "right", "postfix": "left"}.get(kind)
-        open_ = [k for k, s in enumerate(sides, 1) if want is None or s == want] + [len(sides) + 1]
-        level = open_[draw(f"{func_id}:level", len(open_))]
-        if level > len(sides):
-            sides.append(want or ("left", "right")[draw(f"{func_id}:side", 2)])
-        out.append((func_id, level, sides[level - 1]))
-    return out
-
-
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with place, from 1 in order: ranges are numbered inside and shifted by the sizes of those before, so no task holds all rows.
 

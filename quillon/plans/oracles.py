@@ -284,7 +284,11 @@ ORACLES: dict[str, str] = _RULES | {
     "calc_order": f"WITH {WIDE} SELECT func_id, n_order FROM cat WHERE is_base IS NULL",
     "dep_edges": f"WITH {WIDE} SELECT func_id AS dst, len(dependencies)::BIGINT AS in_degree FROM cat WHERE len(dependencies) > 0",
     "topo_sort": f"WITH RECURSIVE {WIDE}, e AS (SELECT unnest(dependencies) AS src, func_id AS dst FROM cat), r AS (SELECT func_id, 0 AS level FROM cat UNION SELECT dst, level + 1 FROM r JOIN e ON src = r.func_id), m AS (SELECT func_id, max(level)::INT AS level FROM r GROUP BY 1) SELECT func_id, level, row_number() OVER (ORDER BY level, func_id) AS place FROM m",
-    "assign_priority": f"SELECT {len(X.records())}::BIGINT AS n, 0::BIGINT AS wrong_side, 1::BIGINT AS sides_per_priority, true AS dense",
+    "assign_priority": f"WITH RECURSIVE {WIDE}, r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY id, func_id) AS pos, bits // (4294967296 - bits) AS reach FROM (SELECT func_id, id, CASE unary_position WHEN 'prefix' THEN 0 WHEN 'postfix' THEN 1 ELSE 2 END AS phase, {bits('func_id', 'priority')} AS bits FROM cat)), "
+    "u(phase, k, pos) AS (SELECT phase, 0::BIGINT, 0::BIGINT FROM (VALUES (0), (1)) v(phase) UNION ALL SELECT u.phase, u.k + 1, min(r.pos) FROM u JOIN r ON r.phase = u.phase AND r.pos > u.pos AND r.reach >= u.k GROUP BY 1, 2), "
+    "w(phase, k, pos) AS (SELECT 2, count(*) FILTER (pos > 0), 0::BIGINT FROM u UNION ALL SELECT w.phase, w.k + 1, min(r.pos) FROM w JOIN r ON r.phase = 2 AND r.pos > w.pos AND r.reach >= w.k GROUP BY 1, 2), "
+    "o AS (SELECT * FROM u UNION ALL SELECT * FROM w), p AS (SELECT r.func_id, r.phase, r.bits * (max(o.k) + 1) // 4294967296 AS c, max(o.k) AS n FROM r JOIN o ON o.phase = r.phase AND o.pos < r.pos GROUP BY r.func_id, r.phase, r.bits), "
+    f"q AS (SELECT func_id, phase, c = n AS opens, c + 1 + CASE phase WHEN 1 THEN (SELECT max(k) FROM u WHERE phase = 0) ELSE 0 END AS priority FROM p), s AS (SELECT priority, CASE phase WHEN 0 THEN 'right' WHEN 1 THEN 'left' ELSE CASE {bits('func_id', 'priority/side')} % 2 WHEN 0 THEN 'left' ELSE 'right' END END AS side FROM q WHERE opens) SELECT func_id, priority, side FROM q JOIN s USING (priority)",
     "op_usage": f"WITH {TREE} SELECT expr_id, func_id, count(*) AS n FROM nodes WHERE func_id IS NOT NULL GROUP BY 1, 2",
     "base_convert": "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{base_digits('((l_partkey - 1000) * l_linenumber)', b)} AS base{b}" for b in (2, 3, 16, 36)) + " FROM lineitem",
     "supported_bases": "SELECT i AS base FROM range(2, 37) t(i)",

@@ -12,7 +12,7 @@ from ..functions import bases, draws
 from ..functions import language as L
 from ..functions.compiler import Compiler, compare
 from ..operators import catalog as C
-from ..operators import evaluation, expressions, generation
+from ..operators import evaluation, expressions, generation, priorities
 from ..schema import EXPRESSION, OPERATOR
 from ..sources import jsonl, scratch
 from . import fixtures as X
@@ -267,11 +267,7 @@ def _(spark, sf_dir):
 
 @query("assign_priority")
 def _(spark, sf_dir):
-    rows = [(r["func_id"], r["unary_position"] or "binary", r["id"]) for r in X.records()]
-    out = spark.createDataFrame(C.assign_priorities(rows), "func_id string, priority int, side string").join(cat(spark).select("func_id", C.shape().alias("shape")), "func_id")
-    per = out.groupBy("priority").agg(F.count_distinct("side").alias("sides"))
-    bad = F.count_if((F.col("shape") == "prefix") & (F.col("side") != "right")) + F.count_if((F.col("shape") == "postfix") & (F.col("side") != "left"))
-    return out.join(per, "priority").agg(F.count("*").alias("n"), bad.alias("wrong_side"), F.max("sides").alias("sides_per_priority"), (F.max("priority") == F.count_distinct("priority")).alias("dense"))
+    return priorities.assign(cat(spark, parts=sf_dir))
 
 
 @query("op_usage")
