@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BASIC_SYMBOLS, CLAMP, COMPARISONS, DEFAULT, LOOP_LIMITS, SYMBOL_RANGES, Settings
 from ..functions import draws, language
+from .catalog import numbered
 
 
 def alphabet(spark: SparkSession) -> DataFrame:
@@ -41,9 +42,14 @@ def symbols(keys: DataFrame, signs: Sequence[str], used: DataFrame, settings: Se
     tried = keys.select("key", F.posexplode(F.array(*[drawn(t) for t in range(DRAWS)])).alias("t", "symbol"))
     free = tried.join(used.select("symbol").distinct(), "symbol", "left_anti").groupBy("key").agg(F.min_by("symbol", "t").alias("symbol"))
     won = free.groupBy("symbol").agg(F.min("key").alias("key"))
-    digit = lambda k: F.get(pool, F.pmod(F.floor(F.col("key") / F.lit(n**k)), F.lit(n)).cast("int"))
-    number = F.concat(*[digit(k) for k in range(max(hi + 1, 6))])
-    return keys.join(won, "key", "left").select("key", F.coalesce("symbol", number).alias("symbol"))
+    return keys.join(won, "key", "left").select("key", F.coalesce("symbol", number_in_signs(F.col("key"), signs, settings)).alias("symbol"))
+
+
+def number_in_signs(key: Column, signs: Sequence[str], settings: Settings = DEFAULT) -> Column:
+    """A symbol that no other key has and no draw gives: the key written in signs, longer than any drawn symbol."""
+    pool, n = F.array(*[F.lit(s) for s in signs]), len(signs)
+    digit = lambda k: F.get(pool, F.pmod(F.floor(key / F.lit(n**k)), F.lit(n)).cast("int"))
+    return F.concat(*[digit(k) for k in range(max(settings.symbol_lengths[1] + 1, 6))])
 
 
 def shapes(key: Column) -> Column:
@@ -72,16 +78,25 @@ def variable(key: Column, what: str, shape: Column) -> Column:
     return F.when((shape == "binary") & (F.pmod(draws.bits(key, what), F.lit(2)) == 1), "b").otherwise("a")
 
 
-def operand(key: Column, tag: str, var: Column, pools: Pools = Pools(), settings: Settings = DEFAULT) -> Column:
-    """A variable, a unary operator on it, or a binary one on it and a constant, in even odds; the variable where a pool is empty."""
+def call(op: Column, *args: Column) -> Column:
+    """A call in function text; op is a func_id."""
+    return F.concat(F.lit("op_"), op, F.lit("("), F.concat_ws(", ", *args), F.lit(")"))
+
+
+def operand(key: Column, tag: str, var: Column, pools: Pools = Pools(), settings: Settings = DEFAULT, source: bool = False) -> Column:
+    """A variable, a unary operator on it, or a binary one on it and a constant, in even odds; the variable where a pool is empty.
+
+    With source it is function text, and pools hold func_ids.
+    """
     kind, out = F.pmod(draws.bits(key, f"{tag}/operand"), F.lit(4)), var
+    one = lambda pool: one_of(pool, key, f"{tag}/op")
     if pools.prefix:
-        out = F.when(kind == 1, F.concat(F.lit("("), one_of(pools.prefix, key, f"{tag}/op"), var, F.lit(")"))).otherwise(out)
+        out = F.when(kind == 1, call(one(pools.prefix), var) if source else F.concat(F.lit("("), one(pools.prefix), var, F.lit(")"))).otherwise(out)
     if pools.postfix:
-        out = F.when(kind == 2, F.concat(F.lit("("), var, one_of(pools.postfix, key, f"{tag}/op"), F.lit(")"))).otherwise(out)
+        out = F.when(kind == 2, call(one(pools.postfix), var) if source else F.concat(F.lit("("), var, one(pools.postfix), F.lit(")"))).otherwise(out)
     if pools.binary:
         constant = draws.between(key, f"{tag}/constant", *settings.condition_range).cast("string")
-        out = F.when(kind == 3, F.concat(F.lit("("), var, F.lit(" "), one_of(pools.binary, key, f"{tag}/op"), F.lit(" "), constant, F.lit(")"))).otherwise(out)
+        out = F.when(kind == 3, call(one(pools.binary), var, constant) if source else F.concat(F.lit("("), var, F.lit(" "), one(pools.binary), F.lit(" "), constant, F.lit(")"))).otherwise(out)
     return out
 
 
@@ -105,15 +120,17 @@ def condition_expression(key: Column, shape: Column, settings: Settings = DEFAUL
     return F.when(n == 1, c[0]).when(n == 2, pair(c[0], 0, c[1])).otherwise(F.concat_ws(" ", c[0], word(0), pair(c[1], 1, c[2])))
 
 
-def body(key: Column, tag: str, shape: Column, pools: Pools = Pools(), settings: Settings = DEFAULT) -> Column:
-    """A binary operator over two terms: a variable or small number, or an operand (see operand)."""
+def body(key: Column, tag: str, shape: Column, pools: Pools = Pools(), settings: Settings = DEFAULT, source: bool = False) -> Column:
+    """A binary operator over two terms: a variable or small number, or an operand (see operand, for source too)."""
 
     def term(side: str) -> Column:
         var = variable(key, f"{tag}/{side}/var", shape)
         number = draws.skewed(key, f"{tag}/{side}/n", 1, 9).cast("string")
         small = F.when(F.pmod(draws.bits(key, f"{tag}/{side}/number"), F.lit(2)) == 1, number).otherwise(var)
-        return F.when(F.pmod(draws.bits(key, f"{tag}/{side}/deep"), F.lit(2)) == 1, operand(key, f"{tag}/{side}", var, pools, settings)).otherwise(small)
+        return F.when(F.pmod(draws.bits(key, f"{tag}/{side}/deep"), F.lit(2)) == 1, operand(key, f"{tag}/{side}", var, pools, settings, source)).otherwise(small)
 
+    if source:
+        return call(one_of(pools.binary, key, f"{tag}/op"), term("l"), term("r"))
     return F.concat(F.lit("("), term("l"), one_of(pools.binary, key, f"{tag}/op"), term("r"), F.lit(")"))
 
 
@@ -145,12 +162,13 @@ PATTERNS = (("r", "r"), ("r", "a"), ("r", "b"), ("a", "r"), ("b", "r"))
 def callees(cat: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (key, n_order, ...) with a drawn operator of one order less: called, called_symbol, called_arity, called_position.
 
-    An order without operators below it is an error. The catalog's numbering is over its own rows, which are few beside keys.
+    An order without operators below it is an error. An order's operators are numbered by func_id.
     """
-    within = Window.partitionBy("n_order")
     pool = cat.where("is_base IS NULL AND n_order IS NOT NULL").select("func_id", "symbol", "n_ary", "unary_position", "n_order")
-    pool = pool.withColumn("place", F.row_number().over(within.orderBy("func_id")) - 1)
-    sizes = pool.groupBy("n_order").agg(F.count("*").alias("size"))
+    pool = numbered(pool, F.col("n_order"), F.col("func_id"))
+    sizes = pool.groupBy("n_order").agg(F.count("*").alias("size"), F.min("place").alias("first"))
+    pool = pool.join(sizes.select("n_order", "first"), "n_order").withColumn("place", F.col("place") - F.col("first"))
+    sizes = sizes.drop("first")
     asked = keys.withColumn("__below", F.col("n_order") - 1).join(sizes.withColumnRenamed("n_order", "__below"), "__below", "left")
     drawn = asked.withColumn("__place", F.pmod(draws.bits(F.col("key"), "callee"), F.col("size")))
     chosen = pool.select(F.col("func_id").alias("called"), F.col("symbol").alias("called_symbol"), F.col("n_ary").alias("called_arity"), F.col("unary_position").alias("called_position"), F.col("n_order").alias("__below"), F.col("place").alias("__place"))

@@ -106,6 +106,53 @@ def recursive_operators(key: str) -> str:
     )
 
 
+def _source_operand(key: str, tag: str, var: str) -> str:
+    binary = f"'op_' || {pick(NAMES, bits(key, tag + '/op') + ' % 6')} || '(' || ({var}) || ', ' || {between(key, tag + '/constant', 0, 1000)}::VARCHAR || ')'"
+    return f"CASE {bits(key, tag + '/operand')} % 4 WHEN 1 THEN 'op_b1(' || ({var}) || ')' WHEN 2 THEN 'op_q1(' || ({var}) || ')' WHEN 3 THEN {binary} ELSE {var} END"
+
+
+def _source_body(key: str, sh: str) -> str:
+    def term(at: str) -> str:
+        var = variable(key, at + "/var", sh)
+        return f"CASE WHEN {bits(key, at + '/deep')} % 2 = 1 THEN {_source_operand(key, at, var)} WHEN {bits(key, at + '/number')} % 2 = 1 THEN {skewed(key, at + '/n', 1, 9)}::VARCHAR ELSE {var} END"
+
+    return f"'op_' || {pick(NAMES, bits(key, 'b0/op') + ' % 6')} || '(' || ({term('b0/l')}) || ', ' || ({term('b0/r')}) || ')'"
+
+
+NAMES = ("p1", "m1", "t1", "d1", "r1", "s1")
+
+
+def generation_run(layers: int = 5) -> str:
+    """Layer by layer: more attempts than a layer needs, those that pass, the first of each body, and of these as many as are missing."""
+    nl, total, ratio = "chr(10)", "(2 * (SELECT count(*) FROM part))", 0.6
+    first = f"({total}::DOUBLE / {sum(ratio**k for k in range(layers))!r}::DOUBLE)"
+    size = lambda k: f"floor({first} * power({ratio}::DOUBLE, {k - 1}))::BIGINT"
+    sizes = {k: size(k) for k in range(1, layers)} | {layers: f"({total} - " + " - ".join(size(k) for k in range(1, layers)) + ")"}
+    out = [X.catalog_sql([POSTFIX], True)]
+    for k in range(1, layers + 1):
+        out.append(f"s{k} AS (SELECT greatest({sizes[k]} - (SELECT count(*) FROM cat WHERE n_order = {k}), 0) AS n), i{k} AS (SELECT unnest(range(0, (SELECT 60 * n + 4000 FROM s{k}))) * 10 + {k} AS key)")
+        if k == 1:
+            out.append(f"t1 AS (SELECT key, 'g' || key AS func_id, CASE sh WHEN 'binary' THEN 2 ELSE 1 END AS n_ary, 'def op_g' || key || CASE sh WHEN 'binary' THEN '(a, b)' ELSE '(a)' END || ':' || {nl} || '    return ' || {_source_body('key', 'sh')} AS op_compute_func FROM (SELECT key, {shape('key')} AS sh FROM i1))")
+        else:
+            limit = {3: 1_000_000, 4: 1_000, 5: 100}.get(k)
+            beyond, pattern = f"' or abs(' || v || ') > {limit}'" if limit else "''", f"{bits('key', 'pattern')} % 5"
+            out.append(f"p{k} AS (SELECT *, row_number() OVER (ORDER BY func_id) - 1 AS place FROM (SELECT func_id AS callee, func_id, n_ary AS arity FROM cat WHERE is_base IS NULL AND n_order = {k - 1} UNION ALL SELECT func_id, func_id, n_ary FROM g{k - 1}))")
+            out.append(
+                f"d{k} AS (SELECT key, CASE WHEN {bits('key', 'loop')} % 2 = 0 THEN 'a' ELSE 'b' END AS v, CASE {bits('key', 'start')} % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE {between('key', 'start/n', -100, 100)}::VARCHAR END AS st, "
+                f"{pick(('r', 'r', 'r', 'a', 'b'), pattern)} AS x, {pick(('r', 'a', 'b', 'r', 'r'), pattern)} AS y, {bits('key', 'callee')} % (SELECT count(*) FROM p{k}) AS place FROM i{k})"
+            )
+            out.append(
+                f"t{k} AS (SELECT key, 'g' || key AS func_id, 2 AS n_ary, 'def op_g' || key || '(a, b):' || {nl} || '    if ' || v || ' != ' || v || ' or abs(' || v || ') == float(''inf'')' || {beyond} || ':' || {nl} || '        return float(''nan'')' || {nl} || '    r = ' || st || {nl} "
+                f"|| '    for _ in range(abs(' || v || ')):' || {nl} || '        t = op_' || callee || '(' || CASE WHEN arity = 2 THEN x || ', ' || y ELSE 'r' END || ')' || {nl} || '        if abs(t) > 2147483647:' || {nl} || '            t = float(''inf'')' || {nl} || '        r = t if ' || v || ' > 0 else -t' || {nl} || '    return r' AS op_compute_func FROM d{k} JOIN p{k} USING (place))"
+            )
+        out.append(
+            f"g{k} AS MATERIALIZED (SELECT func_id, n_ary, op_compute_func FROM (SELECT *, row_number() OVER (ORDER BY key) AS nth FROM (SELECT min(key) AS key, arg_min(func_id, key) AS func_id, arg_min(n_ary, key) AS n_ary, arg_min(op_compute_func, key) AS op_compute_func FROM t{k} "
+            f"WHERE ({_uses}) AND NOT ({_wrapper}) AND {_bodies} NOT IN (SELECT {_bodies} FROM cat WHERE op_compute_func IS NOT NULL) GROUP BY {_bodies})) WHERE nth <= (SELECT n FROM s{k}))"
+        )
+    rows = " UNION ALL ".join(f"SELECT func_id, n_ary::INT AS n_ary, {k}::INT AS n_order, op_compute_func, list_sort(list_distinct(regexp_extract_all({_bodies}, 'op_(\\w+)\\(', 1))) AS dependencies FROM g{k}" for k in range(1, layers + 1))
+    return f"WITH {', '.join(out)} {rows}"
+
+
 # Trees: two levels under a root, numbered as in a heap.
 POOL = ("p1", "m1", "t1", "d1", "r1", "s1")
 
@@ -361,6 +408,7 @@ ORACLES: dict[str, str] = _RULES | {
     "order_match": "SELECT * FROM (VALUES ('l1'), ('l2')) t(func_id)",
     "accept_pipeline": f"WITH {CAT_X} SELECT min(func_id) AS func_id FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 AND n_order = 1 AND ({_uses}) AND NOT ({_wrapper}) AND len(list_distinct({_returns})) = len({_returns}) GROUP BY {_bodies}",
     "property_check": f"WITH {CAT_X} SELECT func_id, true AS ok FROM cat WHERE op_compute_func IS NOT NULL AND len(dependencies) > 0 UNION ALL SELECT 't9', false",
+    "generation_run": generation_run(),
     "layer_sizes": "SELECT * FROM (VALUES (1::INT, 43372::BIGINT), (2, 26023), (3, 15614), (4, 9368), (5, 5623)) t(layer, size)",
     "order_histogram": f"WITH {WIDE} SELECT i::INT AS n_order, count(n_order) AS n FROM range(1, 6) t(i) LEFT JOIN cat ON n_order = i GROUP BY i",
     "layer_deficit": f"WITH {WIDE}, s(layer, size) AS (VALUES (1, 43), (2, 26), (3, 15), (4, 9), (5, 7)) SELECT layer::INT AS layer, greatest(size - (SELECT count(*) FROM cat WHERE n_order = layer), 0)::BIGINT AS missing FROM s",

@@ -12,7 +12,7 @@ from ..functions import bases, draws
 from ..functions import language as L
 from ..functions.compiler import Compiler, compare
 from ..operators import catalog as C
-from ..operators import evaluation, expressions, generation, priorities
+from ..operators import evaluation, expressions, generation, priorities, runs
 from ..schema import EXPRESSION, OPERATOR
 from ..sources import jsonl, scratch
 from . import fixtures as X
@@ -29,6 +29,8 @@ WRAPPER = POSTFIX | {"id": 15, "func_id": "w1", "symbol": "¤", "op_compute_func
 TWIN = POSTFIX | {"id": 16, "func_id": "v1", "symbol": "¥", "op_compute_func": "def op_v1(a):\n    if a > 3:\n        return op_t1(a, a)\n    else:\n        return op_t1(a, a)"}
 EXTRA = [DUPLICATE, POSTFIX, WRAPPER, TWIN]
 SYMBOL_POOLS = generation.Pools(("∇",), ("‰",), ("+", "-", "*", "/", "%", "⊕"))
+#: The operators of SYMBOL_POOLS.
+NAME_POOLS = generation.Pools(("b1",), ("q1",), ("p1", "m1", "t1", "d1", "r1", "s1"))
 #: Expression ids of a row of the inverted index, so that an operator in every expression is no single array.
 INDEX_BUCKET = 4096
 BAD_LINES = ("", "   ", "{not json", '{"func_id":"u1","symbol":"#","n_ary":2,"colour":"red"}', '{"symbol":"#","n_ary":2}', '{"func_id":"ok1","symbol":"#","n_ary":2}')
@@ -706,6 +708,14 @@ def _(spark, sf_dir):
     return generation.layer_sizes(spark, 100).join(have, "layer", "left").select("layer", F.greatest(F.col("size") - F.coalesce("count", F.lit(0)), F.lit(0)).alias("missing"))
 
 
+@query("generation_run")
+def _(spark, sf_dir):
+    """A run that goes on from the catalog until five layers hold twice as many operators as there are parts; all that it adds."""
+    sizes = generation.layer_sizes(spark, 2 * table(spark, sf_dir, "part").count())
+    made = runs.fill(cat(spark, [POSTFIX], sf_dir), {r["layer"]: r["size"] for r in sizes.collect()}, SYMBOL_POOLS, NAME_POOLS)
+    return made.select("func_id", "n_ary", "n_order", "op_compute_func", "dependencies")
+
+
 @query("type_mix")
 def _(spark, sf_dir):
     rows = C.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"))
