@@ -52,3 +52,13 @@ def test_malformed_definitions_are_rejected(text):
 def test_print_parse_round_trip():
     for f, head in (("s1", "a⊕b"), ("b1", "∇a")):
         assert L.parse(f"{head} = {{ {L.show(X.BODIES[f][1], X.SHAPES)} }}", X.SYMBOLS) == X.BODIES[f]
+
+
+def test_compiling_is_one_call_a_row_over_all_cores(spark):
+    """A filter on what a definition compiles to doesn't compile it again, and acceptance has one such plan, dealt out first."""
+    from quillon.plans.queries import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan("accept_generated").count("ArrowEvalPython") == 2
+    for name, times in (("definition_parse", 1), ("decompile", 1), ("decompile_flat", 1), ("definition_roundtrip", 2)):
+        assert plan(name).count("ArrowEvalPython") == times and plan(name).count("Exchange RoundRobinPartitioning") == 1
