@@ -63,3 +63,17 @@ def test_deep_trees_are_planned(spark):
     rows = expressions.grow_rows(ids, *Q.POOLS, depth=5)
     assert rows.select(F.max(F.array_max(F.transform("nodes", lambda n: n["depth"])))).first()[0] > 3
     assert expressions.records(rows, Q.tree_operators(spark), Q.BODIES, fields=["id", "result", "text"]).where("result IS NULL OR text IS NULL").count() == 0
+
+
+def test_calls_are_planned_once(spark):
+    """An operator is compiled into a node's step once, not once for each field of its result; near trees carry no bounds."""
+    operators = {r["func_id"]: r.asDict() for r in Q.tree_operators(spark).collect()}
+    fold, rows = folds.Folds(operators, Q.BODIES, {}), spark.createDataFrame([], SHAPE)
+    plan = lambda near: rows.select(fold.evaluated(F.col("nodes"), near).alias("ev")).select("ev")._jdf.queryExecution().optimizedPlan().toString()
+    signs = plan(True).count("= s1)")
+    assert signs == 1 and "9007199254740992" not in plan(True) and len(plan(True)) < len(plan(False))
+
+
+def test_a_second_tree_is_grown_in_the_same_projection(spark):
+    plan = Q.QUERIES["order_tree_gen"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1
