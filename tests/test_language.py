@@ -62,3 +62,19 @@ def test_compiling_is_one_call_a_row_over_all_cores(spark):
     assert plan("accept_generated").count("ArrowEvalPython") == 2
     for name, times in (("definition_parse", 1), ("decompile", 1), ("decompile_flat", 1), ("definition_roundtrip", 2)):
         assert plan(name).count("ArrowEvalPython") == times and plan(name).count("Exchange RoundRobinPartitioning") == 1
+
+
+def test_a_failure_is_no_round_trip(spark, monkeypatch):
+    """Definitions that are null or cannot be read aren't the same as what they were, and errors that aren't theirs end the job."""
+    from pyspark.errors import PythonException
+
+    from quillon.operators import generation
+    from quillon.plans import queries as Q
+
+    rows = spark.createDataFrame([("d1", "a⊛b = { (a+b) }"), ("d2", "a⊛b = { (a+ }"), ("d3", "a⊛b = { a ? b }"), ("d4", None), ("d5", "no definition")], "func_id string, definition string")
+    monkeypatch.setattr(Q, "_generated", lambda *_: rows)
+    assert {r["func_id"]: r["same"] for r in Q.QUERIES["definition_roundtrip"](spark, None).collect()} == {"d1": True, "d2": False, "d3": False, "d4": False, "d5": False}
+    got = {r["func_id"]: (r["ok"], r["op_compute_func"] is None, r["again"] is None) for r in generation.compiled(rows, Q.SYMBOLS, Q.SHAPES, ["ok", "op_compute_func", "again"]).collect()}
+    assert got == {"d1": (True, False, False)} | dict.fromkeys(("d2", "d3", "d4", "d5"), (False, True, True))
+    with pytest.raises(PythonException, match="TypeError"):
+        generation.compiled(rows.where("func_id = 'd1'"), Q.SYMBOLS, Q.SHAPES | {"p1": None}, ["ok", "again"]).collect()
