@@ -324,3 +324,30 @@ def test_search_repeated_rows_hot_vectors_and_magnitudes(spark):
     want = nearest(rows, [r for r in rows if r[0] % 100 == 0])
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: (r["query_id"], r["rank"]))] == [r[:3] for r in want]
     assert np.allclose(sorted(r["score"] for r in got), sorted(r[3] for r in want))
+
+
+def test_search_gives_few_rows_a_lane(spark, monkeypatch):
+    """Of many blocks too the nearest are found, a lane gives no more of them than stand in the answer; scores are exact."""
+    rng = np.random.default_rng(3)
+    for width, n in ((40, 5), (1000, 3), (1000, 29), (1000, 40), (1000, 1000)):
+        d = rng.integers(0, 50, size=(6, width)).astype(float)
+        d[0, 10:], d[1] = np.inf, np.inf
+        for row, at in zip(d, ann.smallest(d, n)):
+            assert list(at) == list(np.argsort(row, kind="stable")[:n])
+    monkeypatch.setattr(ann, "CODE_BLOCK", 8 * 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8 * 5)
+    given, keep = {}, ann.save
+    monkeypatch.setattr(ann, "save", lambda df, label: given.setdefault(label, keep(df, label)))
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1300, 8)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(table, table.where("vec_id % 100 = 0"))
+    want = nearest(rows, [r for r in rows if r[0] % 100 == 0])
+    found = sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"]))
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [w[:3] for w in want]
+    x = dict(rows)
+    for r in found:  # squares added one after another, as sum() of floats does not
+        gap = 0.0
+        for a, b in zip(x[r["vec_id"]], x[r["query_id"]]):
+            gap += (a - b) * (a - b)
+        assert r["score"] == math.sqrt(gap)
+    assert given["codes"].count() > 8 and given["nearest-vectors"].groupBy("query_id").count().agg({"count": "max"}).first()[0] <= 8 * 11
